@@ -10,10 +10,14 @@ remaining codes finds every pair within RADIUS. Links are confirmed on the full
 shingle sets.
 
 Copies (equal word sequences) are one class from the start. A bucket of the join never
-expands into pairs: its members are first held against the smallest of them, and the
+expands into pairs. A shingle that only one class has can be in no intersection, so a
+class's other shingles bound its similarity to anything; classes that this bound
+excludes leave their buckets (heavily edited copies and documents that share no more
+than a passage). The members left are held against the one with the smallest share of
+such shingles, which of a group of copies is the original or close to it, and the
 links give components. Only where a bucket then still spans several components, the
-members outside its first one are compared to the rest in blocks, signature against
-signature, and pairs within RADIUS and of different components are confirmed.
+members outside its center's are compared to the rest in blocks; pairs of different
+components within RADIUS, and within the bound, are confirmed.
 """
 
 from __future__ import annotations
@@ -132,8 +136,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             b = whole.slice(at, 500)
-            sets = [np.unique(shingle_hashes(words_of(t), hashes)).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(sets, pa.binary())], ["rid", "shingles"])
+            sets = [np.unique(shingle_hashes(words_of(t), hashes)).view(np.int64) for t in b.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("rid"), shingles], ["rid", "shingles"])
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,46 +150,52 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.select(["a", "b"]).filter(pa.array((x != y).sum(1) <= RADIUS))
 
 
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    ends = column.offsets.to_numpy()
+    flat = column.values.to_numpy()
+    return [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that the full sets link."""
     for b in batches:
         keep = []
-        for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            low, high = sorted((len(x), len(y)))
-            if 100 * low < PERCENT * high:
-                keep.append(False)
-                continue
-            both = len(x) + len(y) - len(np.union1d(x, y))
+        for x, y in zip(_arrays(b.column("set_a")), _arrays(b.column("set_b")), strict=True):
+            both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)) else 0
             keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within RADIUS and of different components in each group (key, bi, bj), whose rows come together.
+    """Pairs to confirm in each group (key, bi, bj), whose rows come together.
 
-    side is 0 for members of the block that is held against the others, 1 for the others.
+    They are of different components, within RADIUS, and can be linked by what they
+    share with any document. side is 0 for members of the block that is held against
+    the others, 1 for the others; a block alone (bj = -1) has all at side 0. A pair that
+    meets in several buckets is given by that of the first entry of the plan.
     """
+    plan = chunk_plan()
     held: list[pa.RecordBatch] = []
-    group = None
+    group: tuple | None = None
 
     def compare() -> pa.RecordBatch | None:
         t = pa.Table.from_batches(held)
-        side, rid, comp = (t.column(c).to_numpy() for c in ("side", "rid", "comp"))
+        side, rid, comp, n, common = (t.column(c).to_numpy() for c in ("side", "rid", "comp", "n", "common"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, CODES)
-        left = np.flatnonzero(side == 0)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         out = []
-        for n, i in enumerate(left):
-            other = np.concatenate([left[n + 1 :], np.flatnonzero(side == 1)]) if same else np.flatnonzero(side == 1)
-            other = other[comp[other] != comp[i]]
-            near = other[(sig[other] != sig[i]).sum(1) <= RADIUS]
-            out += [(min(rid[i], rid[j]), max(rid[i], rid[j])) for j in near]
-        if not out:
-            return None
-        a = np.array(sorted(set(out)), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
-
-    same = False
+        for k, i in enumerate(left):
+            j = left[k + 1 :] if group[2] < 0 else right
+            most = np.minimum(common[j], common[i])
+            j = j[(comp[j] != comp[i]) & (100 * most >= PERCENT * (n[j] + n[i] - most))]
+            j = j[(sig[j] != sig[i]).sum(1) <= RADIUS]
+            if len(j):
+                same = sig[j] == sig[i]
+                first = np.array([same[:, at].all(1) for at in plan]).argmax(0)
+                j = j[bucket_keys(sig[i : i + 1], plan)[0, first] == group[0]]
+                out += [(min(rid[i], rid[x]), max(rid[i], rid[x])) for x in j]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"]) if out else None
+
     for b in batches:
         if not b.num_rows:
             continue
@@ -195,7 +207,7 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 if (out := compare()) is not None:
                     yield out
                 held = []
-            group, same = mine, mine[2] < 0
+            group = mine
             held.append(b.slice(s, e - s))
     if held and (out := compare()) is not None:
         yield out
@@ -217,14 +229,14 @@ def _near_by_signature(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs within RADIUS in buckets that span components, of different components."""
+    """Pairs to confirm in buckets that span components; members: key, rid, center, n, common."""
     own = comps.select(F.col("node").alias("rid"), F.col("component").alias("comp"))
     first = comps.select(F.col("node").alias("center"), F.col("component").alias("of_center"))
     rows = members.join(own, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     rows = rows.join(first, "center", "left").withColumn("of_center", F.coalesce("of_center", "center"))
     rows = rows.withColumn("out", (F.col("comp") != F.col("of_center")).cast("int"))
     spans = rows.groupBy("key").agg(F.sum("out").alias("n_out"), F.sum(1 - F.col("out")).alias("n_in")).filter(F.col("n_out") > 0)
-    rows = rows.join(spans, "key").select("key", "rid", "comp", "out", "n_out", "n_in")
+    rows = rows.join(spans, "key").select("key", "rid", "comp", "n", "common", "out", "n_out", "n_in")
     blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
     rows = rows.withColumns({"outs": blocks("n_out"), "ins": blocks("n_in")})
     mine = F.pmod(F.xxhash64("rid"), F.when(F.col("out") == 1, F.col("outs")).otherwise(F.col("ins"))).cast("int")
@@ -240,9 +252,26 @@ def _across(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFra
     )
     inner = F.transform(F.sequence(zero, F.col("outs") - 1), lambda i: at(i, F.col("outs") + F.col("mine"), one))
     rows = rows.withColumn("g", F.explode(F.when(F.col("out") == 1, outer).otherwise(inner)))
-    rows = rows.join(classes.select("rid", "sig"), "rid").select("key", "g.bi", "g.bj", "g.side", "rid", "comp", "sig")
+    rows = rows.join(classes.select("rid", "sig"), "rid").select("key", "g.bi", "g.bj", "g.side", "rid", "comp", "n", "common", "sig")
     rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return durable(rows.mapInArrow(_compare_blocks, _PAIRS).distinct())
+    return durable(rows.mapInArrow(_compare_blocks, _PAIRS))
+
+
+def _linkable(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, rid, center, n, common: members that may be linked, in buckets that keep two or more.
+
+    n counts a class's shingles and common those that another class in a bucket has too.
+    A bucket's center is the member with the smallest share of others.
+    """
+    once = sets.select("rid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("rid"))
+    own = once.filter(F.col("c") == 1).groupBy("rid").agg(F.count(F.lit(1)).alias("own"))
+    sizes = sets.select("rid", F.size("shingles").cast("long").alias("n")).join(own, "rid", "left")
+    sizes = sizes.withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    sizes = durable(sizes.filter(100 * F.col("common") >= PERCENT * F.col("n")))
+    members = durable(members.join(sizes, "rid"))
+    center = F.min(F.struct((1 - F.col("common") / F.col("n")).alias("share"), "rid"))["rid"]
+    centers = members.groupBy("key").agg(center.alias("center"), F.min("rid").alias("lo"), F.max("rid").alias("hi"))
+    return durable(members.join(centers.filter(F.col("lo") != F.col("hi")).select("key", "center"), "key"))
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
@@ -259,13 +288,15 @@ def link_documents(docs: DataFrame) -> DataFrame:
     classes = durable(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig")))
 
     buckets = classes.select("rid", "sig").mapInArrow(_emit_keys, "key long, rid long")
-    centers = buckets.groupBy("key").agg(F.min("rid").alias("center"), F.max("rid").alias("last")).filter(F.col("center") != F.col("last"))
-    members = durable(buckets.join(centers.select("key", "center"), "key"))
+    shared = buckets.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter(F.col("lo") != F.col("hi"))
+    members = durable(buckets.join(shared.select("key"), "key"))
+    wanted = members.select("rid").distinct()
+    sets = durable(picked.withColumnRenamed("doc_id", "rid").join(wanted, "rid", "left_semi").mapInArrow(_sets, "rid long, shingles array<long>"))
+    members = _linkable(members, sets)
 
-    star = members.filter(F.col("rid") != F.col("center")).select(F.col("center").alias("a"), F.col("rid").alias("b")).distinct()
+    star = members.filter(F.col("rid") != F.col("center"))
+    star = star.select(F.least("center", "rid").alias("a"), F.greatest("center", "rid").alias("b")).distinct()
     star = durable(_near_by_signature(star, classes))
-    wanted = members.select("rid").distinct()
-    sets = durable(picked.withColumnRenamed("doc_id", "rid").join(wanted, "rid", "left_semi").mapInArrow(_sets, "rid long, shingles binary"))
     links = _confirmed(star, sets)
     comps = connected_components(links)
     more = _confirmed(_across(members, comps, classes), sets)
