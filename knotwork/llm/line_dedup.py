@@ -10,7 +10,9 @@ one character deleted. Variants are keyed by a hash and the place of the deletio
 
 So a group never expands into pairs. Most lines have no neighbour; they are left out
 before any variant is made: of two lines one edit apart, either the first half or the
-second half (of the longer one's length) is equal. Matches are verified with the edit
+second half (of the longer one's length) is equal. The lines left are cut into BLOCKS
+blocks, and all but the block with the edit is equal, so a line gives only the variants
+of blocks without which it agrees with another line. Matches are verified with the edit
 distance of the texts. A line occurrence goes if an equal or alike line occurs
 earlier, in the order (doc_id, line_no), kept or not.
 
@@ -26,6 +28,8 @@ from knotwork.llm.common import durable
 
 #: Edits within which lines are alike.
 BOUND = 1
+#: Blocks of a line, of which an edit is in one.
+BLOCKS = 16
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -48,13 +52,35 @@ def halves(line: Column) -> Column:
     return F.array(*pair(n), *pair(n + 1))
 
 
-def variants(line: Column) -> Column:
-    """(place, hash) of the line with the character at each place deleted."""
+def rests(line: Column) -> Column:
+    """(shorter, first place, place after the last, hash of the rest) for each block that may hold the edit.
+
+    shorter is 0 where the line counts as the longer of a pair or as one of equal
+    lengths, and 1 where it counts as a character shorter.
+    """
+    n = F.length(line)
+
+    def of(shorter: int) -> Column:
+        longer = n + shorter
+
+        def rest(b: Column) -> Column:
+            start, end = F.floor(b * longer / BLOCKS).cast("int"), F.floor((b + 1) * longer / BLOCKS).cast("int")
+            tail = longer - end
+            hashed = F.xxhash64(longer, b, F.substr(line, F.lit(1), start), F.substr(line, n - tail + 1, tail))
+            return F.when(end > start, F.struct(F.lit(shorter).alias("shorter"), start.alias("start"), end.alias("end"), hashed.alias("rest")))
+
+        return F.filter(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), rest), lambda x: x.isNotNull())
+
+    return F.concat(of(0), of(1))
+
+
+def variants(line: Column, start: Column, end: Column) -> Column:
+    """(place, hash) of the line with the character at each place from start to before end deleted."""
     def without(i: Column) -> Column:
         rest = F.concat(F.substr(line, F.lit(1), i), F.substr(line, i + 2, F.length(line)))
         return F.struct(i.cast("int").alias("place"), F.xxhash64(rest).alias("v"))
 
-    return F.transform(F.sequence(F.lit(0), F.length(line) - 1), without)
+    return F.transform(F.sequence(start, end - 1), without)
 
 
 def near_lines(distinct: DataFrame, lines: DataFrame) -> DataFrame:
@@ -68,7 +94,11 @@ def near_lines(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     flagged = distinct.join(flagged, "h1", "left_semi").select("h1", "h2", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
     texts = durable(lines.select("doc_id", "line_no", "line").join(flagged, ["doc_id", "line_no"]).select("h1", "h2", "first", "line"))
 
-    emitted = texts.select("h1", "h2", "first", F.explode(variants(F.col("line"))).alias("e")).select("h1", "h2", "first", "e.place", "e.v")
+    cut = durable(texts.select("first", F.explode(rests(F.col("line"))).alias("r")).select("first", "r.*"))
+    met = cut.groupBy("rest").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter(F.col("lo") != F.col("hi")).select("rest")
+    blocks = cut.filter(F.col("shorter") == 0).join(met, "rest", "left_semi").select("first", "start", "end")
+    places = F.explode(variants(F.col("line"), F.col("start"), F.col("end"))).alias("e")
+    emitted = durable(texts.select("first", "line").join(blocks, "first").select("first", places).select("first", "e.place", "e.v"))
     earliest = emitted.groupBy("v", "place").agg(F.min("first").alias("best"), F.max("first").alias("last"))
     earliest = earliest.filter(F.col("best") != F.col("last")).select("v", "place", "best")
     changed = emitted.join(earliest, ["v", "place"]).filter(F.col("best") < F.col("first")).select("first", "best")
@@ -97,7 +127,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     found = durable(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(F.struct("doc_id", "line_no")).alias("last")))
     near = near_lines(found, lines)
     best = found.join(near, "first", "left").filter(F.col("near").isNotNull() | (F.col("first") != F.col("last")))
-    best = best.select("h1", "h2", F.least("first", "near").alias("keep"), F.col("near").isNotNull().alias("is_near"))
+    best = durable(best.select("h1", "h2", F.least("first", "near").alias("keep"), F.col("near").isNotNull().alias("is_near")))
     out = lines.select("h1", "h2", "doc_id", "line_no").join(best, ["h1", "h2"])
     out = out.filter(F.struct("doc_id", "line_no") > F.col("keep")).distinct()
     return out.select(
