@@ -24,7 +24,7 @@ from knotwork.llm.common import durable
 #: No source is taken more often than this.
 MOST_REPEATS = 3
 #: Documents of a source that one task folds, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 #: Open fractions that one group of a later level folds.
 FAN_IN = 64
 #: A document with more than this share of a bucket's words is settled against the rest of the bucket at once.
