@@ -1 +1,2 @@
+"""Part of knotwork."""
 
