@@ -2,50 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from knotwork.durable import durable as durable
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Where the session names none (tests on one machine) a temporary folder is set.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="knotwork-"))
-        current = sc._jsc.sc().getCheckpointDir()
-    return current.get()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and return a scan of it.
-
-    Cuts the lineage and survives lost executors. Files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/knotwork-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered up to a bound."""
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of the table that fall into one block of the hash range, about.
-BLOCK_ROWS = 200_000
+BLOCK_ROWS = 20_000
 
 
 @dataclass(frozen=True)
