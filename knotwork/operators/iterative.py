@@ -128,7 +128,7 @@ def core_numbers(gs: GraphSet) -> DataFrame:
         k = max(k, least)
         gone = state.filter(F.col("deg") <= k).select("graph_id", "node_id", F.lit(k).alias("core"))
         out = gone if out is None else out.unionByName(gone)
-        left, sym = durable(state.filter(F.col("deg") > k).select("graph_id", "node_id")), alive
+        left, sym = durable(state.filter(F.col("deg") > k).select("graph_id", "node_id")), durable(alive)
     return out if out is not None else left.withColumn("core", F.lit(0))
 
 

@@ -173,7 +173,7 @@ def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kcore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iterative.core_numbers(g1(spark, sf_dir))
+    return kernels.node_facts(kernels.kernel_facts(g1(spark, sf_dir))).select("graph_id", "node_id", "core")
 
 
 @query()
