@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.durable import durable
 from knotwork.model import GraphSet
 from knotwork.operators import kernels
 from knotwork.operators.attributes import attribute_facts
@@ -22,7 +23,10 @@ def structure(gs: GraphSet, groups: str = SCALAR_GROUPS, kernel: DataFrame | Non
 
     Facts of the dense kernel are null for graphs of more than Caps.dense nodes.
     """
-    wanted, out = set(groups), S.degree_moments(gs)
+    wanted = set(groups)
+    if len(wanted - set("A")) > 1:
+        gs = gs.stored()
+    out = S.degree_moments(gs)
     if wanted & _KERNEL_GROUPS:
         k = kernel if kernel is not None else kernels.kernel_facts(gs)
         out = out.join(k.drop("nodes"), "graph_id", "left")
@@ -45,12 +49,14 @@ def facts(gs: GraphSet, node_attrs: Iterable[str] = (), nodes: bool = True, kern
     """graph_id, feature_version, structure, ring_sizes, attributes, nodes (null if not asked for).
 
     attributes is a map from the attribute's name, in the order asked for. nodes holds
-    key nodes, and one entry per node for graphs of at most Caps.per_node nodes.
+    key nodes, and one entry per node for graphs of at most Caps.per_node nodes. The
+    graphs and the dense facts are written once, as many facts read them.
     """
     if isinstance(node_attrs, str):
         raise TypeError("node_attrs is a list of attribute names, not a string")
     node_attrs = list(node_attrs)
-    kernel = kernel if kernel is not None else kernels.kernel_facts(gs)
+    gs = gs.stored()
+    kernel = durable(kernel if kernel is not None else kernels.kernel_facts(gs))
     names = feature_names()
     out = structure(gs, kernel=kernel).select("graph_id", F.lit(FEATURE_VERSION).alias("feature_version"), F.struct(*names).alias("structure"), "ring_sizes")
     per_node = kernels.node_facts(kernel)

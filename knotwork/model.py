@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.durable import durable
+
 
 @dataclass(frozen=True)
 class Caps:
@@ -34,6 +36,15 @@ class GraphSet:
     vertices: DataFrame
     edges: DataFrame
     caps: Caps = field(default_factory=Caps)
+    #: graph_id, node_id, node_ord, deg where they are stored.
+    known_degrees: DataFrame | None = None
+
+    def stored(self) -> GraphSet:
+        """The same graphs, written once with their degrees: for several facts, or graphs that cost much to derive."""
+        if self.known_degrees is not None:
+            return self
+        flat = GraphSet(durable(self.vertices), durable(self.edges), self.caps)
+        return GraphSet(flat.vertices, flat.edges, self.caps, durable(flat.degrees))
 
     @property
     def sym(self) -> DataFrame:
@@ -44,6 +55,8 @@ class GraphSet:
     @property
     def degrees(self) -> DataFrame:
         """graph_id, node_id, node_ord, deg; isolated nodes have 0."""
+        if self.known_degrees is not None:
+            return self.known_degrees
         ends = self.edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node_id"))
         counts = ends.groupBy("graph_id", "node_id").agg(F.count(F.lit(1)).alias("deg"))
         out = self.vertices.select("graph_id", "node_id", "node_ord").join(counts, ["graph_id", "node_id"], "left")

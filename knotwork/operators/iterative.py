@@ -58,6 +58,33 @@ def distances(gs: GraphSet, sources: DataFrame | None = None, most_hops: int | N
     return reached
 
 
+def pair_distances(gs: GraphSet, pairs: DataFrame) -> DataFrame:
+    """graph_id, u, v, d of the pairs (graph_id, u, v) that have a path.
+
+    Both ends of a pair are searched in turn, a hop each, and a pair leaves the search
+    when the sides meet, so about half the distance is walked from either end.
+    """
+    start = pairs.select("graph_id", "u", "v").distinct()
+    sym = durable(gs.sym.withColumnRenamed("src", "at"))
+    key = ["graph_id", "u", "v"]
+    seen = [durable(start.withColumn("at", F.col(c))) for c in ("u", "v")]
+    front, found, hop = list(seen), start.filter(F.col("u") == F.col("v")).withColumn("d", F.lit(0)), 0
+    while True:
+        side = hop % 2
+        hop += 1
+        step = front[side].join(sym, ["graph_id", "at"]).select(*key, F.col("dst").alias("at")).distinct()
+        front[side] = durable(step.join(seen[side], [*key, "at"], "left_anti"))
+        # A side that cannot go on has reached all it can without meeting the other.
+        alive = front[side].select(*key).distinct()
+        met = durable(front[side].join(seen[1 - side], [*key, "at"], "left_semi").select(*key).distinct().join(found, key, "left_anti").withColumn("d", F.lit(hop)))
+        found = found.unionByName(met)
+        go = durable(alive.join(met, key, "left_anti"))
+        if go.isEmpty():
+            return found
+        seen[side] = durable(seen[side].unionByName(front[side]).join(go, key, "left_semi"))
+        front = [f.join(go, key, "left_semi") for f in front]
+
+
 def pivots(gs: GraphSet, k: int, seed: int = 0) -> DataFrame:
     """graph_id, node_id: k nodes of every graph by a hash of (seed, id)."""
     from pyspark.sql import Window

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions.render import text_column
 from knotwork.model import GraphSet
-from knotwork.operators.iterative import distances
+from knotwork.operators.iterative import pair_distances
 
 LINK_FEATURES = ("common_neighbors", "jaccard", "adamic_adar", "resource_allocation", "preferential_attachment", "shortest_path", "same_community")
 
@@ -42,8 +42,7 @@ def link_features(gs: GraphSet, pairs: DataFrame, communities: DataFrame | None
         F.coalesce("aa", F.lit(0.0)).alias("adamic_adar"), F.coalesce("ra", F.lit(0.0)).alias("resource_allocation"), (zero("du") * zero("dv")).cast("long").alias("preferential_attachment"),
     )
     if paths:
-        dist = distances(gs, pairs.select("graph_id", F.col("u").alias("node_id")))
-        near = dist.select("graph_id", F.col("s").alias("u"), F.col("t").alias("v"), F.col("d").alias("shortest_path"))
+        near = pair_distances(gs, pairs).withColumnRenamed("d", "shortest_path")
         out = out.join(near, ["graph_id", "u", "v"], "left").withColumn("shortest_path", F.coalesce("shortest_path", F.lit(-1)))
     if communities is not None:
         a = communities.select("graph_id", F.col("node_id").alias("u"), F.col("community").alias("cu"))

@@ -105,12 +105,12 @@ def powerlaw_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {G1}{CLUSTER} SELECT g AS graph_id, round(ac, 6) AS avg_clustering, round(tv, 6) AS transitivity, nt AS n_triangles FROM clu")
 def triangles_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.clustering(g1(spark, sf_dir)).withColumns({c: r6(c) for c in ("avg_clustering", "transitivity")})
+    return S.clustering(g1(spark, sf_dir).stored()).withColumns({c: r6(c) for c in ("avg_clustering", "transitivity")})
 
 
 @query(f"WITH {G1}{CLUSTER} SELECT g AS graph_id, v AS node_id, CAST(d AS BIGINT) AS deg, CAST(tr AS BIGINT) AS triangles, round(cl, 6) AS clustering FROM loc")
 def local_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.local_clustering(g1(spark, sf_dir)).select("graph_id", "node_id", "deg", "triangles", r6("clustering").alias("clustering"))
+    return S.local_clustering(g1(spark, sf_dir).stored()).select("graph_id", "node_id", "deg", "triangles", r6("clustering").alias("clustering"))
 
 
 @query(f"""WITH {G1}, C AS (SELECT a.g, a.t AS u, b.t AS v, count(*) AS c FROM S a JOIN S b ON a.g = b.g AND a.s = b.s AND a.t < b.t GROUP BY ALL)
@@ -123,7 +123,7 @@ def four_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 A AS (SELECT g, count(*) AS n, CAST(sum(x) AS DOUBLE) AS sx, CAST(sum(x * x) AS DOUBLE) AS sxx, CAST(sum(x * y) AS DOUBLE) AS sxy FROM X GROUP BY g)
 SELECT N.g AS graph_id, round(CASE WHEN A.n * sxx - sx * sx > 0 THEN (A.n * sxy - sx * sx) / (A.n * sxx - sx * sx) END, 6) AS degree_assortativity FROM N LEFT JOIN A ON N.g = A.g""")
 def degree_assortativity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.degree_assortativity(g1(spark, sf_dir)).withColumn("degree_assortativity", r6("degree_assortativity"))
+    return S.degree_assortativity(g1(spark, sf_dir).stored()).withColumn("degree_assortativity", r6("degree_assortativity"))
 
 
 _REACH = f"WITH RECURSIVE {G1}{DIST}, comp AS (SELECT g, s AS v, min(t) AS c FROM dist GROUP BY ALL)"
@@ -131,7 +131,7 @@ _REACH = f"WITH RECURSIVE {G1}{DIST}, comp AS (SELECT g, s AS v, min(t) AS c FRO
 
 @query(f"{_REACH} SELECT N.g AS graph_id, CAST(k2 AS BIGINT) AS n_components, CAST(m - n + k2 AS BIGINT) AS n_cycles FROM N JOIN (SELECT g, count(DISTINCT c) AS k2 FROM comp GROUP BY g) x ON N.g = x.g")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gs = g1(spark, sf_dir)
+    gs = g1(spark, sf_dir).stored()
     counts = iterative.components(gs).groupBy("graph_id").agg(F.count_distinct("component").alias("n_components"))
     return S.size(gs).join(counts, "graph_id").select("graph_id", "n_components", S.cyclomatic(F.col("n_nodes"), F.col("n_edges"), F.col("n_components")).alias("n_cycles"))
 
@@ -148,7 +148,7 @@ def distances_lcc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {G1}{DIST}{LCC} SELECT g AS graph_id, round(apl, 6) AS avg_path_length, CAST(diameter AS INTEGER) AS diameter, CAST(radius AS INTEGER) AS radius FROM lcc")
 def distances_by_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gs = g1(spark, sf_dir)
+    gs = g1(spark, sf_dir).stored()
     return iterative.path_facts(gs, iterative.distances(gs)).withColumn("avg_path_length", r6("avg_path_length"))
 
 
@@ -285,7 +285,7 @@ def cross_edge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_REACH.replace(G1, ATTR)}, X AS (SELECT A.g, comp.c, a, count(*) AS k FROM A JOIN comp ON A.g = comp.g AND A.v = comp.v GROUP BY ALL)
 SELECT g AS graph_id, round(sum(most) / sum(total), 6) AS community_purity FROM (SELECT g, c, max(k) AS most, sum(k) AS total FROM X GROUP BY ALL) GROUP BY g""")
 def community_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gs = g1(spark, sf_dir, True)
+    gs = g1(spark, sf_dir, True).stored()
     parts = iterative.components(gs).withColumnRenamed("component", "community")
     return attributes.purity(gs, "type", parts).withColumn("community_purity", r6("community_purity"))
 
@@ -293,13 +293,13 @@ def community_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ATTR}, I AS (SELECT g, sa AS c, count(*) AS l FROM L WHERE sa = ta GROUP BY ALL), X AS (SELECT D.g, A.a AS c, sum(d) AS d FROM D JOIN A ON D.g = A.g AND D.v = A.v GROUP BY ALL)
 SELECT N.g AS graph_id, round(coalesce(sum(CASE WHEN m > 0 THEN coalesce(l, 0) / m - (d / (2 * m)) ** 2 END), 0), 6) AS modularity FROM X JOIN N ON X.g = N.g LEFT JOIN I ON I.g = X.g AND I.c = X.c GROUP BY N.g""")
 def modularity_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gs = g1(spark, sf_dir, True)
+    gs = g1(spark, sf_dir, True).stored()
     return S.modularity(gs, attributes.values(gs, "type"), "val").withColumn("modularity", r6("modularity"))
 
 
 @query(f"{_BETWEEN.replace(G1, ATTR)} SELECT bc.g AS graph_id, A.a AS val, round(avg(bc.b), 6) AS mean FROM bc JOIN A ON bc.g = A.g AND bc.v = A.v GROUP BY ALL")
 def group_mean_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gs = g1(spark, sf_dir, True)
+    gs = g1(spark, sf_dir, True).stored()
     return attributes.mean_by_group(gs, "type", kernels.node_facts(kernels.kernel_facts(gs))).withColumn("mean", r6("mean"))
 
 
@@ -331,7 +331,7 @@ def targets(gs: GraphSet, k: int = 1) -> DataFrame:
 SELECT p.g AS graph_id, count(*) AS n_nodes, CAST(coalesce(max(m), 0) AS BIGINT) AS n_edges, array_to_string(list_sort(list(v)), ',') AS members
 FROM pick p LEFT JOIN (SELECT E.g, count(*) AS m FROM E JOIN pick a ON E.g = a.g AND E.s = a.v JOIN pick b ON E.g = b.g AND E.t = b.v GROUP BY E.g) x ON p.g = x.g GROUP BY p.g""")
 def ego_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gs = g1(spark, sf_dir)
+    gs = g1(spark, sf_dir).stored()
     ego, members = neighborhoods.ego_graphs(gs, targets(gs).withColumn("seed_id", F.col("graph_id")))
     lists = members.groupBy(F.col("seed_id").alias("graph_id")).agg(F.array_join(F.array_sort(F.collect_list("node_id")), ",").alias("members"))
     return S.size(ego).drop("density").join(lists, "graph_id")
@@ -342,7 +342,7 @@ two AS (SELECT g FROM T GROUP BY g HAVING count(*) >= 2)
 SELECT p.g AS graph_id, count(*) AS n_nodes, CAST(coalesce(max(m), 0) AS BIGINT) AS n_edges FROM pick p JOIN two ON p.g = two.g
 LEFT JOIN (SELECT E.g, count(*) AS m FROM E JOIN pick a ON E.g = a.g AND E.s = a.v JOIN pick b ON E.g = b.g AND E.t = b.v WHERE NOT (a.i < 2 AND b.i < 2) GROUP BY E.g) x ON p.g = x.g GROUP BY p.g""")
 def joint_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gs = g1(spark, sf_dir)
+    gs = g1(spark, sf_dir).stored()
     joint, _ = neighborhoods.joint_graphs(gs, top_pairs(gs).withColumn("seed_id", F.col("graph_id")))
     return S.size(joint).drop("density")
 
@@ -357,7 +357,7 @@ _PAIR = ", pr AS (SELECT a.g, a.v AS u, b.v FROM T a JOIN T b ON a.g = b.g AND a
 
 @query(f"WITH {G1}{_TOP}{_PAIR} SELECT E.g AS graph_id, count(*) AS n_edges FROM E LEFT JOIN pr ON E.g = pr.g AND E.s = least(pr.u, pr.v) AND E.t = greatest(pr.u, pr.v) WHERE pr.g IS NULL GROUP BY E.g")
 def observed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gs = g1(spark, sf_dir)
+    gs = g1(spark, sf_dir).stored()
     return neighborhoods.observed(gs, top_pairs(gs)).edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
@@ -371,7 +371,7 @@ X AS (SELECT pr.*, coalesce(cn, 0) AS c, coalesce(aa, 0) AS aa, coalesce(ra, 0)
 SELECT g AS graph_id, u, v, c AS common_neighbors, round(CASE WHEN du + dv - c > 0 THEN c / (du + dv - c) ELSE 0 END, 6) AS jaccard, round(aa, 6) AS adamic_adar, round(ra, 6) AS resource_allocation,
 CAST(du * dv AS BIGINT) AS preferential_attachment, CAST(sp AS INTEGER) AS shortest_path FROM X""")
 def link_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gs = g1(spark, sf_dir)
+    gs = g1(spark, sf_dir).stored()
     pairs = top_pairs(gs)
     out = links.link_features(neighborhoods.observed(gs, pairs), pairs)
     return out.withColumns({c: r6(c) for c in ("jaccard", "adamic_adar", "resource_allocation")})
