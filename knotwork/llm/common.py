@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,10 +18,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a Python function gets at a time: long texts stay few.
+SLICE = 500
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def bounded(work: Callable[[Batches], Batches], rows: int = SLICE) -> Callable[[Batches], Batches]:
+    """work on slices of the batches; a worker gives its free memory back to the system when it is done.
+
+    Workers outlive a stage, so what they hold would count against the next one.
+    """
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from work(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered up to a bound."""
 
-    LIMIT = 1_000_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)

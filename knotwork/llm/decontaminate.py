@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import WordHashes, shingle_hashes, words_of
+from knotwork.llm.common import WordHashes, bounded, shingle_hashes, words_of
 
 SHINGLE = 5
 #: Share of an item's shingles that a document must contain.
@@ -138,7 +138,7 @@ def leaks(docs: DataFrame, items: DataFrame, share: Fraction = CONTAINMENT, bloc
                 cols = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_item", "n_shared"])
 
-        found = picked.mapInArrow(run, "doc_id long, item_id long, n_item long, n_shared long")
+        found = picked.mapInArrow(bounded(run), "doc_id long, item_id long, n_item long, n_shared long")
         out = found if out is None else out.unionByName(found)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
@@ -154,7 +154,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, share: Fraction = CONTAINME
             for b in batches:
                 yield b.filter(pa.array([not sent.value.search(t, hashes, share) for t in b.column(names.index("text")).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(bounded(run), docs.schema)
     return docs
 
 

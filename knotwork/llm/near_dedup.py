@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import WordHashes, durable, mix64, shingle_hashes, words_of
+from knotwork.llm.common import WordHashes, bounded, durable, mix64, shingle_hashes, words_of
 from knotwork.llm.components import connected_components
 
 #: Linked if 100 * intersection >= PERCENT * union.
@@ -104,42 +104,36 @@ def bucket_keys(codes: np.ndarray, plan: list[tuple[int, ...]]) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            b = whole.slice(at, 500)
-            words = [words_of(t) for t in b.column("text").to_pylist()]
-            digests = np.array([divmod(xxhash.xxh3_128_intdigest(b" ".join(w)), 1 << 64) for w in words], np.uint64).view(np.int64)
-            sets = [np.unique(shingle_hashes(w, hashes)) for w in words]
-            full = [i for i, s in enumerate(sets) if len(s)]
-            sig: list[bytes | None] = [None] * len(sets)
-            if full:
-                for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
-                    sig[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())],
-                ["doc_id", "d1", "d2", "n_shingles", "sig"],
-            )
+    for b in batches:
+        words = [words_of(t) for t in b.column("text").to_pylist()]
+        digests = np.array([divmod(xxhash.xxh3_128_intdigest(b" ".join(w)), 1 << 64) for w in words], np.uint64).view(np.int64)
+        sets = [np.unique(shingle_hashes(w, hashes)) for w in words]
+        full = [i for i, s in enumerate(sets) if len(s)]
+        sig: list[bytes | None] = [None] * len(sets)
+        if full:
+            for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
+                sig[i] = row.tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())],
+            ["doc_id", "d1", "d2", "n_shingles", "sig"],
+        )
 
 
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     plan = chunk_plan()
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            b = whole.slice(at, 2000)
-            keys = bucket_keys(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, CODES), plan)
-            rid = np.repeat(b.column("rid").to_numpy(), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rid)], ["key", "rid"])
+    for b in batches:
+        keys = bucket_keys(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, CODES), plan)
+        rid = np.repeat(b.column("rid").to_numpy(), keys.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rid)], ["key", "rid"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            b = whole.slice(at, 500)
-            sets = [np.unique(shingle_hashes(words_of(t), hashes)).view(np.int64) for t in b.column("text").to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("rid"), shingles], ["rid", "shingles"])
+    for b in batches:
+        sets = [np.unique(shingle_hashes(words_of(t), hashes)).view(np.int64) for t in b.column("text").to_pylist()]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+        yield pa.RecordBatch.from_arrays([b.column("rid"), shingles], ["rid", "shingles"])
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,13 +213,13 @@ _PAIRS = "a long, b long"
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("set_b"))
-    return durable(pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirm, _PAIRS))
+    return durable(pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(bounded(_confirm), _PAIRS))
 
 
 def _near_by_signature(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     a = classes.select(F.col("rid").alias("a"), F.col("sig").alias("sig_a"))
     b = classes.select(F.col("rid").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_close, _PAIRS)
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(bounded(_close), _PAIRS)
 
 
 def _across(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
@@ -254,7 +248,7 @@ def _across(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFra
     rows = rows.withColumn("g", F.explode(F.when(F.col("out") == 1, outer).otherwise(inner)))
     rows = rows.join(classes.select("rid", "sig"), "rid").select("key", "g.bi", "g.bj", "g.side", "rid", "comp", "n", "common", "sig")
     rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return durable(rows.mapInArrow(_compare_blocks, _PAIRS))
+    return durable(rows.mapInArrow(bounded(_compare_blocks), _PAIRS))
 
 
 def _linkable(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -283,15 +277,15 @@ def link_documents(docs: DataFrame) -> DataFrame:
     ignored.
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = durable(picked.mapInArrow(_sign, "doc_id long, d1 long, d2 long, n_shingles long, sig binary"))
+    signed = durable(picked.mapInArrow(bounded(_sign), "doc_id long, d1 long, d2 long, n_shingles long, sig binary"))
     known = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = durable(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig")))
 
-    buckets = classes.select("rid", "sig").mapInArrow(_emit_keys, "key long, rid long")
+    buckets = classes.select("rid", "sig").mapInArrow(bounded(_emit_keys, 2000), "key long, rid long")
     shared = buckets.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter(F.col("lo") != F.col("hi"))
     members = durable(buckets.join(shared.select("key"), "key"))
     wanted = members.select("rid").distinct()
-    sets = durable(picked.withColumnRenamed("doc_id", "rid").join(wanted, "rid", "left_semi").mapInArrow(_sets, "rid long, shingles array<long>"))
+    sets = durable(picked.withColumnRenamed("doc_id", "rid").join(wanted, "rid", "left_semi").mapInArrow(bounded(_sets), "rid long, shingles array<long>"))
     members = _linkable(members, sets)
 
     star = members.filter(F.col("rid") != F.col("center"))

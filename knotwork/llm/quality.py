@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from knotwork.llm.common import bounded
+
 #: Labelled documents of either label that are fitted on at most: the bound of all that is broadcast.
 SAMPLE_PER_LABEL = 2_500
 BUCKETS = 1_024
@@ -43,7 +45,7 @@ def shape(word: str) -> str:
 class TermBuckets(dict):
     """word -> buckets of its terms, remembered up to a bound."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> tuple[int, int]:
         terms = (bucket("s:" + shape(word)), bucket("e:" + word[-3:].lower()))
@@ -156,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
             sparse = [(np.flatnonzero(v).astype(np.int16), v[v > 0].astype(np.float32)) for v in x]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([i.tobytes() for i, _ in sparse], pa.binary()), pa.array([v.tobytes() for _, v in sparse], pa.binary())], ["doc_id", "at", "weight"])
 
-    rows = sample.mapInArrow(run, "doc_id long, at binary, weight binary").dropDuplicates(["doc_id"]).collect()
+    rows = sample.mapInArrow(bounded(run, _CHUNK), "doc_id long, at binary, weight binary").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r.doc_id)
     x = np.zeros((len(rows), BUCKETS))
     for i, r in enumerate(rows):
@@ -176,14 +178,12 @@ def score(docs: DataFrame, space: Space, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = TermBuckets()
-        for whole in batches:
-            for at in range(0, whole.num_rows, _CHUNK):
-                b = whole.slice(at, _CHUNK)
-                x = np.array([terms(t, buckets) for t in b.column(names.index("text")).to_pylist()])
-                s = sent.value.score(x)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array(s >= threshold, pa.bool_())], [*names, "quality_score", "accepted"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]))
+        for b in batches:
+            x = np.array([terms(t, buckets) for t in b.column(names.index("text")).to_pylist()])
+            s = sent.value.score(x)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array(s >= threshold, pa.bool_())], [*names, "quality_score", "accepted"])
+
+    return docs.mapInArrow(bounded(run, _CHUNK), T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

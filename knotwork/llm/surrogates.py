@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knotwork.llm.common import durable
+from knotwork.llm.common import bounded, durable
 
 #: Retried entities that are broadcast at most; beyond it they are joined to the documents that hold them.
 MOST_BROADCAST = 200_000
@@ -199,7 +199,7 @@ def distinct_entities(docs: DataFrame) -> DataFrame:
             own = sorted({(k, c) for t in batch.column("text").to_pylist() for _, _, k, c in entities(t)})
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.string()), pa.array([c for _, c in own], pa.string())], ["kind", "canon"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, canon string").distinct()
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(bounded(run), "kind string, canon string").distinct()
 
 
 def resolve(found: DataFrame, key: bytes) -> DataFrame:
@@ -216,7 +216,7 @@ def resolve(found: DataFrame, key: bytes) -> DataFrame:
     originals = found.select(F.col("kind").alias("okind"), F.col("canon").alias("ocanon"))
     pending, settled = found.withColumn("attempt", F.lit(0)), None
     for _ in range(MOST_ATTEMPTS):
-        tried = durable(pending.select("kind", "canon", "attempt").mapInArrow(assign, schema))
+        tried = durable(pending.select("kind", "canon", "attempt").mapInArrow(bounded(assign), schema))
         if tried.isEmpty():
             break
         real = (F.col("kind") == F.col("okind")) & (F.col("new") == F.col("ocanon"))
@@ -254,7 +254,7 @@ def apply(docs: DataFrame, key: bytes, retries: DataFrame, most_broadcast: int =
             yield pa.RecordBatch.from_arrays([*(new if c == "text" else b.column(c) for c in names), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], [*names, "n_entities", "spans"])
 
     out = T.StructType([*schema.fields, T.StructField("n_entities", T.LongType()), T.StructField("spans", T.StringType())])
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(bounded(run), out)
 
 
 def _with_own_retries(docs: DataFrame, retries: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def _with_own_retries(docs: DataFrame, retries: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], ["__row", "__len", "kind", "canon"])
 
-    held = keyed.select("__row", "__len", "text").mapInArrow(run, "__row long, __len int, kind string, canon string").distinct()
+    held = keyed.select("__row", "__len", "text").mapInArrow(bounded(run), "__row long, __len int, kind string, canon string").distinct()
     held = held.join(retries.select("kind", "canon", "attempt"), ["kind", "canon"])
     own = held.groupBy("__row", "__len").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("__retries"))
     return keyed.join(own, ["__row", "__len"], "left").drop("__row", "__len")
