@@ -122,8 +122,8 @@ def _shards(node) -> list[int]:
 def with_slots(rows: DataFrame) -> DataFrame:
     """Gapless numbers within each shard in the order (__at, doc_id).
 
-    The leading bits of the hash cut it into blocks, so many that a shard's part of a
-    block has about BLOCK_ROWS rows. Blocks are ranges of the order, so the numbers do
+    The leading bits of the hash cut it into blocks, so many that a block has about
+    BLOCK_ROWS rows over all shards. Blocks are ranges of the order, so the numbers do
     not depend on how many there are. A first pass counts rows by (shard, block), the
     second adds what lies before a row's block.
     """
