@@ -30,6 +30,8 @@ from knotwork.llm.common import durable
 BOUND = 1
 #: Blocks of a line, of which an edit is in one.
 BLOCKS = 16
+#: Shares of all line occurrences; a line that has more than one of them is dealt to several tasks.
+SHARES = 1_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -114,6 +116,12 @@ def near_lines(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     return alike.groupBy("first").agg(F.min("best").alias("near"))
 
 
+def parts_of(found: DataFrame) -> Column:
+    """How many tasks the n occurrences of a line are dealt to, so that a part has at most one of SHARES of all."""
+    total = found.agg(F.sum("n")).first()[0] or 1
+    return F.least(F.ceil(F.col("n") * SHARES / total), F.col("n")).cast("int")
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, first_doc_id, first_line_no, edits: the line occurrences that go, with the earliest line alike.
 
@@ -124,11 +132,17 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     An empty table gives an empty result; other columns are ignored.
     """
     lines = lines_of(docs)
-    found = durable(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(F.struct("doc_id", "line_no")).alias("last")))
+    found = durable(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(F.struct("doc_id", "line_no")).alias("last"), F.count(F.lit(1)).alias("n")))
     near = near_lines(found, lines)
+    parts = parts_of(found)
     best = found.join(near, "first", "left").filter(F.col("near").isNotNull() | (F.col("first") != F.col("last")))
-    best = durable(best.select("h1", "h2", F.least("first", "near").alias("keep"), F.col("near").isNotNull().alias("is_near")))
-    out = lines.select("h1", "h2", "doc_id", "line_no").join(best, ["h1", "h2"])
+    best = durable(best.select("h1", "h2", "n", F.least("first", "near").alias("keep"), F.col("near").isNotNull().alias("is_near")))
+    best = best.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    # Fewer than SHARES lines have more than one part, so their number of parts is broadcast.
+    often = found.filter(parts > 1).select("h1", "h2", parts.alias("parts"))
+    out = lines.select("h1", "h2", "doc_id", "line_no").join(F.broadcast(often), ["h1", "h2"], "left")
+    part = F.pmod(F.xxhash64("doc_id", "line_no"), F.coalesce("parts", F.lit(1))).cast("int")
+    out = out.withColumn("part", part).drop("parts").join(best, ["h1", "h2", "part"])
     out = out.filter(F.struct("doc_id", "line_no") > F.col("keep")).distinct()
     return out.select(
         "doc_id", "line_no", F.col("keep.doc_id").alias("first_doc_id"), F.col("keep.line_no").alias("first_line_no"),
