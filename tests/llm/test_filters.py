@@ -6,6 +6,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from knotwork.llm import decontaminate, quality, secrets, surrogates, url_filter
@@ -156,6 +158,34 @@ def test_secret_spans(docs, clashing):
     assert secrets.scan(docs(rows).limit(0)).count() == 0
 
 
+def test_long_tokens():
+    net, rng = secrets.trained(), np.random.default_rng(3)
+    random = "".join(rng.choice(list("ABCDEFabcdefGHIJKghijk0123456789+/"), 30_000))
+    dull = "-".join(["er", "le", "ment"] * 300) + "9"
+    late = dull + random[:60]
+    texts = ["key = " + random, "see " + dull + " end", random[:16], random[:15], "key = " + late + " passwd=" + random[:40], None]
+    got = [model for _, model in secrets.scan_texts(texts, net)]
+    assert got[0] == [(6, 3, 6 + len(random))] and got[1] == [] and got[3] == [] and got[5] == []
+    assert got[4] in ([], [(6, 3, 6 + len(late))])
+    # A token in pieces scores as the network's maxima over all of it.
+    pieces = secrets.pieces(6, 6 + len(late))
+    assert [b for _, b in pieces[:-1]] == [a for a, _ in pieces[1:]]
+    codes = np.array([secrets.encode(texts[4], a, b) for a, b in pieces])
+    h = [net.forward(c[None])[1][0] for c in codes]
+    inside = np.max([x[secrets.CONTEXT : secrets.CONTEXT + secrets.TOKEN].max(0) for x in h], axis=0)
+    around = np.maximum(h[0][: secrets.CONTEXT].max(0), h[-1][secrets.CONTEXT + secrets.TOKEN :].max(0))
+    want = 1 / (1 + np.exp(-(np.concatenate([inside, around]) @ net.out + net.out_bias) / net.temperature))
+    assert np.allclose(net.score_tokens(codes, np.array([0])), want)
+
+
+@given(st.text("ab1 =:AKI0", max_size=200), st.lists(st.tuples(st.integers(0, 200), st.integers(1, 60)), max_size=8))
+@settings(max_examples=100, deadline=None)
+def test_candidates_avoid_findings(text, spans):
+    base = sorted((s, 0, s + n) for s, n in spans)
+    every = [(m.start(), m.end()) for m in secrets.CANDIDATE.finditer(text)]
+    assert secrets.candidates(text, base) == [(a, b) for a, b in every if not any(s < b and a < e for s, _, e in base)]
+
+
 def test_network_recall_and_gradient():
     net = secrets.trained()
     codes, y = secrets.labelled_findings(np.random.default_rng(5), 1500)
