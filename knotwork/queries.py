@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotwork import facts as facts_
+from knotwork.durable import durable
 from knotwork.functions import render, words
 from knotwork.model import GraphSet
 from knotwork.operators import answers, attributes, iterative, kernels, kg, learners, links, metrics, neighborhoods, prompts, splits
@@ -248,6 +249,13 @@ def verbalize_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return office.unionByName(render.verbalize(facts_.facts(builtin.molecule(spark, 1), ["atom"])))
 
 
+@query()
+def node_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node in a few sentences."""
+    gs = g1(spark, sf_dir).stored()
+    return render.verbalize_nodes(render.ranked_nodes(S.local_clustering(gs)), kernels.node_facts(kernels.kernel_facts(gs)), S.neighbor_lists(gs))
+
+
 # -- attributes --------------------------------------------------------------------
 
 ATTR = G1 + ", A AS (SELECT V.g, V.v, p_type AS a, p_brand AS b FROM V JOIN part ON p_partkey = V.p), L AS (SELECT E.g, E.s, E.t, x.a AS sa, y.a AS ta FROM E JOIN A x ON E.g = x.g AND E.s = x.v JOIN A y ON E.g = y.g AND E.t = y.v)"
@@ -745,6 +753,129 @@ def logistic_on_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "label", "prediction", r6("probability").alias("probability"))
 
 
+# -- alignments, molecules, baselines and generators -------------------------------
+
+_BITS = "coalesce(array_to_string(list_transform(embedding[1:6], lambda v: CASE WHEN v > 0 THEN '1' ELSE '0' END), ','), '')"
+
+
+@query(f"""WITH K AS (SELECT vec_id AS id, {_BITS} AS key FROM embeddings), A AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS n FROM K),
+B AS (SELECT -id AS id, key, row_number() OVER (PARTITION BY key ORDER BY -id) AS n, count(*) OVER (PARTITION BY key) AS many FROM K)
+SELECT A.id AS left_id, B.id AS right_id, many = 1 AS "unique" FROM A JOIN B ON A.key = B.key AND A.n = B.n""")
+def aligned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = testdata.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 6).alias("x"))
+    return collections.aligned_by_rows(x, x.withColumn("id", -F.col("id")))
+
+
+@query("""WITH P AS (SELECT p_type AS label, p_name AS text, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS n, count(*) OVER (PARTITION BY p_type) AS size FROM part WHERE p_type <> 'PROMO')
+SELECT p_partkey AS id, p_type AS label, coalesce(P.text, '(no text; class ' || p_type || ')') AS text FROM part LEFT JOIN P ON P.label = p_type AND P.n = p_partkey % P.size""")
+def class_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = testdata.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("label"), F.col("p_name").alias("text"))
+    return collections.aligned_by_class(parts.select("id", "label"), parts.filter("label <> 'PROMO'"))
+
+
+@query("""SELECT vec_id AS graph_id, CAST(len(embedding) AS INTEGER) AS n, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 4) AS total FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0""")
+def embedding_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = testdata.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("graph_id"), F.col("embedding").cast("array<double>").alias("features"))
+    kept = rows.filter(F.col("features").isNotNull() & ~F.exists("features", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
+    total = F.aggregate("features", F.lit(0.0), lambda a, v: a + v)
+    return collections.embeddings(rows, kept).select("graph_id", F.size("features").alias("n"), F.round(total, 4).alias("total"))
+
+
+_SYMBOL = "CASE z " + " ".join(f"WHEN {z} THEN '{s}'" for z, s in collections.SYMBOLS.items()) + " ELSE 'Z' || z END"
+
+
+@query(f"""WITH X AS (SELECT g, s, count(*) AS n, min(o) AS o FROM (SELECT l_orderkey AS g, l_linenumber AS o, {_SYMBOL} AS s FROM (SELECT *, l_partkey % 60 AS z FROM lineitem)) GROUP BY ALL)
+SELECT g AS graph_id, 'Atoms (' || CAST(sum(n) AS BIGINT) || ' total): ' || string_agg(s || 'x' || n, ', ' ORDER BY n DESC, o, s || 'x' || n) AS text FROM X GROUP BY g""")
+def element_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    atoms = testdata.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph_id"), F.col("l_linenumber").alias("node_ord"), (F.col("l_partkey") % 60).alias("number"))
+    return collections.element_lines(atoms)
+
+
+@query(f"WITH {G1} SELECT g AS graph_id, v AS node_id, least(d, 50) AS at, 51 AS width FROM D")
+def degree_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hot = learners.degree_one_hot(g1(spark, sf_dir).degrees)
+    return hot.select("graph_id", "node_id", (F.array_position("features", F.lit(1.0)) - 1).alias("at"), F.size("features").alias("width"))
+
+
+def _balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regression split with a customer's balance as value."""
+    value = testdata.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
+    return splits.regression_split(testdata.customers(spark, sf_dir), 11, 10, 12).join(value, "id")
+
+
+@query(f"""WITH {_SEGMENTS}, X AS (SELECT id, row_number() OVER (ORDER BY {sql_digest('11', 'id')}, id) - 1 AS ord FROM C),
+M AS (SELECT round(avg(c_acctbal), 4) AS prediction FROM X JOIN customer ON c_custkey = id WHERE ord < 10 OR (ord >= 22 AND ord < 412))
+SELECT id, prediction FROM X, M WHERE ord >= 10 AND ord < 22""")
+def mean_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _balances(spark, sf_dir)
+    out = learners.mean_value(rows.filter("role = 'train'"), rows.filter("role = 'query'").drop("value"))
+    return out.select("id", F.round("prediction", 4).alias("prediction"))
+
+
+@query()
+def ridge_on_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge regression of the balances on the feature vectors of groups A and B."""
+    rows = _balances(spark, sf_dir)
+    gs = g1(spark, sf_dir).only(rows.select(F.col("id").alias("graph_id")).distinct())
+    x = facts_.structure(gs, "BC").select(F.col("graph_id").alias("id"), feature_column("BC").alias("features"))
+    rows = durable(rows.join(x, "id"))
+    out = learners.ridge(rows.filter("role = 'train'"), rows.filter("role = 'query'"))
+    return out.select("id", r6("prediction").alias("prediction"))
+
+
+@query(f"WITH {KG} SELECT h, r, t FROM K UNION ALL SELECT t, r || '^-1', h FROM K")
+def kg_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kg.both_ways(testdata.knowledge(spark, sf_dir))
+
+
+@query(f"""WITH {KG}, n AS (SELECT count(*) AS n FROM ent), m AS (SELECT count(*) AS m FROM (SELECT DISTINCT least(h, t), greatest(h, t) FROM K WHERE h <> t))
+SELECT CAST(0 AS BIGINT) AS graph_id, n AS n_nodes, m AS n_edges FROM n, m""")
+def kg_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.size(neighborhoods.skeleton(testdata.knowledge(spark, sf_dir))).drop("density")
+
+
+@query(f"WITH {KG} SELECT e AS ent, count(*) AS n FROM (SELECT h AS e FROM K UNION ALL SELECT t FROM K WHERE t <> h) GROUP BY e")
+def kg_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighborhoods.incident(testdata.knowledge(spark, sf_dir)).groupBy("ent").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS run FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1)")
+def pending_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = testdata.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("run"))
+    line = F.when(F.col("o_orderkey") % 2 == 1, "0: CLASS1").otherwise(" ")
+    return prompts.pending(runs, testdata.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("run"), line.alias("line")))
+
+
+@query(f"""WITH RECURSIVE {G1}{_TOP}{_HOPS.format(seeds="T.r = 1", place="near.d", join="", cap=25)}
+SELECT g AS seed_id, v AS node_id, 'A' || lpad(CAST(i AS VARCHAR), 2, '0') AS token FROM pick""")
+def anonymous_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gs = g1(spark, sf_dir).stored()
+    _, members = neighborhoods.ego_graphs(gs, targets(gs).withColumn("seed_id", F.col("graph_id")))
+    return neighborhoods.anonymous(members)
+
+
+@query()
+def link_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gs = g1(spark, sf_dir).stored()
+    return links.link_lines(links.link_features(gs, top_pairs(gs)))
+
+
+@query()
+def synthetic_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of random, preferential and small-world graphs, 16 of each."""
+    gs, labels = builtin.families(spark, 11, 16)
+    return S.size(gs).join(labels, "graph_id").withColumn("density", r6("density"))
+
+
+@query()
+def block_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees of a stochastic block model, with the block of each node."""
+    gs = builtin.blocks(spark, 11)
+    block = gs.vertices.select("graph_id", "node_id", F.col("attrs")["block"].alias("block"))
+    return gs.degrees.join(block, ["graph_id", "node_id"]).select("graph_id", "node_id", "block", "deg")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
