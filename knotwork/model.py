@@ -24,6 +24,8 @@ class Caps:
     ring_excess: int = 60
     #: Nodes of a graph that one task holds as a dense matrix; larger graphs take the iterative operators.
     dense: int = 2000
+    #: Nodes of a graph that one task holds as lists of neighbours, for communities.
+    merged: int = 100_000
 
 
 @dataclass(frozen=True)

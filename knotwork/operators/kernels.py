@@ -8,6 +8,7 @@ as matrix products.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -105,41 +106,31 @@ def communities(n: int, edges: np.ndarray) -> list[list[int]]:
     """Greedy modularity: merge the two linked communities of largest gain while it is not negative.
 
     Equal gains go to the pair whose communities hold the smallest first nodes. Largest
-    communities first, then by first node. Without edges every node is its own.
+    communities first, then by first node. Without edges every node is its own. A heap
+    holds the gain of every link; entries that a merge has made stale are passed over.
     """
-    m = len(edges)
-    if not m:
-        return [[v] for v in range(n)]
+    two_m = 2 * len(edges)
     links: list[dict[int, int]] = [{} for _ in range(n)]
-    ends = [0] * n
     for u, v in edges.tolist():
         links[u][v] = links[v][u] = 1
-        ends[u] += 1
-        ends[v] += 1
+    ends = [len(x) for x in links]
     members = {v: [v] for v in range(n)}
-    two_m = 2 * m
-    while True:
-        best, pair = -1, None
-        for u in members:
-            mine = ends[u]
-            for v, w in links[u].items():
-                # A community is named by its first node. gain * 2m * m, in whole numbers.
-                if u < v and (gain := two_m * w - mine * ends[v]) > best:
-                    best, pair = gain, (u, v)
-                elif u < v and gain == best and pair is not None and (u, v) < pair:
-                    pair = (u, v)
-        if pair is None or best < 0:
-            break
-        u, v = pair
+    # A community is named by its first node. Losses are -gain * 2m * m, in whole numbers.
+    heap = [(ends[u] * ends[v] - two_m, u, v) for u in range(n) for v in links[u] if u < v]
+    heapify(heap)
+    while heap and heap[0][0] <= 0:
+        loss, u, v = heappop(heap)
+        if v not in links[u] or ends[u] * ends[v] - two_m * links[u][v] != loss:
+            continue
+        del links[u][v], links[v][u]
         for x, w in links[v].items():
-            if x != u:
-                links[u][x] = links[u].get(x, 0) + w
-                links[x][u] = links[u][x]
-            links[x].pop(v, None)
-        links[u].pop(v, None)
+            del links[x][v]
+            links[u][x] = links[x][u] = links[u].get(x, 0) + w
         links[v] = {}
         ends[u] += ends[v]
         members[u] += members.pop(v)
+        for x, w in links[u].items():
+            heappush(heap, (ends[u] * ends[x] - two_m * w, min(u, x), max(u, x)))
     return sorted((sorted(c) for c in members.values()), key=lambda c: (-len(c), c[0]))
 
 
@@ -260,10 +251,10 @@ KERNEL_SCHEMA = (
 )
 
 
-def graph_rows(gs: GraphSet) -> DataFrame:
-    """graph_id, nodes, edges: one row per graph of at most Caps.dense nodes; edges as places in nodes."""
+def graph_rows(gs: GraphSet, least: int = 0, most: int | None = None) -> DataFrame:
+    """graph_id, nodes, src, dst: one row per graph of `least` to `most` (Caps.dense if None) nodes."""
     v = gs.vertices.select("graph_id", "node_id", "node_ord")
-    small = v.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= gs.caps.dense).select("graph_id")
+    small = v.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(least, gs.caps.dense if most is None else most)).select("graph_id")
     v = v.join(small, "graph_id", "left_semi")
     nodes = v.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("node_ord", "node_id"))).alias("nodes"))
     pairs = gs.edges.join(small, "graph_id", "left_semi").groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("edges"))
@@ -271,6 +262,36 @@ def graph_rows(gs: GraphSet) -> DataFrame:
     return out.select("graph_id", F.col("nodes.node_id").alias("nodes"), F.col("edges.src").alias("src"), F.col("edges.dst").alias("dst"))
 
 
+def placed(row: dict) -> np.ndarray:
+    """The edges of a row of graph_rows as sorted pairs of places in its nodes."""
+    at = {v: i for i, v in enumerate(row["nodes"])}
+    pairs = sorted(tuple(sorted((at[u], at[v]))) for u, v in zip(row["src"] or (), row["dst"] or (), strict=True))
+    return np.array(pairs, int).reshape(-1, 2)
+
+
+def large_communities(gs: GraphSet) -> DataFrame:
+    """graph_id, n_communities, modularity, of (communities by place of the node) for graphs of Caps.dense to Caps.merged nodes.
+
+    The agglomeration is ordered, so one task holds a graph; its memory grows with the
+    edges, not with the square of the nodes.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                n, edges = len(row["nodes"]), placed(row)
+                parts = communities(n, edges)
+                of = np.empty(n, np.int32)
+                for c, part in enumerate(parts):
+                    of[part] = c
+                yield pa.RecordBatch.from_pydict({
+                    "graph_id": pa.array([row["graph_id"]], pa.int64()), "n_communities": pa.array([len(parts)], pa.int64()),
+                    "modularity": pa.array([modularity(n, edges, parts)], pa.float64()), "of": pa.array([of.tolist()], pa.list_(pa.int32())),
+                })
+
+    return graph_rows(gs, gs.caps.dense + 1, gs.caps.merged).mapInArrow(run, "graph_id long, n_communities long, modularity double, of array<int>")
+
+
 def kernel_facts(gs: GraphSet) -> DataFrame:
     """The dense facts of every graph of at most Caps.dense nodes, with a row for each node inside."""
     caps = gs.caps
@@ -279,9 +300,7 @@ def kernel_facts(gs: GraphSet) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                at = {v: i for i, v in enumerate(row["nodes"])}
-                pairs = sorted(tuple(sorted((at[u], at[v]))) for u, v in zip(row["src"] or (), row["dst"] or (), strict=True))
-                out.append(graph_facts(row["graph_id"], row["nodes"], np.array(pairs, int).reshape(-1, 2), caps))
+                out.append(graph_facts(row["graph_id"], row["nodes"], placed(row), caps))
             yield pa.RecordBatch.from_pylist(out, schema=_OUT)
 
     return graph_rows(gs).mapInArrow(run, KERNEL_SCHEMA)

@@ -119,6 +119,43 @@ def test_caps(spark):
     assert len(rows[1].nodes.per_node) == 5 and rows[2].nodes.per_node is None
 
 
+def scanned_communities(n, edges):
+    """Merge the linked pair of largest gain by looking at all pairs each time."""
+    parts = [[v] for v in range(n)]
+    while True:
+        best = None
+        for i, a in enumerate(parts):
+            for b in parts[i + 1 :]:
+                between = sum((u in a and v in b) or (u in b and v in a) for u, v in edges)
+                deg = [sum((u in c) + (v in c) for u, v in edges) for c in (a, b)]
+                if between and (gain := 2 * len(edges) * between - deg[0] * deg[1]) >= 0 and (best is None or gain > best[0]):
+                    best = gain, a, b
+        if best is None:
+            return sorted(parts, key=lambda c: (-len(c), c[0]))
+        _, a, b = best
+        parts = sorted([c for c in parts if c is not a and c is not b] + [sorted(a + b)])
+
+
+def test_communities_against_scan():
+    for seed in range(12):
+        n, edges = random_graph(seed, 6 + seed, 0.15 + 0.05 * (seed % 4))
+        assert kernels.communities(n, np.array(edges, int).reshape(-1, 2)) == scanned_communities(n, edges)
+    assert kernels.communities(3, np.empty((0, 2), int)) == [[0], [1], [2]]
+
+
+def test_communities_of_large_graphs(spark):
+    graphs = {1: random_graph(1, 12, 0.3), 2: random_graph(2, 30, 0.15), 3: random_graph(3, 60, 0.1)}
+    gs = collection(spark, graphs)
+    whole = {r.graph_id: r for r in structure(gs, "E").collect()}
+    cut = GraphSet(gs.vertices, gs.edges, Caps(dense=12, merged=30))
+    rows = {r.graph_id: r for r in structure(cut, "E").collect()}
+    for g in (1, 2):
+        assert (rows[g].n_communities, rows[g].modularity) == (whole[g].n_communities, whole[g].modularity)
+    assert rows[3].n_communities is None
+    of = {r.graph_id: r.of for r in kernels.large_communities(cut).collect()}
+    assert set(of) == {2} and len(of[2]) == 30 and max(of[2]) + 1 == whole[2].n_communities
+
+
 def test_feature_vector_replaces_null_and_nan(spark):
     gs = collection(spark, {2: (4, []), 3: complete(5)})
     rows = {r.graph_id: r.features for r in feature_vectors(structure(gs)).collect()}
