@@ -148,8 +148,11 @@ def test_text_graphs(spark):
     assert {(r.graph_id, r.node_id): r.attrs for r in gs.vertices.collect()}[1, "0"] == {"group": "C"}
     assert {(r.graph_id, r.node_id): r.attrs for r in gs.vertices.collect()}[1, "2"] == {"group": "?"}
     bad = text.graphs_from_text(spark.createDataFrame([(1, "nothing here at all", "")], "graph_id long, edges_text string, attrs_text string"))
-    with pytest.raises(Exception, match="no valid edges"):
-        bad.vertices.collect()
+    empty = text.graphs_from_text(spark.createDataFrame([(1, "a-b", None), (2, None, None)], "graph_id long, edges_text string, attrs_text string"))
+    for rows in (bad.vertices, bad.edges, empty.vertices, empty.edges):
+        for _ in range(3):
+            with pytest.raises(Exception, match="no valid edges"):
+                rows.collect()
 
 
 def test_collections(spark, tmp_path):
