@@ -12,6 +12,10 @@ from knotwork.llm import decontaminate, mixing, near_dedup, quality, shard_tree
 from knotwork.llm.common import durable, table
 
 
+#: Near duplicates of the pipeline: pairs of this similarity in a hundred or more, on sets of five-word runs.
+NEAR_PERCENT = 80
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labels of docs."""
     space = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -20,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 A signature has CODES b-bit codes, each the low bits of a minimum over the document's
 shingles. For a pair at the similarity threshold the number of codes that differ is
-binomial; RADIUS is such that fewer than one pair in a million differs in more. The
-codes are split into chunks. By the pigeonhole principle two signatures within RADIUS
+binomial; the radius is such that fewer than one pair in a million differs in more. The
+codes are split into chunks. By the pigeonhole principle two signatures within the radius
 agree on some chunk up to its allowance of errors (one or none), and the allowed
 errors are enumerated as chunks with that many codes left out. So the join on the
-remaining codes finds every pair within RADIUS. Links are confirmed on the full
+remaining codes finds every pair within the radius. Links are confirmed on the full
 shingle sets.
 
 Copies (equal word sequences) are one class from the start. A bucket of the join never
@@ -17,12 +17,13 @@ than a passage). The members left are held against the one with the smallest sha
 such shingles, which of a group of copies is the original or close to it, and the
 links give components. Only where a bucket then still spans several components, the
 members outside its center's are compared to the rest in blocks; pairs of different
-components within RADIUS, and within the bound, are confirmed.
+components within the radius, and within the bound, are confirmed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 from math import comb
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from knotwork.llm.common import WordHashes, bounded, durable, mix64, shingle_hashes, words_of
 from knotwork.llm.components import connected_components
 
-#: Linked if 100 * intersection >= PERCENT * union.
+#: Linked if 100 * intersection >= PERCENT * union, where no other percentage is given.
 PERCENT = 85
 CODES = 96
 CHUNKS = 24
@@ -58,6 +59,10 @@ def radius(codes: int = CODES, similarity: float = PERCENT / 100, miss: float =
 RADIUS = radius()
 
 
+def radius_for(percent: int) -> int:
+    return radius(similarity=percent / 100)
+
+
 def chunk_plan(codes: int = CODES, chunks: int = CHUNKS, within: int = RADIUS) -> list[tuple[int, ...]]:
     """The code positions of every key.
 
@@ -119,8 +124,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    plan = chunk_plan()
+def _emit_keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    plan = chunk_plan(within=radius_for(percent))
     for b in batches:
         keys = bucket_keys(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, CODES), plan)
         rid = np.repeat(b.column("rid").to_numpy(), keys.shape[1])
@@ -136,12 +141,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("rid"), shingles], ["rid", "shingles"])
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures lie within RADIUS."""
+def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures lie within the radius."""
+    within = radius_for(percent)
     for b in batches:
         if b.num_rows:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, CODES) for c in ("sig_a", "sig_b"))
-            yield b.select(["a", "b"]).filter(pa.array((x != y).sum(1) <= RADIUS))
+            yield b.select(["a", "b"]).filter(pa.array((x != y).sum(1) <= within))
 
 
 def _arrays(column: pa.Array) -> list[np.ndarray]:
@@ -150,25 +156,26 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs that the full sets link."""
     for b in batches:
         keep = []
         for x, y in zip(_arrays(b.column("set_a")), _arrays(b.column("set_b")), strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)) else 0
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+            keep.append(100 * both >= percent * (len(x) + len(y) - both))
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs to confirm in each group (key, bi, bj), whose rows come together.
 
-    They are of different components, within RADIUS, and can be linked by what they
+    They are of different components, within the radius, and can be linked by what they
     share with any document. side is 0 for members of the block that is held against
     the others, 1 for the others; a block alone (bj = -1) has all at side 0. A pair that
     meets in several buckets is given by that of the first entry of the plan.
     """
-    plan = chunk_plan()
+    within = radius_for(percent)
+    plan = chunk_plan(within=within)
     held: list[pa.RecordBatch] = []
     group: tuple | None = None
 
@@ -181,8 +188,8 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for k, i in enumerate(left):
             j = left[k + 1 :] if group[2] < 0 else right
             most = np.minimum(common[j], common[i])
-            j = j[(comp[j] != comp[i]) & (100 * most >= PERCENT * (n[j] + n[i] - most))]
-            j = j[(sig[j] != sig[i]).sum(1) <= RADIUS]
+            j = j[(comp[j] != comp[i]) & (100 * most >= percent * (n[j] + n[i] - most))]
+            j = j[(sig[j] != sig[i]).sum(1) <= within]
             if len(j):
                 same = sig[j] == sig[i]
                 first = np.array([same[:, at].all(1) for at in plan]).argmax(0)
@@ -210,19 +217,19 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 _PAIRS = "a long, b long"
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("set_b"))
-    return durable(pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(bounded(_confirm), _PAIRS))
+    return durable(pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(bounded(partial(_confirm, percent=percent)), _PAIRS))
 
 
-def _near_by_signature(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _near_by_signature(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     a = classes.select(F.col("rid").alias("a"), F.col("sig").alias("sig_a"))
     b = classes.select(F.col("rid").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(bounded(_close), _PAIRS)
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(bounded(partial(_close, percent=percent)), _PAIRS)
 
 
-def _across(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
+def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs to confirm in buckets that span components; members: key, rid, center, n, common."""
     own = comps.select(F.col("node").alias("rid"), F.col("component").alias("comp"))
     first = comps.select(F.col("node").alias("center"), F.col("component").alias("of_center"))
@@ -248,10 +255,10 @@ def _across(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFra
     rows = rows.withColumn("g", F.explode(F.when(F.col("out") == 1, outer).otherwise(inner)))
     rows = rows.join(classes.select("rid", "sig"), "rid").select("key", "g.bi", "g.bj", "g.side", "rid", "comp", "n", "common", "sig")
     rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return durable(rows.mapInArrow(bounded(_compare_blocks), _PAIRS))
+    return durable(rows.mapInArrow(bounded(partial(_compare_blocks, percent=percent)), _PAIRS))
 
 
-def _linkable(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """key, rid, center, n, common: members that may be linked, in buckets that keep two or more.
 
     n counts a class's shingles and common those that another class in a bucket has too.
@@ -261,16 +268,18 @@ def _linkable(members: DataFrame, sets: DataFrame) -> DataFrame:
     own = once.filter(F.col("c") == 1).groupBy("rid").agg(F.count(F.lit(1)).alias("own"))
     sizes = sets.select("rid", F.size("shingles").cast("long").alias("n")).join(own, "rid", "left")
     sizes = sizes.withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-    sizes = durable(sizes.filter(100 * F.col("common") >= PERCENT * F.col("n")))
+    sizes = durable(sizes.filter(100 * F.col("common") >= percent * F.col("n")))
     members = durable(members.join(sizes, "rid"))
     center = F.min(F.struct((1 - F.col("common") / F.col("n")).alias("share"), "rid"))["rid"]
     centers = members.groupBy("key").agg(center.alias("center"), F.min("rid").alias("lo"), F.max("rid").alias("hi"))
     return durable(members.join(centers.filter(F.col("lo") != F.col("hi")).select("key", "center"), "key"))
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
+def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
+    Two documents are linked from a similarity of `percent` in a hundred on.
+
     A text without words (or null) has no shingles and is linked with nothing. Rows of
     one doc_id are one document. A null doc_id is linked with nothing: its component_id
     is null and it is kept. An empty table gives an empty result; other columns are
@@ -281,19 +290,19 @@ def link_documents(docs: DataFrame) -> DataFrame:
     known = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = durable(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig")))
 
-    buckets = classes.select("rid", "sig").mapInArrow(bounded(_emit_keys, 2000), "key long, rid long")
+    buckets = classes.select("rid", "sig").mapInArrow(bounded(partial(_emit_keys, percent=percent), 2000), "key long, rid long")
     shared = buckets.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter(F.col("lo") != F.col("hi"))
     members = durable(buckets.join(shared.select("key"), "key"))
     wanted = members.select("rid").distinct()
     sets = durable(picked.withColumnRenamed("doc_id", "rid").join(wanted, "rid", "left_semi").mapInArrow(bounded(_sets), "rid long, shingles array<long>"))
-    members = _linkable(members, sets)
+    members = _linkable(members, sets, percent)
 
     star = members.filter(F.col("rid") != F.col("center"))
     star = star.select(F.least("center", "rid").alias("a"), F.greatest("center", "rid").alias("b")).distinct()
-    star = durable(_near_by_signature(star, classes))
-    links = _confirmed(star, sets)
+    star = durable(_near_by_signature(star, classes, percent))
+    links = _confirmed(star, sets, percent)
     comps = connected_components(links)
-    more = _confirmed(_across(members, comps, classes), sets)
+    more = _confirmed(_across(members, comps, classes, percent), sets, percent)
     # Copies of one text are linked through their class; a doc_id with several texts links their classes.
     own = known.join(classes.select("d1", "d2", "rid"), ["d1", "d2"]).select(F.col("rid").alias("a"), F.col("doc_id").alias("b"))
     comps = connected_components(links.unionByName(more).unionByName(own))
@@ -302,7 +311,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that are kept: of each component the document of the smallest doc_id."""
-    gone = link_documents(docs.select("doc_id", "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = link_documents(docs.select("doc_id", "text"), percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")

@@ -79,6 +79,29 @@ def test_pigeonhole_plan():
     assert near_dedup.radius(64, 0.85, 1e-6) > 64 * 0.15
 
 
+def test_pipeline_removes_near_copies_from_80_percent(spark, docs):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(600)]
+
+    def edited(name, k):  # k words far apart: 596 - 5k shingles of the base are left
+        return " ".join(f"{name}{i}" if i % 40 == 20 and i // 40 < k else w for i, w in enumerate(base))
+
+    # Similarities to the base: 546/646 = 0.845, 536/656 = 0.817, 531/661 = 0.803, 526/666 = 0.790.
+    for k, similar in ((10, 84), (12, 81), (13, 80), (14, 78)):
+        rows = [(1, " ".join(base)), (2, edited("n", k)), (3, "another text of more than five words")]
+        assert [100 * (596 - 5 * k) // (596 + 5 * k)] == [similar]
+        kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs(rows), "").collect())
+        assert kept == ([1, 3] if similar >= 80 else [1, 2, 3]), similar
+        assert near_dedup.keep_one(docs(rows)).count() == 3
+    rng = np.random.default_rng(0)
+    within = near_dedup.radius_for(80)
+    plan = near_dedup.chunk_plan(within=within)
+    for _ in range(300):
+        broken = set(rng.choice(near_dedup.CODES, within, replace=False).tolist())
+        assert any(not broken & set(at) for at in plan)
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(int(a), int(b)) for a, b in rng.integers(200, 260, (40, 2))]
