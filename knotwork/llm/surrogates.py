@@ -1,7 +1,8 @@
 """Personal data replaced by keyed, type-consistent surrogates.
 
 Detected entities are addresses of mail, IP addresses, card numbers, phone numbers,
-identity numbers and names after a title. An entity has a canonical form (digits of a
+identity numbers and names after a title, and in the same document every later or
+earlier mention of a part of such a name. An entity has a canonical form (digits of a
 number, lower-case letters), so that its spellings are one entity everywhere in the
 corpus. Its surrogate comes from a keyed hash of (type, canonical form, attempt) and
 keeps type, script, gender, issuer, network class and format: letters stay letters of
@@ -42,7 +43,13 @@ TITLES = {
 }
 _GENDER = {t.casefold(): g for g, ts in TITLES.items() for t in ts}
 _TITLE = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
-_NAME = r"[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]+(?:-[^\W\d_]+)?"
+# A possessive 's is not part of a name, nor is a second title ("Herr Dr Weber").
+_UPPER, _PART = r"[^\W\d_a-zà-öø-ÿа-яё]", r"['’-](?![sS](?!\w))[^\W\d_]+"
+_SECOND = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts if t != "Don"), key=len, reverse=True))
+_NAME = rf"(?!(?:{_SECOND})(?!\w)){_UPPER}(?:[^\W\d_]+|{_PART})(?:{_PART})*"
+#: White space with one line break at most.
+_GAP = r"(?:[^\S\n]+(?:\n[^\S\n]*)?|\n[^\S\n]*)"
+_PARTICLE = rf"(?:(?:de|del|della|di|da|do|dos|das|du|des|la|las|los|le|el|y|e|van|von|vom|der|den|ter|ten|zu|zum|zur|af|av|al|bin|ibn|фон){_GAP}){{0,3}}"
 
 # How an entity is written. The first that matches at a place wins.
 PATTERNS = (
@@ -51,11 +58,13 @@ PATTERNS = (
     ("id", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])(?:\+\d{1,3}[ .-]?)?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w)"),
-    ("name", rf"(?<!\w)(?P<title>{_TITLE})\.?\x20(?P<given>{_NAME})(?:\x20(?P<family>{_NAME}))?"),
+    ("name", rf"(?<!\w)(?P<title>{_TITLE})\.?{_GAP}{_PARTICLE}(?P<given>{_NAME})(?:{_GAP}{_PARTICLE}(?P<family>{_NAME}))?(?:{_GAP}{_PARTICLE}(?P<last>{_NAME}))?"),
 )
 FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 #: Every entity needs one of these, so texts without are not searched.
-_HINT = re.compile(rf"@|\d|(?<!\w)(?:{_TITLE})\.?\x20")
+_HINT = re.compile(rf"@|\d|(?<!\w)(?:{_TITLE})\.?\s")
+#: Words that can be a mention of a name, with the parts that hyphens and apostrophes join.
+_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’-][^\W\d_]+)*(?!\w)")
 
 # Syllables of invented names, by script.
 _SYLLABLES = {
@@ -99,19 +108,20 @@ def luhn(digits: str) -> int:
 
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, canonical form) in order; a name gives one for each of its parts."""
-    out = []
+    """(start, end, type, canonical form) in order; a name gives one for each of its parts and of their mentions."""
+    out, named = [], {}
     if not text or not _HINT.search(text):
         return out
     for m in FIND.finditer(text):
         kind = next(k for k, _ in PATTERNS if m[k] is not None)
         if kind == "name":
             script = _script(m["given"])
-            if m["family"]:
-                gender = _GENDER[m["title"].casefold()]
-                out.append((*m.span("given"), f"given-{gender}-{script}", m["given"].casefold()))
-            part = "family" if m["family"] else "given"
-            out.append((*m.span(part), f"family-{script}", m[part].casefold()))
+            parts = [p for p in ("given", "family", "last") if m[p]]
+            for part in parts:
+                given = part == "given" and len(parts) > 1
+                type_ = f"given-{_GENDER[m['title'].casefold()]}-{script}" if given else f"family-{script}"
+                named.setdefault(_canonical(m[part]), type_)
+                out.append((*m.span(part), type_, _canonical(m[part])))
         elif kind in ("email", "ip"):
             out.append((m.start(), m.end(), kind, m[0].lower()))
         else:
@@ -120,6 +130,34 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
                 country = re.match(r"\+(\d{1,3})[ .(-]", m[0])
                 digits = digits[len(country[1]) if country else 0 :]
             out.append((m.start(), m.end(), f"{kind}{len(digits)}", digits))
+    return sorted(out + _mentions(text, named, out)) if named else out
+
+
+def _canonical(name: str) -> str:
+    return name.casefold().replace("’", "'")
+
+
+def _mentions(text: str, named: dict[str, str], found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Words outside of what was found that are not in lower case and equal a part of a name.
+
+    named: type by canonical form. Of joined words the longest runs that are names count.
+    """
+    out, at = [], 0
+    for m in _WORD.finditer(text):
+        while at < len(found) and found[at][1] <= m.start():
+            at += 1
+        pieces = list(re.finditer(r"[^\W\d_]+", m[0]))
+        i = 0
+        while i < len(pieces):
+            for j in range(len(pieces), i, -1):
+                s, e = m.start() + pieces[i].start(), m.start() + pieces[j - 1].end()
+                canon = _canonical(text[s:e])
+                if canon in named and not text[s].islower() and not any(s < y and x < e for x, y, *_ in found[at : at + len(pieces)]):
+                    out.append((s, e, named[canon], canon))
+                    break
+            else:
+                j = i + 1
+            i = j
     return out
 
 

@@ -83,6 +83,24 @@ def test_surrogates(docs, clashing):
     assert rows[0].spans.startswith("email:9:33,")
 
 
+def test_mentions_of_names_get_the_same_surrogates(docs):
+    texts = {
+        1: "Weber was late. Dr Anna Weber called. Weber's son and ANNA WEBER said: anna, Webers, Anna-Weber, Weber@x.org.",
+        2: "Mr  O'Brien met Frau\nMüller; O’Brien, O'BRIEN's dog and Müller left.",
+        3: "Mrs Maria del Carmen Lopez and Herr Dr Weber; Carmen, Lopez, Maria, Dr Weber.",
+        4: "Weber and Carmen without a title.",
+    }
+    new = {r.doc_id: r.text for r in surrogates.pseudonymise(docs(list(texts.items())), KEY).collect()}
+    m = re.fullmatch(r"(\w+) was late\. Dr (\w+) (\w+) called\. (\w+)'s son and (\w+) (\w+) said: anna, Webers, (\w+)-(\w+), \w+@\w+\.org\.", new[1])
+    weber, anna = m[1], m[2]
+    assert weber != "Weber" and anna != "Anna" and m[3] == m[4] == m[8] == weber and m[7] == anna and (m[5], m[6]) == (anna.upper(), weber.upper())
+    m = re.fullmatch(r"Mr  (\w+) met Frau\n(\w+); (\w+), (\w+)'s dog and (\w+) left\.", new[2])
+    assert m[1] == m[3] == m[4].title() and m[2] == m[5] and "Brien" not in new[2] and "Müller" not in new[2]
+    m = re.fullmatch(r"Mrs (\w+) del (\w+) (\w+) and Herr Dr (\w+); (\w+), (\w+), (\w+), Dr (\w+)\.", new[3])
+    assert (m[5], m[6], m[7], m[8]) == (m[2], m[3], m[1], weber) and m[4] == weber and not {"Maria", "Carmen", "Lopez"} & set(m.groups())
+    assert new[4] == texts[4]
+
+
 def test_surrogates_stay_distinct(spark, docs):
     texts = [(i, f"Dr Ba{chr(97 + i % 26)}{chr(97 + i // 26)}s and 10.1.{i // 250}.{i % 250} said 10.9.{i % 250}.{i // 250}") for i in range(600)]
     found = surrogates.distinct_entities(docs(texts))
