@@ -21,8 +21,8 @@ _KERNEL_GROUPS = set("ADEFGHIJK")
 def structure(gs: GraphSet, groups: str = SCALAR_GROUPS, kernel: DataFrame | None = None) -> DataFrame:
     """graph_id and the scalar facts of the groups as columns; only what they need enters the plan.
 
-    Facts of the dense kernel are null for graphs of more than Caps.dense nodes, but for
-    communities and modularity, which go up to Caps.merged nodes.
+    For graphs of more than Caps.dense nodes the spectral gap is null, and communities and
+    modularity above Caps.merged nodes.
     """
     wanted = set(groups)
     if len(wanted - set("A")) > 1:
@@ -40,9 +40,6 @@ def structure(gs: GraphSet, groups: str = SCALAR_GROUPS, kernel: DataFrame | Non
         out = out.join(S.four_cycles(gs), "graph_id", "left")
     if "E" in wanted:
         out = out.join(S.degree_assortativity(gs), "graph_id", "left")
-        large = kernels.large_communities(gs).select("graph_id", F.col("n_communities").alias("__c"), F.col("modularity").alias("__q"))
-        out = out.join(large, "graph_id", "left")
-        out = out.withColumns({"n_communities": F.coalesce("n_communities", "__c"), "modularity": F.coalesce("modularity", "__q")}).drop("__c", "__q")
     if "J" in wanted:
         out = out.withColumns(S.null_models())
     names = feature_names(groups)

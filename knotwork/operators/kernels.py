@@ -1,6 +1,6 @@
-"""Facts of small graphs that need a dense matrix or an ordered agglomeration, in numpy.
+"""Facts of small graphs that need a dense matrix or an ordered agglomeration, in numpy; of larger ones by rounds over tables.
 
-A graph comes as one row of arrays (at most Caps.dense nodes); a task works through a
+A small graph comes as one row of arrays (at most Caps.dense nodes); a task works through a
 batch of graphs. Distances and path counts go level by level for all sources at once,
 as matrix products.
 """
@@ -12,10 +12,12 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.durable import durable
 from knotwork.model import Caps, GraphSet
+from knotwork.operators import iterative
 
 UNREACHED = -1
 
@@ -292,9 +294,52 @@ def large_communities(gs: GraphSet) -> DataFrame:
     return graph_rows(gs, gs.caps.dense + 1, gs.caps.merged).mapInArrow(run, "graph_id long, n_communities long, modularity double, of array<int>")
 
 
+def large_facts(gs: GraphSet) -> DataFrame:
+    """The columns of kernel_facts for graphs of more than Caps.dense nodes, from the iterative operators.
+
+    spectral_gap (of more than one node) and eig_degenerate are null, and communities
+    above Caps.merged nodes. Closeness takes the distances of all sources, as many rows
+    as the square of the nodes.
+    """
+    caps, key = gs.caps, ["graph_id", "node_id"]
+    gs = gs.stored()
+    size = gs.degrees.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"), (F.sum("deg") / 2).cast("long").alias("m"))
+    order = Window.partitionBy("graph_id").orderBy("node_ord", "node_id")
+    nodes = gs.vertices.select("graph_id", "node_id", (F.row_number().over(order) - 1).alias("node_ord"))
+    nodes = durable(nodes.join(iterative.components(gs), key))
+    first = nodes.groupBy("graph_id", "component").agg(F.min("node_ord").alias("first"), F.count(F.lit(1)).alias("size"))
+    largest = first.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_components"), F.max("size").alias("lcc_size"))
+    dist = durable(iterative.distances(gs))
+    exact = gs.vertices.join(size.filter(F.col("n") <= caps.exact_betweenness), "graph_id", "left_semi").select(*key)
+    sources = exact.unionByName(iterative.pivots(gs, caps.pivots)).distinct().withColumnRenamed("node_id", "s")
+    between = iterative.betweenness(gs, durable(dist.join(sources, ["graph_id", "s"], "left_semi")))
+    merged = durable(large_communities(gs))
+    per = nodes.join(first.drop("size"), ["graph_id", "component"]).join(merged.select("graph_id", "of"), "graph_id", "left")
+    for part in (between, iterative.closeness(gs, dist), iterative.eigenvector(gs), iterative.core_numbers(gs)):
+        per = per.join(part, key)
+    rounded = F.struct(*[F.round(c, 3).alias(c) for c in ("betweenness", "eigenvector", "closeness")]).alias("rounded")
+    entry = F.struct(
+        "node_id", F.col("node_ord").cast("int").alias("node_ord"), F.col("first").cast("int").alias("component"), "betweenness", "closeness", "eigenvector",
+        F.get("of", F.col("node_ord")).alias("community"), F.col("core").cast("int").alias("core"), rounded,
+    )
+    facts = per.groupBy("graph_id").agg(
+        F.max("core").cast("long").alias("max_kcore"), F.avg("betweenness").alias("betweenness_mean"), F.max("betweenness").alias("betweenness_max"), F.avg("closeness").alias("closeness_mean"),
+        F.avg("eigenvector").alias("eigenvector_mean"), F.max("eigenvector").alias("eigenvector_max"), F.array_sort(F.collect_list(F.struct("node_ord", entry.alias("entry"))))["entry"].alias("nodes"),
+    )
+    out = size.join(largest, "graph_id").join(iterative.path_facts(gs, dist), "graph_id").join(merged.drop("of"), "graph_id", "left").join(facts, "graph_id")
+    few = F.col("lcc_size") <= caps.paths
+    out = out.withColumns({c: F.when(few, F.col(c)).cast(t) for c, t in (("avg_path_length", "double"), ("diameter", "long"), ("radius", "long"))})
+    out = out.withColumns({
+        "spectral_gap": F.when(F.col("lcc_size") <= 1, F.lit(0.0)), "eig_degenerate": F.lit(None).cast("boolean"),
+        "ring_sizes": F.when((F.col("n") < 3) | (F.col("m") < F.col("n")), F.create_map().cast("map<int,int>")),
+    })
+    return durable(out.select(*_OUT.names))
+
+
 def kernel_facts(gs: GraphSet) -> DataFrame:
-    """The dense facts of every graph of at most Caps.dense nodes, with a row for each node inside."""
+    """The facts of every graph, with a row for each node inside; graphs of more than Caps.dense nodes by large_facts."""
     caps = gs.caps
+    large = durable(gs.vertices.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > caps.dense).select("graph_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,7 +348,8 @@ def kernel_facts(gs: GraphSet) -> DataFrame:
                 out.append(graph_facts(row["graph_id"], row["nodes"], placed(row), caps))
             yield pa.RecordBatch.from_pylist(out, schema=_OUT)
 
-    return graph_rows(gs).mapInArrow(run, KERNEL_SCHEMA)
+    small = graph_rows(gs).mapInArrow(run, KERNEL_SCHEMA)
+    return small if large.isEmpty() else small.unionByName(large_facts(gs.only(large)))
 
 
 def node_facts(kernel: DataFrame) -> DataFrame:

@@ -156,6 +156,25 @@ def test_communities_of_large_graphs(spark):
     assert set(of) == {2} and len(of[2]) == 30 and max(of[2]) + 1 == whole[2].n_communities
 
 
+def test_graphs_beyond_the_dense_kernel_keep_their_rows(spark):
+    gs = collection(spark, {1: random_graph(1, 10, 0.3), 2: random_graph(2, 24, 0.12), 3: (14, path(9)[1])})
+    cut = GraphSet(gs.vertices, gs.edges, Caps(dense=12))
+    want, got = ({r.graph_id: r for r in kernels.kernel_facts(x).collect()} for x in (gs, cut))
+    assert set(got) == {1, 2, 3} and got[1] == want[1]
+    for g in (2, 3):
+        a, b = want[g], got[g]
+        for c in ("n_components", "lcc_size", "diameter", "radius", "n_communities", "max_kcore"):
+            assert a[c] == b[c], (g, c)
+        for c in ("avg_path_length", "modularity", "betweenness_mean", "betweenness_max", "closeness_mean"):
+            assert abs(a[c] - b[c]) < 1e-9, (g, c)
+        assert abs(a.eigenvector_max - b.eigenvector_max) < 1e-2 and len(a.nodes) == len(b.nodes)
+        for x, y in zip(a.nodes, b.nodes, strict=True):
+            assert (x.node_id, x.node_ord, x.component, x.community, x.core) == (y.node_id, y.node_ord, y.component, y.community, y.core)
+            assert abs(x.betweenness - y.betweenness) < 1e-9 and abs(x.closeness - y.closeness) < 1e-9
+    assert got[3].ring_sizes == {}
+    assert kernels.node_facts(kernels.kernel_facts(cut)).count() == 48
+
+
 def test_feature_vector_replaces_null_and_nan(spark):
     gs = collection(spark, {2: (4, []), 3: complete(5)})
     rows = {r.graph_id: r.features for r in feature_vectors(structure(gs)).collect()}
