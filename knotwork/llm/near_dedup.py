@@ -107,11 +107,16 @@ def bucket_keys(codes: np.ndarray, plan: list[tuple[int, ...]]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _digests(words: list[list[bytes]]) -> np.ndarray:
+    """128 bits of every word sequence, as two columns."""
+    return np.array([divmod(xxhash.xxh3_128_intdigest(b" ".join(w)), 1 << 64) for w in words], np.uint64).view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for b in batches:
         words = [words_of(t) for t in b.column("text").to_pylist()]
-        digests = np.array([divmod(xxhash.xxh3_128_intdigest(b" ".join(w)), 1 << 64) for w in words], np.uint64).view(np.int64)
+        digests = _digests(words)
         sets = [np.unique(shingle_hashes(w, hashes)) for w in words]
         full = [i for i, s in enumerate(sets) if len(s)]
         sig: list[bytes | None] = [None] * len(sets)
@@ -135,10 +140,12 @@ def _emit_keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for b in batches:
-        sets = [np.unique(shingle_hashes(words_of(t), hashes)).view(np.int64) for t in b.column("text").to_pylist()]
+        words = [words_of(t) for t in b.column("text").to_pylist()]
+        digests = _digests(words)
+        sets = [np.unique(shingle_hashes(w, hashes)).view(np.int64) for w in words]
         ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-        yield pa.RecordBatch.from_arrays([b.column("rid"), shingles], ["rid", "shingles"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests[:, 0]), pa.array(digests[:, 1]), shingles], ["doc_id", "d1", "d2", "shingles"])
 
 
 def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -288,13 +295,17 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = durable(picked.mapInArrow(bounded(_sign), "doc_id long, d1 long, d2 long, n_shingles long, sig binary"))
     known = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = durable(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig")))
+    # A class has a number of its own (rid), as a doc_id can have several texts; doc_id is its smallest.
+    classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    classes = durable(classes.withColumn("rid", F.monotonically_increasing_id()))
 
     buckets = classes.select("rid", "sig").mapInArrow(bounded(partial(_emit_keys, percent=percent), 2000), "key long, rid long")
     shared = buckets.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter(F.col("lo") != F.col("hi"))
     members = durable(buckets.join(shared.select("key"), "key"))
-    wanted = members.select("rid").distinct()
-    sets = durable(picked.withColumnRenamed("doc_id", "rid").join(wanted, "rid", "left_semi").mapInArrow(bounded(_sets), "rid long, shingles array<long>"))
+    wanted = classes.select("rid", "doc_id", "d1", "d2").join(members.select("rid").distinct(), "rid", "left_semi")
+    texts = picked.join(wanted.select("doc_id"), "doc_id", "left_semi")
+    sets = texts.mapInArrow(bounded(_sets), "doc_id long, d1 long, d2 long, shingles array<long>")
+    sets = durable(sets.join(wanted, ["doc_id", "d1", "d2"]).select("rid", "shingles"))
     members = _linkable(members, sets, percent)
 
     star = members.filter(F.col("rid") != F.col("center"))
@@ -304,8 +315,10 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     comps = connected_components(links)
     more = _confirmed(_across(members, comps, classes, percent), sets, percent)
     # Copies of one text are linked through their class; a doc_id with several texts links their classes.
-    own = known.join(classes.select("d1", "d2", "rid"), ["d1", "d2"]).select(F.col("rid").alias("a"), F.col("doc_id").alias("b"))
-    comps = connected_components(links.unionByName(more).unionByName(own))
+    own = known.select("d1", "d2", F.col("doc_id").alias("b")).join(classes.select("d1", "d2", F.col("doc_id").alias("a")), ["d1", "d2"]).select("a", "b")
+    a, b = (classes.select(F.col("rid").alias(c), F.col("doc_id").alias(f"doc_{c}")) for c in "ab")
+    linked = links.unionByName(more).join(a, "a").join(b, "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    comps = connected_components(linked.unionByName(own))
     out = signed.select("doc_id", "n_shingles").join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))

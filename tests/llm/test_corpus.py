@@ -70,6 +70,15 @@ def test_near_duplicates(docs, clashing):
     assert near_dedup.link_documents(docs(rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_document_with_two_texts(docs):
+    short = [f"a{i}" for i in range(100)]
+    rows = [(1, " ".join(short)), (1, " ".join(f"b{i}" for i in range(500))), (2, " ".join([*short[:-1], "other"])), (3, " ".join(f"c{i}" for i in range(50))), (3, None), (3, "")]
+    want = brute_components(rows)
+    assert want == {1: 1, 2: 1, 3: 3}
+    out = near_dedup.link_documents(docs(rows)).collect()
+    assert len(out) == len(rows) and all(r.component_id == want[r.doc_id] for r in out)
+
+
 def test_pigeonhole_plan():
     plan = near_dedup.chunk_plan()
     rng = np.random.default_rng(0)
