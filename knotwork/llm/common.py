@@ -43,6 +43,34 @@ def bounded(work: Callable[[Batches], Batches], rows: int = SLICE) -> Callable[[
     return run
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, with as many underscores as it takes to be none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def grouped(batches: Batches, keys: tuple[str, ...]) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """The rows of each key, from batches in which equal (whole-number) keys follow each other."""
+    held: list[pa.RecordBatch] = []
+    group: tuple[int, ...] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = np.stack([b.column(c).to_numpy() for c in keys], 1)
+        cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(ids)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            mine = tuple(ids[s].tolist())
+            if mine != group and held:
+                yield group, pa.Table.from_batches(held)
+                held = []
+            group = mine
+            held.append(b.slice(s, e - s))
+    if held:
+        yield group, pa.Table.from_batches(held)
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered up to a bound."""
 

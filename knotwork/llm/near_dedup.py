@@ -17,7 +17,8 @@ than a passage). The members left are held against the one with the smallest sha
 such shingles, which of a group of copies is the original or close to it, and the
 links give components. Only where a bucket then still spans several components, the
 members outside its center's are compared to the rest in blocks; pairs of different
-components within the radius, and within the bound, are confirmed.
+components within the radius, and within the bound, are confirmed in the block, and
+only links that join components leave it.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import WordHashes, bounded, durable, mix64, shingle_hashes, words_of
+from knotwork.llm.common import WordHashes, bounded, durable, fresh, grouped, mix64, shingle_hashes, words_of
 from knotwork.llm.components import connected_components
 
 #: Linked if 100 * intersection >= PERCENT * union, where no other percentage is given.
@@ -42,8 +43,8 @@ CODES = 96
 CHUNKS = 24
 #: Odds that a pair at the threshold lies beyond the radius.
 MISS = 1e-6
-#: Members of a bucket that are compared in one block.
-BLOCK = 512
+#: Members of a bucket that are compared in one block, and shingles that their sets hold together, about.
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 
 
 def radius(codes: int = CODES, similarity: float = PERCENT / 100, miss: float = MISS) -> int:
@@ -173,25 +174,22 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs to confirm in each group (key, bi, bj), whose rows come together.
+def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The members of each group (key, bi, bj) that have a pair to confirm, with their partners.
 
-    They are of different components, within the radius, and can be linked by what they
+    Pairs are of different components, within the radius, and can be linked by what they
     share with any document. side is 0 for members of the block that is held against
     the others, 1 for the others; a block alone (bj = -1) has all at side 0. A pair that
-    meets in several buckets is given by that of the first entry of the plan.
+    meets in several buckets is given by that of the first entry of the plan. A pair is
+    with one of its members only.
     """
     within = radius_for(percent)
     plan = chunk_plan(within=within)
-    held: list[pa.RecordBatch] = []
-    group: tuple | None = None
-
-    def compare() -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(held)
+    for group, t in grouped(batches, _GROUP):
         side, rid, comp, n, common = (t.column(c).to_numpy() for c in ("side", "rid", "comp", "n", "common"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, CODES)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out = []
+        partners: dict[int, np.ndarray] = {}
         for k, i in enumerate(left):
             j = left[k + 1 :] if group[2] < 0 else right
             most = np.minimum(common[j], common[i])
@@ -201,27 +199,57 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
                 same = sig[j] == sig[i]
                 first = np.array([same[:, at].all(1) for at in plan]).argmax(0)
                 j = j[bucket_keys(sig[i : i + 1], plan)[0, first] == group[0]]
-                out += [(min(rid[i], rid[x]), max(rid[i], rid[x])) for x in j]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"]) if out else None
+                if len(j):
+                    partners[int(i)] = j
+        if partners:
+            some = np.unique(np.concatenate([np.fromiter(partners, np.int64, len(partners)), *partners.values()]))
+            keys = [pa.array(np.full(len(some), x), pa.int64()) for x in group]
+            found = pa.array([rid[partners[i]] if i in partners else None for i in some.tolist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(rid[some]), pa.array(comp[some]), found], [*_GROUP, "rid", "comp", "partners"])
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids = np.stack([b.column(c).to_numpy() for c in ("key", "bi", "bj")], 1)
-        cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1), len(ids)]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            mine = tuple(ids[s])
-            if mine != group and held:
-                if (out := compare()) is not None:
-                    yield out
-                held = []
-            group = mine
-            held.append(b.slice(s, e - s))
-    if held and (out := compare()) is not None:
-        yield out
+
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links that join the components of each group's members, as many as it takes: pairs that the full sets link.
+
+    A member's set is held against those of all its partners at once; a pair whose
+    components have been joined already is left out, as its link would change nothing.
+    """
+    for _, t in grouped(batches, _GROUP):
+        rid, comp = t.column("rid").to_numpy().tolist(), t.column("comp").to_numpy().tolist()
+        place = {r: i for i, r in enumerate(rid)}
+        sets = t.column("shingles").combine_chunks()
+        sets = _arrays(sets.combine_chunks() if isinstance(sets, pa.ChunkedArray) else sets)
+        words, at = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum([len(x) for x in sets])
+        sets = np.split(at, ends[:-1])
+        size = np.array([len(x) for x in sets])
+        top = {c: c for c in comp}
+
+        def root(c: int) -> int:
+            while top[c] != c:
+                top[c] = c = top[top[c]]
+            return c
+
+        out, mark = [], np.zeros(len(words), np.int64)
+        for i, found in enumerate(t.column("partners").to_pylist()):
+            j = np.array([place[r] for r in found or () if root(comp[place[r]]) != root(comp[i])], np.int64)
+            j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
+            if not len(j):
+                continue
+            mark[sets[i]] = 1
+            both = np.add.reduceat(mark[np.concatenate([sets[x] for x in j])], np.cumsum([0, *size[j][:-1]]))
+            mark[sets[i]] = 0
+            for x in j[100 * both >= percent * (size[i] + size[j] - both)].tolist():
+                a, b = root(comp[i]), root(comp[x])
+                if a != b:
+                    top[max(a, b)] = min(a, b)
+                    out.append((min(rid[i], rid[x]), max(rid[i], rid[x])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
 
 _PAIRS = "a long, b long"
+_GROUP = ("key", "bi", "bj")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -236,16 +264,23 @@ def _near_by_signature(pairs: DataFrame, classes: DataFrame, percent: int) -> Da
     return pairs.join(b, "b").join(a, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(bounded(partial(_close, percent=percent)), _PAIRS)
 
 
-def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs to confirm in buckets that span components; members: key, rid, center, n, common."""
+def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components that buckets span; members: key, rid, center, n, common.
+
+    Blocks of a bucket are compared by signature first. Only members with a pair to
+    confirm get their sets, and a group's pairs are confirmed where its sets are, so no
+    pair is a row.
+    """
     own = comps.select(F.col("node").alias("rid"), F.col("component").alias("comp"))
     first = comps.select(F.col("node").alias("center"), F.col("component").alias("of_center"))
     rows = members.join(own, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     rows = rows.join(first, "center", "left").withColumn("of_center", F.coalesce("of_center", "center"))
     rows = rows.withColumn("out", (F.col("comp") != F.col("of_center")).cast("int"))
-    spans = rows.groupBy("key").agg(F.sum("out").alias("n_out"), F.sum(1 - F.col("out")).alias("n_in")).filter(F.col("n_out") > 0)
-    rows = rows.join(spans, "key").select("key", "rid", "comp", "n", "common", "out", "n_out", "n_in")
-    blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+    spans = rows.groupBy("key").agg(F.sum("out").alias("n_out"), F.sum(1 - F.col("out")).alias("n_in"), F.avg("n").alias("mean_n")).filter(F.col("n_out") > 0)
+    rows = rows.join(spans, "key").select("key", "rid", "comp", "n", "common", "out", "n_out", "n_in", "mean_n")
+    # The members of a bucket have sets of much the same size, so the mean bounds a block's bytes too.
+    block = F.greatest(F.least(F.lit(BLOCK), F.floor(BLOCK_SHINGLES / F.col("mean_n"))), F.lit(2))
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / block), F.lit(1)).cast("int")
     rows = rows.withColumns({"outs": blocks("n_out"), "ins": blocks("n_in")})
     mine = F.pmod(F.xxhash64("rid"), F.when(F.col("out") == 1, F.col("outs")).otherwise(F.col("ins"))).cast("int")
     rows = rows.withColumn("mine", mine)
@@ -261,8 +296,10 @@ def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, percent: i
     inner = F.transform(F.sequence(zero, F.col("outs") - 1), lambda i: at(i, F.col("outs") + F.col("mine"), one))
     rows = rows.withColumn("g", F.explode(F.when(F.col("out") == 1, outer).otherwise(inner)))
     rows = rows.join(classes.select("rid", "sig"), "rid").select("key", "g.bi", "g.bj", "g.side", "rid", "comp", "n", "common", "sig")
-    rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return durable(rows.mapInArrow(bounded(partial(_compare_blocks, percent=percent)), _PAIRS))
+    near = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    near = durable(near.mapInArrow(bounded(partial(_candidates, percent=percent)), "key long, bi long, bj long, rid long, comp long, partners array<long>"))
+    held = near.join(sets, "rid").select(*_GROUP, "rid", "comp", "partners", "shingles").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    return durable(held.mapInArrow(bounded(partial(_verify, percent=percent)), _PAIRS))
 
 
 def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -285,12 +322,16 @@ def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
-    Two documents are linked from a similarity of `percent` in a hundred on.
+    Two documents are linked from a similarity of `percent` in a hundred on, equal
+    similarity included; a pair at just that similarity is beyond the radius, and lost,
+    with odds of MISS. Sets hold 64-bit hashes of shingles.
 
     A text without words (or null) has no shingles and is linked with nothing. Rows of
-    one doc_id are one document. A null doc_id is linked with nothing: its component_id
-    is null and it is kept. An empty table gives an empty result; other columns are
-    ignored.
+    one doc_id are one document, linked by each of its texts; every row has the
+    n_shingles of its own text. Repeated rows give repeated results. A null doc_id is
+    linked with nothing: its component_id is null and it is kept. A text is held whole,
+    one at a time, with a set of 8 bytes a word. An empty table gives an empty result;
+    other columns are ignored, whatever their names.
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = durable(picked.mapInArrow(bounded(_sign), "doc_id long, d1 long, d2 long, n_shingles long, sig binary"))
@@ -306,6 +347,8 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts = picked.join(wanted.select("doc_id"), "doc_id", "left_semi")
     sets = texts.mapInArrow(bounded(_sets), "doc_id long, d1 long, d2 long, shingles array<long>")
     sets = durable(sets.join(wanted, ["doc_id", "d1", "d2"]).select("rid", "shingles"))
+    if sets.count() > sets.select("rid").distinct().count():  # rows that repeat a doc_id and its text
+        sets = durable(sets.groupBy("rid").agg(F.first("shingles").alias("shingles")))
     members = _linkable(members, sets, percent)
 
     star = members.filter(F.col("rid") != F.col("center"))
@@ -313,7 +356,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     star = durable(_near_by_signature(star, classes, percent))
     links = _confirmed(star, sets, percent)
     comps = connected_components(links)
-    more = _confirmed(_across(members, comps, classes, percent), sets, percent)
+    more = _across(members, comps, classes, sets, percent)
     # Copies of one text are linked through their class; a doc_id with several texts links their classes.
     own = known.select("d1", "d2", F.col("doc_id").alias("b")).join(classes.select("d1", "d2", F.col("doc_id").alias("a")), ["d1", "d2"]).select("a", "b")
     a, b = (classes.select(F.col("rid").alias(c), F.col("doc_id").alias(f"doc_{c}")) for c in "ab")
@@ -325,6 +368,11 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that are kept: of each component the document of the smallest doc_id."""
-    gone = link_documents(docs.select("doc_id", "text"), percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """The rows of docs that are kept: of each component the document of the smallest doc_id.
+
+    Columns stay as they were. Rows without doc_id stay, and all rows of a doc_id that
+    is kept; edge cases are otherwise as in link_documents.
+    """
+    gone = fresh(docs.columns, "gone")
+    out = link_documents(docs.select("doc_id", "text"), percent).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(out, F.col("doc_id") == F.col(gone), "left_anti")

@@ -70,6 +70,23 @@ def test_near_duplicates(docs, clashing):
     assert near_dedup.link_documents(docs(rows).limit(0)).count() == 0
 
 
+def test_buckets_that_span_components(docs, monkeypatch):
+    """Chains and near misses around one text, compared in blocks of a few members."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 50):
+        w = list(base)
+        for at in rng.choice(len(w), int(rng.integers(2, 6)), replace=False):
+            w[at] = f"n{rng.integers(3)}"  # few new words, so that copies share their edits
+        rows.append((i, " ".join(w)))
+    want = brute_components(rows)
+    assert 5 < len(set(want.values())) < 45
+    got = near_dedup.link_documents(docs(rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_near_duplicates_of_a_document_with_two_texts(docs):
     short = [f"a{i}" for i in range(100)]
     rows = [(1, " ".join(short)), (1, " ".join(f"b{i}" for i in range(500))), (2, " ".join([*short[:-1], "other"])), (3, " ".join(f"c{i}" for i in range(50))), (3, None), (3, "")]
