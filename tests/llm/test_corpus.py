@@ -78,8 +78,8 @@ def test_buckets_that_span_components(docs, monkeypatch):
     rows = [(0, " ".join(base))]
     for i in range(1, 50):
         w = list(base)
-        for at in rng.choice(len(w), int(rng.integers(2, 6)), replace=False):
-            w[at] = f"n{rng.integers(3)}"  # few new words, so that copies share their edits
+        for at in rng.choice(len(w), int(rng.integers(1, 5)), replace=False):
+            w[at] = f"n{rng.integers(2)}"  # few new words, so that copies share their edits
         rows.append((i, " ".join(w)))
     want = brute_components(rows)
     assert 5 < len(set(want.values())) < 45
