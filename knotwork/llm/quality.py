@@ -1,11 +1,13 @@
 """Quality classifier: nearest-neighbour voting in a latent semantic space.
 
-A document is a bag of terms: hashed words and word endings, the shapes of its words
-("THE!!" is "A!"), and what its lines and repetitions are like. Term weights are
-log(1 + count) * idf. The latent space is the truncated singular value decomposition
-of a bounded sample of labelled documents; their vectors are broadcast. Every document
-is projected, its exact cosine with every labelled vector is computed in blocks, and
-the labels of the nearest vote with their similarity.
+A document is a bag of hashed terms: its words, their endings, their shapes ("THE!!" is
+"A!"), words that follow themselves or stand in lines it has already had, and how many
+these are, how fresh its words are and how many they are, each as the term of a range. Term
+weights are log(1 + frequency in a hundred words) * idf, the document frequencies
+counted over all documents. The latent space is the truncated singular value
+decomposition of a bounded sample of labelled documents; their vectors are broadcast.
+Every document is projected, its exact cosine with every labelled vector is computed
+in blocks, and the labels of the nearest vote with their similarity.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +25,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knotwork.llm.common import bounded
+from knotwork.llm.common import bounded, fresh
 
 #: Labelled documents of either label that are fitted on at most: the bound of all that is broadcast.
 SAMPLE_PER_LABEL = 2_500
 BUCKETS = 1_024
 RANK = 64
-NEIGHBOURS = 25
+NEIGHBOURS = 15
 THRESHOLD = 0.7
 _CHUNK = 256
 
+#: Frequency of a word, an ending and a shape in a hundred words counts so much; a short text's counts less.
+FIELDS = (0.1, 0.1, 1.0)
+SHORT = 30
+#: Weight of a range's term.
+RANGE = 30.0
+
 
 def shape(word: str) -> str:
     """The word with runs of capitals as A, other letters a, a capitalised word Aa, digits 0, and runs of a mark as one."""
@@ -43,12 +53,12 @@ def shape(word: str) -> str:
 
 
 class TermBuckets(dict):
-    """word -> buckets of its terms, remembered up to a bound."""
+    """word -> buckets of the word, its ending and its shape, remembered up to a bound."""
 
     LIMIT = 100_000
 
-    def __missing__(self, word: str) -> tuple[int, int]:
-        terms = (bucket("s:" + shape(word)), bucket("e:" + word[-3:].lower()))
+    def __missing__(self, word: str) -> tuple[int, int, int]:
+        terms = (bucket("w:" + word.lower()), bucket("e:" + word[-3:].lower()), bucket("s:" + shape(word)))
         if len(self) < self.LIMIT:
             self[word] = terms
         return terms
@@ -59,23 +69,26 @@ def bucket(term: str) -> int:
 
 
 def terms(text: str | None, buckets: TermBuckets) -> np.ndarray:
-    """log(1 + count) by bucket; zeros for a text without words."""
+    """log(1 + frequency) by bucket; zeros for a text without words."""
     out = np.zeros(BUCKETS)
-    words = Counter(text.split()) if text else {}
-    if not words:
+    order = text.split() if text else []
+    if not order:
         return out
-    n = sum(words.values())
+    words, n = Counter(order), len(order)
     at = np.array([buckets[w] for w in words], np.int64)
-    counts = np.fromiter(words.values(), float, len(words))
-    out += np.bincount(at[:, 0], counts, BUCKETS) * (100 / n)
-    out += np.bincount(at[:, 1], counts, BUCKETS) * (20 / (n + 30))
-    lines = [x for x in text.split("\n") if x.strip()]
-    repeated = 1 - len(set(lines)) / len(lines)
-    distinct = len(words) / n
-    out[bucket("lines:repeated")] += 300 * repeated * n / (n + 60)
+    counts = np.fromiter(words.values(), float, len(words)) * (100 / (n + SHORT))
+    for j, weight in enumerate(FIELDS):
+        out += np.bincount(at[:, j], counts * weight, BUCKETS)
+    lines = Counter(x for x in text.split("\n") if x.strip())
+    again = sum((k - 1) * len(x.split()) for x, k in lines.items() if k > 1) / n
     # A text of n words has fewer distinct ones the longer it is; the power law is the usual rule.
-    out[bucket("words:repeated")] += 150 * max(0.0, 1 - distinct * (n / 10) ** 0.2) * n / (n + 60)
-    out[bucket(f"words:{min(8, int(n).bit_length())}")] += 3
+    new = min(1.5, len(words) / n * (n / 10) ** 0.2)
+    # Words that follow themselves.
+    run = sum(map(eq, order, islice(order, 1, None))) / n
+    out[bucket("again")] += 100 * again
+    out[bucket("run")] += 100 * run
+    for term in (f"again:{round(8 * again)}", f"run:{round(8 * run)}", f"new:{round(8 * new)}", f"size:{min(8, int(n).bit_length())}"):
+        out[bucket(term)] += RANGE
     return np.log1p(out)
 
 
@@ -96,28 +109,37 @@ class Space:
         return float((h * self.labels).sum() / h.sum())
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: np.ndarray, heft: tuple[float, float] = (1.0, 1.0), rank: int = RANK) -> Space:
-        idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
+    def fit(cls, x: np.ndarray, labels: np.ndarray, idf: np.ndarray, heft: tuple[float, float] = (1.0, 1.0), rank: int = RANK) -> Space:
         w = normalised(x * idf)
         values, vectors = np.linalg.eigh(w.T @ w)
         basis = vectors[:, ::-1][:, :rank].astype(np.float32)
         return cls(idf.astype(np.float32), basis, normalised(w.astype(np.float32) @ basis), labels.astype(np.float32), np.array(heft))
 
+    def cosines(self, x: np.ndarray) -> np.ndarray:
+        """Exact cosines of rows of term weights with all labelled vectors, to five digits, so that blocks of any size agree."""
+        v = normalised(normalised(x.astype(np.float32) * self.idf) @ self.basis)
+        return np.round(v @ self.vectors.T, 5)
+
     def score(self, x: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
-        """The weighted vote of the k nearest for rows of term weights; the prior where nothing is alike."""
+        """The vote of the k nearest, and of all that are as near as the k-th, weighted by the 8th power of their cosine.
+
+        The prior where nothing is alike.
+        """
         if not len(self.labels):
             return np.full(len(x), 0.5)
+        heft = self.heft[self.labels.astype(int)]
+        ballot = np.stack([heft * self.labels, heft], 1)
         out = np.empty(len(x))
         for at in range(0, len(x), _CHUNK):
-            v = normalised(normalised(x[at : at + _CHUNK].astype(np.float32) * self.idf) @ self.basis)
-            cosine = v @ self.vectors.T
-            k_ = min(k, cosine.shape[1])
-            near = np.argpartition(-cosine, k_ - 1, axis=1)[:, :k_]
-            w = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(float) ** 8
-            w *= self.heft[self.labels[near].astype(int)]
-            total = w.sum(1)
-            vote = np.divide((w * self.labels[near]).sum(1), total, out=np.full(len(v), self.prior), where=total > 0)
-            out[at : at + _CHUNK] = np.clip(vote, 0, 1)
+            cosine = self.cosines(x[at : at + _CHUNK])
+            last = max(0, cosine.shape[1] - k)
+            least = np.partition(cosine, last, axis=1)[:, last : last + 1]
+            w = np.where(cosine >= np.maximum(least, 0), cosine, 0).astype(float)
+            for _ in range(3):
+                w *= w
+            votes = w @ ballot
+            total = votes[:, 1]
+            out[at : at + _CHUNK] = np.clip(np.divide(votes[:, 0], total, out=np.full(len(total), self.prior), where=total > 0), 0, 1)
         return out
 
 
@@ -133,10 +155,11 @@ def fold_of(doc_id: Column) -> Column:
 def training_labels(labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> tuple[dict[int, int], tuple[float, float]]:
     """doc_id -> quality of at most per_label rows of either label outside the held-out fold, by a hash of the id.
 
-    With it, by label, how many labelled rows one of the sample stands for.
+    With it, by label, how many labelled rows one of the sample stands for. A document
+    that is labelled 0 and 1 counts as 0.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold_of(F.col("doc_id")) != 2))
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     sizes = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
     picked: dict[int, int] = {}
     for q in (0, 1):
@@ -144,12 +167,35 @@ def training_labels(labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> tup
     return picked, tuple(max(1.0, sizes.get(q, 0) / per_label) for q in (0, 1))
 
 
+def document_frequencies(docs: DataFrame) -> np.ndarray:
+    """In how many of all documents each bucket has a term, and last their number; tasks count, and the sums are BUCKETS rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, total = TermBuckets(), np.zeros(BUCKETS + 1, np.int64)
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                total[:-1] += terms(t, buckets) > 0
+            total[-1] += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 1)), pa.array(total)], ["bucket", "n"])
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    out = np.zeros(BUCKETS + 1)
+    for r in texts.mapInArrow(bounded(run, _CHUNK), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r.bucket] = r.n
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Space:
-    """The space of a bounded sample of labelled documents."""
+    """The space of a bounded sample of labelled documents, with the document frequencies of all.
+
+    Of a doc_id with several texts the one with the smallest hash is the labelled one.
+    """
     spark = docs.sparkSession
     picked, heft = training_labels(labels, per_label)
     ids = spark.createDataFrame([(i,) for i in sorted(picked)], "doc_id long")
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
+    text = F.col("text").cast("string")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.xxhash64(text).alias("at"), text.alias("text")).alias("t")).join(F.broadcast(ids), "doc_id", "left_semi")
+    sample = sample.groupBy("doc_id").agg(F.min("t").alias("t")).select("doc_id", "t.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = TermBuckets()
@@ -158,36 +204,43 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
             sparse = [(np.flatnonzero(v).astype(np.int16), v[v > 0].astype(np.float32)) for v in x]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([i.tobytes() for i, _ in sparse], pa.binary()), pa.array([v.tobytes() for _, v in sparse], pa.binary())], ["doc_id", "at", "weight"])
 
-    rows = sample.mapInArrow(bounded(run, _CHUNK), "doc_id long, at binary, weight binary").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
+    rows = sorted(sample.mapInArrow(bounded(run, _CHUNK), "doc_id long, at binary, weight binary").collect(), key=lambda r: r.doc_id)
     x = np.zeros((len(rows), BUCKETS))
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r.at, np.int16)] = np.frombuffer(r.weight, np.float32)
-    return Space.fit(x, np.array([picked[r.doc_id] for r in rows], float), heft)
+    counted = document_frequencies(docs)
+    idf = np.log((1 + counted[-1]) / (1 + counted[:-1])) + 1
+    return Space.fit(x, np.array([picked[r.doc_id] for r in rows], float), idf, heft)
 
 
 def score(docs: DataFrame, space: Space, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with quality_score (0 to 1) and accepted.
+    """docs with quality_score (0 to 1) and accepted; where docs has such a column, the new one's name gets an underscore.
 
     A null or empty text has no terms and gets the share of label 1 among the labelled
-    rows; without labelled documents every score is 0.5. Repeated rows score alike.
+    rows; without labelled documents every score is 0.5. Repeated rows score alike, a
+    null doc_id is scored like any other, and a text is held whole, whatever its length,
+    one slice of rows at a time. An empty table stays empty.
     """
     names, sent = docs.columns, docs.sparkSession.sparkContext.broadcast(space)
-    if {"quality_score", "accepted"} & set(names):
-        raise ValueError("documents must not have columns quality_score or accepted")
+    new = [fresh(names, "quality_score"), fresh(names, "accepted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = TermBuckets()
         for b in batches:
             x = np.array([terms(t, buckets) for t in b.column(names.index("text")).to_pylist()])
             s = sent.value.score(x)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array(s >= threshold, pa.bool_())], [*names, "quality_score", "accepted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array(s >= threshold, pa.bool_())], [*names, *new])
+
+    return docs.mapInArrow(bounded(run, _CHUNK), T.StructType([*docs.schema.fields, T.StructField(new[0], T.DoubleType()), T.StructField(new[1], T.BooleanType())]))
+
 
-    return docs.mapInArrow(bounded(run, _CHUNK), T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]))
+def accepted(docs: DataFrame, space: Space, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score at least the threshold; columns and edge cases as in score."""
+    return score(docs, space, threshold).filter(F.col(fresh(docs.columns, "accepted"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted."""
+    """One row per row of docs: doc_id, held_out, score, predicted; a null doc_id has a null held_out."""
     space = fit(docs, labels)
     rows = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), space)
     return rows.select(
