@@ -19,7 +19,7 @@ NEAR_PERCENT = 80
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labels of docs."""
     space = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, space).filter("accepted").select(docs.columns)
+    return quality.accepted(docs, space)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
