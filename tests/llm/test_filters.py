@@ -113,6 +113,51 @@ def test_surrogates_stay_distinct(spark, docs):
     assert surrogates.pseudonymise(docs(texts).limit(0), KEY).count() == 0
 
 
+def test_permutations_of_values():
+    """Every value of a space has its own surrogate and none stays; also when all of 192.168.0.0/16 occurs."""
+    for n in (2, 3, 10, 26, 1000):
+        assert sorted(surrogates.scramble(KEY, "t", x, n) for x in range(n)) == list(range(n))
+        assert all(surrogates.scramble(KEY, "t", x, n) != x for x in range(n))
+    odd = [surrogates.scramble(KEY, "t", x, 100, lambda y: y % 2 == 1) for x in range(1, 100, 2)]
+    assert sorted(odd) == list(range(1, 100, 2))
+    every = {f"192.168.{i >> 8}.{i & 255}" for i in range(1 << 16)}
+    assert {surrogates.surrogate(KEY, "ip", x) for x in every} == every
+    for kind, canon in (("ip", "8.8.8.8"), ("ip", "172.20.1.2"), ("phone3", "112"), ("phone3", "999"), ("card13", "4222222222222"), ("email", "a@b.org"), ("iban", "GB29NWBK60161331926819"), ("ipv6", "fe80::1")):
+        new = surrogates.surrogate(KEY, kind, canon)
+        assert new != canon and (kind in ("email", "ipv6") or len(new) == len(canon) or kind == "ip"), (kind, canon, new)
+    assert surrogates._remainder(surrogates.surrogate(KEY, "iban", "GB29NWBK60161331926819")) == 1
+    assert {surrogates.surrogate(KEY, "phone2", f"{i:02d}") for i in range(100)} == {f"{i:02d}" for i in range(100)}
+    assert {surrogates.surrogate(KEY, "email", f"{c}@x.org").split("@")[0] for c in "abcdefghijklmnopqrstuvwxyz"} == set("abcdefghijklmnopqrstuvwxyz")
+
+
+def test_one_entity_has_one_surrogate(docs):
+    texts = {
+        1: "Call +1 555 123 4567 or +15551234567, 555-123-4567 or +44 20 7946 0958, +442079460958, +44 (0)20 7946 0958",
+        2: "Mrs Anna Smith, Dr Anna Smith, Prof. A. Smith and Prof. J. Smith; Anna-Maria",
+        3: "Dr Γιώργος Παπαδόπουλος, Dr 王小明, Mr Դավիթ Սարգսյան, Herr Иван Петров",
+        4: "Ms Anna-Maria Smith-Jones",
+        5: "2001:db8::1, 2001:0DB8:0:0:0:0:0:1, fe80::1 but std::vector and 12:30:45",
+        6: "DE89 3704 0044 0532 0130 00 and DE89370400440532013000, not DE00 3704 0044 0532 0130 00",
+    }
+    new = {r.doc_id: r.text for r in surrogates.pseudonymise(docs(list(texts.items())), KEY).collect()}
+    digits = [re.sub(r"\D", "", x) for x in re.split(r", | or ", new[1].removeprefix("Call "))]
+    assert digits[0] == digits[1] == "1" + digits[2] and digits[3] == digits[4] and digits[5] == "440" + digits[3][2:]
+    m = re.fullmatch(r"Mrs (\w+) (\w+), Dr (\w+) (\w+), Prof\. (\w)\. (\w+) and Prof\. (\w)\. (\w+); (\w+)-Maria", new[2])
+    assert m[1] == m[3] == m[9] and m[2] == m[4] == m[6] == m[8] and m[5] == m[1][0] and m[1].endswith(("na", "lia", "ra", "ela")) and m[7] != "J"
+    m = re.fullmatch(r"Dr ([Α-ώ]+) ([Α-ώ]+), Dr ([一-鿿]+), Mr ([Ա-և]+) ([Ա-և]+), Herr ([А-я]+) ([А-я]+)", new[3])
+    assert m and not set(m.groups()) & {"Γιώργος", "Παπαδόπουλος", "王小明", "Դավիթ", "Սարգսյան", "Иван", "Петров"}
+    m2 = re.fullmatch(r"Ms (\w+)-(\w+) (\w+)-(\w+)", new[4])
+    assert m2[1] == re.match(r"Mrs (\w+)", new[2])[1] and m2[3] == re.match(r"Mrs \w+ (\w+)", new[2])[1]
+    a, b = re.match(r"(2001:[0-9a-f]+::[0-9a-f]+), (2001:[0-9A-F]+:0:0:0:0:0:[0-9A-F]+), fe80::[0-9a-f]+ but std::vector and 12:30:45", new[5]).groups()
+    assert surrogates.ipaddress.ip_address(a) == surrogates.ipaddress.ip_address(b) and a != "2001:db8::1"
+    a, b = re.fullmatch(r"(DE\d\d(?: \d{4}){4} \d\d) and (DE\d{20}), not DE00 .*", new[6]).groups()
+    assert a.replace(" ", "") == b != "DE89370400440532013000" and surrogates._remainder(b) == 1
+    table = docs([(1, "Dr Weber"), (2, "x" * 200_000 + " Dr Weber")]).withColumn("spans", F.lit("mine")).withColumn("n_entities", F.lit(5))
+    out = surrogates.pseudonymise(table, KEY)
+    assert out.columns[-2:] == ["n_entities_", "spans_"] and {(r.spans, r.n_entities, r.n_entities_) for r in out.collect()} == {("mine", 5, 1)}
+    assert not any("Weber" in r.text for r in out.collect())
+
+
 # -- op3
 
 
