@@ -25,6 +25,7 @@ import hmac
 import ipaddress
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -58,7 +59,8 @@ _PARTICLE = rf"(?:(?:de|del|della|di|da|do|dos|das|du|des|la|las|los|le|el|y|e|v
 
 # How an entity is written. The first that matches at a place wins.
 PATTERNS = (
-    ("email", r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    # Parts are bounded as addresses are, so that a long run of letters is not searched from each of its places.
+    ("email", r"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]{1,64}+(?:\.[A-Za-z0-9_%+-]{1,64}+){0,32}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,32}\.[A-Za-z]{2,63}"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)(?!\w)"),
     ("id", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"),
@@ -217,7 +219,8 @@ def entities(text: str | None) -> list[tuple[int, int, str, str, str]]:
     initials, people = [], []
     for m in FIND.finditer(text):
         kind = next(k for k, _ in PATTERNS if m[k] is not None)
-        if any(s < m.end() and m.start() < e for s, e in taken):
+        near = bisect_left(taken, (m.end(),))
+        if near and taken[near - 1][1] > m.start():
             continue
         if kind == "name":
             script = _script(m["given"])
@@ -245,11 +248,15 @@ def entities(text: str | None) -> list[tuple[int, int, str, str, str]]:
                 digits = digits[_country(digits) if m[0].startswith("+") else 0 :]
                 digits = digits[1:] if digits.startswith("0") else digits
             out.append((m.start(), m.end(), f"{kind}{len(digits)}", digits, ""))
+    known: dict[tuple[str, str], set[str]] = {}
+    for given, family in people:
+        for g in given[:1]:
+            known.setdefault((family, g[0]), set()).add(g)
     for at, letter, family, script in initials:
         # An initial stands for the given name that the document knows with this family name, or for itself.
-        known = {g for given, f in people for g in given[:1] if f == family and g[0] == letter.casefold()}
-        if len(known) == 1:
-            out.append((at, at + 1, f"given-{script}", known.pop(), ""))
+        whose = known.get((family, letter.casefold()), set())
+        if len(whose) == 1:
+            out.append((at, at + 1, f"given-{script}", *whose, ""))
         else:
             out.append((at, at + 1, f"initial-{script}", letter.casefold(), ""))
     return sorted(out + _mentions(text, named, sorted(out))) if named else sorted(out)
@@ -264,17 +271,18 @@ def _mentions(text: str, named: dict[str, str], found: list[tuple[int, int, str,
 
     named: type by canonical form. Of joined words the longest runs that are names count.
     """
-    out, at = [], 0
+    out: list[tuple[int, int, str, str, str]] = []
+    starts = [x[0] for x in found]
+    longest = max(len(re.findall(r"[^\W\d_]+", n)) for n in named)
     for m in _WORD.finditer(text):
-        while at < len(found) and found[at][1] <= m.start():
-            at += 1
         pieces = list(re.finditer(r"[^\W\d_]+", m[0]))
         i = 0
         while i < len(pieces):
-            for j in range(len(pieces), i, -1):
+            for j in range(min(len(pieces), i + longest), i, -1):
                 s, e = m.start() + pieces[i].start(), m.start() + pieces[j - 1].end()
                 canon = _canonical(text[s:e])
-                if canon in named and not text[s].islower() and not any(s < y and x < e for x, y, *_ in found[at : at + len(pieces)]):
+                before = bisect_left(starts, e)
+                if canon in named and not text[s].islower() and not (before and found[before - 1][1] > s):
                     out.append((s, e, named[canon], canon, ""))
                     break
             else:
