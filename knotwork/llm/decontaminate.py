@@ -1,23 +1,23 @@
 """Benchmark decontamination: short test items inside long documents.
 
 An item is found in a document that contains at least a share t of its distinct
-shingles. Items are partitioned by size. In a partition of items up to u shingles the
-index keeps a bottom-k MinHash sketch of every item, its k = u - ceil(t * u) + 1
+shingles. Items are partitioned by size. In the partition of items up to u shingles
+the index keeps a bottom-k MinHash sketch of every item, its k = u - ceil(t * u) + 1
 smallest shingle hashes: a document that lacks all k lacks more than the share 1 - t,
 so a shingle of the document in the sketch is necessary for containment t, and the
 search loses nothing. (A sketch of the document's side would: a test item of 30
-shingles has a Jaccard similarity of about 0.002 to a document of 20,000.) Candidates
-are verified on the shingles themselves, not their hashes.
+shingles has a Jaccard similarity of about 0.002 to a document of 20,000.)
 
-The index holds a bounded block of items and is broadcast; more items are searched
-block by block, each against all documents.
+One pass over the documents holds their shingles against a bitmap of the sketches,
+which is broadcast and never larger than MOST_BITS; what it lets through is joined to
+the sketches. More items than the bitmap tells apart make more rows to join, but lose
+nothing. Candidates are verified on the shingles themselves, not their hashes: each
+candidate text comes to a task once, and its items one after the other.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from fractions import Fraction
 
 import numpy as np
@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import WordHashes, bounded, shingle_hashes, words_of
+from knotwork.llm.common import WordHashes, bounded, durable, shingle_hashes, words_of
 
 SHINGLE = 5
 #: Share of an item's shingles that a document must contain.
 CONTAINMENT = Fraction(4, 5)
-#: Bytes of item texts whose index is broadcast at a time.
-BLOCK_BYTES = 8_000_000
+#: Bits of the bitmap for each hash of a sketch, about, and at most in all (as powers of two).
+BITS_EACH, MOST_BITS = 8, 26
 
 
 def shingles(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
@@ -43,119 +43,148 @@ def needed(n: int, share: Fraction) -> int:
     return -(-share.numerator * n // share.denominator)
 
 
-@dataclass
-class Item:
-    item_id: int | None
-    size: int
-    parts: frozenset
-
-
-@dataclass
-class SketchIndex:
-    """Sketches of items by shingle size; a table of hash bits tells most shingles apart at once."""
-
-    items: list[Item] = field(default_factory=list)
-    lookup: dict[int, dict[int, list[int]]] = field(default_factory=dict)
-    bits: dict[int, np.ndarray] = field(default_factory=dict)
-
-    TABLE = 22
-
-    @classmethod
-    def build(cls, rows: list[tuple[int | None, str | None]], share: Fraction = CONTAINMENT) -> SketchIndex:
-        self, hashes = cls(), WordHashes()
-        partitions: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = defaultdict(list)
-        for item_id, text in rows:
-            words = words_of(text)
-            if not words:
-                continue
-            size = min(SHINGLE, len(words))
-            self.items.append(Item(item_id, size, frozenset(shingles(words, size))))
-            distinct = np.unique(shingle_hashes(words, hashes, size))
-            partitions[size, len(distinct).bit_length()].append((len(self.items) - 1, distinct))
-        for (size, _), members in partitions.items():
-            most = max(len(h) for _, h in members)
-            depth = most - needed(most, share) + 1
-            table = self.lookup.setdefault(size, {})
-            for i, h in members:
-                for x in h[:depth].tolist():
-                    table.setdefault(x, []).append(i)
-        for size, table in self.lookup.items():
-            mask = np.zeros(1 << cls.TABLE, bool)
-            mask[np.fromiter(table, np.uint64, len(table)) & np.uint64((1 << cls.TABLE) - 1)] = True
-            self.bits[size] = mask
-        return self
-
-    def search(self, text: str | None, hashes: WordHashes, share: Fraction = CONTAINMENT) -> list[tuple[Item, int]]:
-        """Items that the text contains, with the number of shared shingles."""
-        words = words_of(text)
-        out = []
-        for size, table in self.lookup.items():
-            if len(words) < size:
-                continue
-            h = shingle_hashes(words, hashes, size)
-            h = h[self.bits[size][h & np.uint64((1 << self.TABLE) - 1)]]
-            found = {i for x in h.tolist() for i in table.get(x, ())}
-            if found:
-                own = set(shingles(words, size))
-                for i in sorted(found):
-                    shared = len(self.items[i].parts & own)
-                    if shared >= needed(len(self.items[i].parts), share):
-                        out.append((self.items[i], shared))
-        return out
-
-
-def _indexes(items: DataFrame, share: Fraction, block_bytes: int) -> Iterator[SketchIndex]:
-    items = items.select("item_id", F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // block_bytes))
-    for part in range(parts):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield SketchIndex.build([(r.item_id, r.text) for r in block.collect()], share)
-
-
-def leaks(docs: DataFrame, items: DataFrame, share: Fraction = CONTAINMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def sketch(words: list[bytes], hashes: WordHashes, share: Fraction) -> np.ndarray:
+    """The smallest distinct shingle hashes of an item, as many as its size partition needs."""
+    distinct = np.unique(shingle_hashes(words, hashes, min(SHINGLE, len(words))))
+    most = (1 << len(distinct).bit_length()) - 1
+    return distinct[: most - needed(most, share) + 1]
+
+
+def keyed(rows: DataFrame, name: str) -> DataFrame:
+    """The texts that are not null, with a 128-bit key (name1, name2)."""
+    return rows.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias(f"{name}1"), F.xxhash64(F.lit(1), "text").alias(f"{name}2"), "text")
+
+
+def _sketches(items: DataFrame, share: Fraction) -> DataFrame:
+    """i1, i2, size, hash: the sketch of every item text; size is the number of words in a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            for i in range(b.num_rows):
+                words = words_of(b.column("text")[i].as_py())
+                if words:
+                    h = sketch(words, hashes, share).view(np.int64)
+                    same = lambda x: pa.array(np.full(len(h), x, np.int64))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([same(b.column("i1")[i].as_py()), same(b.column("i2")[i].as_py()), same(min(SHINGLE, len(words))), pa.array(h)], ["i1", "i2", "size", "hash"])
+
+    return keyed(items, "i").dropDuplicates(["i1", "i2"]).mapInArrow(bounded(run), "i1 long, i2 long, size long, hash long")
+
+
+def _bitmap(sketches: DataFrame, most_bits: int) -> tuple[np.ndarray, int]:
+    """A bitmap of the low bits of the sketches' hashes, and how many these are; the driver gets its words, not the hashes."""
+    bits = min(most_bits, max(6, sketches.count().bit_length() + BITS_EACH))
+    place = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
+    word = F.shiftright(place, 6).alias("word")
+    words = sketches.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("set")).collect()
+    out = np.zeros(1 << bits - 6, np.uint64)
+    for r in words:
+        out[r.word] = np.uint64(r.set & (1 << 64) - 1)
+    return out, bits
+
+
+def _hits(docs: DataFrame, sizes: list[int], bitmap: np.ndarray, bits: int) -> DataFrame:
+    """d1, d2, hash: the shingles of every text that the bitmap lets through."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, mask = WordHashes(), np.uint64((1 << bits) - 1)
+        for b in batches:
+            found = []
+            for text in b.column("text").to_pylist():
+                words = words_of(text)
+                parts = [shingle_hashes(words, hashes, size) for size in sizes if len(words) >= size]
+                h = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+                low = h & mask
+                found.append(np.unique(h[(sent.value[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1]).view(np.int64))
+            n = [len(x) for x in found]
+            if sum(n):
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in ("d1", "d2")), pa.array(np.concatenate(found))], ["d1", "d2", "hash"])
+
+    return keyed(docs, "d").mapInArrow(bounded(run), "d1 long, d2 long, hash long")
+
+
+class Text:
+    """A document's shingles, looked up by hash and compared by word; arrays of 16 bytes a word beside its words."""
+
+    def __init__(self, text: str, hashes: WordHashes):
+        self.words, self.hashes = words_of(text), hashes
+        self.index: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def holds(self, parts: list[tuple[bytes, ...]], size: int) -> int:
+        """How many of the distinct shingles the document has."""
+        if len(self.words) < size:
+            return 0
+        if size not in self.index:
+            h = shingle_hashes(self.words, self.hashes, size)
+            order = np.argsort(h, kind="stable")
+            self.index[size] = h[order], order
+        h, order = self.index[size]
+        wanted = np.array([shingle_hashes(list(p), self.hashes, size)[0] for p in parts], np.uint64)
+        lo, hi = np.searchsorted(h, wanted, "left"), np.searchsorted(h, wanted, "right")
+        return sum(any(tuple(self.words[at : at + size]) == p for at in order[a:b]) for p, a, b in zip(parts, lo.tolist(), hi.tolist(), strict=True))
+
+
+def contained(docs: DataFrame, items: DataFrame, share: Fraction = CONTAINMENT, most_bits: int = MOST_BITS) -> DataFrame:
+    """d1, d2, i1, i2, n_item, n_shared: every pair of a text and an item text that it contains, by their keys."""
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    items = items.select(F.col("text").cast("string").alias("text"))
+    sketches = durable(_sketches(items, share))
+    sizes = sorted(r["size"] for r in sketches.select("size").distinct().collect())
+    hits = _hits(texts, sizes, *_bitmap(sketches, most_bits))
+    pairs = durable(hits.join(sketches.select("hash", "i1", "i2"), "hash").select("d1", "d2", "i1", "i2").distinct())
+    wanted = keyed(texts, "d").join(pairs.select("d1", "d2").distinct(), ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
+    none = F.lit(None).cast("long")
+    asked = pairs.join(keyed(items, "i").dropDuplicates(["i1", "i2"]), ["i1", "i2"])
+    # The text of a document, and after it its items.
+    rows = wanted.select("d1", "d2", none.alias("i1"), none.alias("i2"), "text").unionByName(asked.select("d1", "d2", "i1", "i2", "text"))
+    rows = rows.repartition("d1", "d2").sortWithinPartitions("d1", "d2", F.col("i1").asc_nulls_first(), "i2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, own = WordHashes(), None
+        for b in batches:
+            out = []
+            for d1, d2, i1, i2, text in zip(*(b.column(c).to_pylist() for c in ("d1", "d2", "i1", "i2", "text")), strict=True):
+                if i1 is None:
+                    own = Text(text, hashes)
+                    continue
+                words = words_of(text)
+                size = min(SHINGLE, len(words))
+                parts = list(dict.fromkeys(shingles(words, size)))
+                shared = own.holds(parts, size)
+                if shared >= needed(len(parts), share):
+                    out.append((d1, d2, i1, i2, len(parts), shared))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["d1", "d2", "i1", "i2", "n_item", "n_shared"])
+
+    return durable(rows.mapInArrow(bounded(run), "d1 long, d2 long, i1 long, i2 long, n_item long, n_shared long"))
+
+
+def leaks(docs: DataFrame, items: DataFrame, share: Fraction = CONTAINMENT, most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment: every pair of a document and an item it contains.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. An item of fewer than five words
     is one shingle of all its words; a null or empty text contains nothing and is
-    contained nowhere. Null ids stay null; repeated documents and items each give their
-    pairs; empty tables give an empty result; other columns are ignored.
+    contained nowhere. An item of which just the share is contained counts. Null ids
+    stay null; repeated documents and items each give their pairs; a text of any length
+    is searched whole; empty tables give an empty result; other columns are ignored.
     """
-    sc = docs.sparkSession.sparkContext
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for index in _indexes(items, share, block_bytes):
-        sent = sc.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
-            for b in batches:
-                rows = [
-                    (d, item.item_id, len(item.parts), n)
-                    for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)
-                    for item, n in sent.value.search(t, hashes, share)
-                ]
-                cols = list(zip(*rows, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_item", "n_shared"])
-
-        found = picked.mapInArrow(bounded(run), "doc_id long, item_id long, n_item long, n_shared long")
-        out = found if out is None else out.unionByName(found)
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
-
-
-def without_leaks(docs: DataFrame, items: DataFrame, share: Fraction = CONTAINMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that contain no item; columns as they were. One pass a block of items, no join."""
-    sc, names = docs.sparkSession.sparkContext, docs.columns
-    for index in _indexes(items, share, block_bytes):
-        sent = sc.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
-            for b in batches:
-                yield b.filter(pa.array([not sent.value.search(t, hashes, share) for t in b.column(names.index("text")).to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(bounded(run), docs.schema)
-    return docs
+    key = lambda rows, id_, name: rows.select(F.col(id_).cast("long").alias(id_), *[h.alias(f"{name}{i}") for i, h in enumerate(_key(), 1)])
+    out = contained(docs, items, share, most_bits).join(key(docs, "doc_id", "d"), ["d1", "d2"]).join(key(items, "item_id", "i"), ["i1", "i2"])
+    return out.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
+def _key() -> tuple:
+    text = F.col("text").cast("string")
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, share: Fraction = CONTAINMENT, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows of docs that contain no item; columns as they were, edge cases as in leaks."""
+    found = contained(docs, items, share, most_bits).select("d1", "d2").distinct()
+    text = docs["text"].cast("string")
+    same = (F.xxhash64(text) == found["d1"]) & (F.xxhash64(F.lit(1), text) == found["d2"])
+    return docs.join(found, same, "left_anti")
 
 
 ORACLE = r"""
