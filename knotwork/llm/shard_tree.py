@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.llm.common import durable, fresh
+
 #: Rows of the table that fall into one block of the hash range, about.
 BLOCK_ROWS = 20_000
 
@@ -86,14 +88,20 @@ def place(key: Column, node: Node, seed: str = "knotwork") -> Column:
     return out
 
 
+_COLUMNS = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def shard_documents(docs: DataFrame, tree: Node | None = None, seed: str = "knotwork", extra: tuple = ()) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard and `extra` columns.
 
     size is the text's UTF-8 bytes plus 1 (a null text has none, and crc32 0 like an
     empty one). Rows without a doc_id share the key "null". slot numbers a shard's
     rows from 0 in the order of a hash of (doc_id, size, crc32), then doc_id; repeated
-    rows get successive slots in any order. An empty table gives an empty result.
-    Other columns of docs are ignored unless named in `extra`.
+    rows get successive slots in any order, and where they are more than a block they
+    come last in their block, dealt to several tasks. A text is only measured, so its
+    length is no matter. An empty table gives an empty result. Other columns of docs
+    are ignored unless named in `extra`; one that is named as a column of the result
+    gets an underscore.
     """
     tree = tree or default_tree()
     count = 1 + max(_shards(tree))
@@ -103,16 +111,16 @@ def shard_documents(docs: DataFrame, tree: Node | None = None, seed: str = "knot
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
-        *extra,
-    )
-    rows = rows.withColumns({
-        "shard": place(key, tree, seed).cast("int"),
-        "grown_shard": place(key, grown(tree, count), seed).cast("int"),
-        "__at": F.xxhash64("doc_id", "size", "text_crc32"),
-    })
-    return with_slots(rows).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", *extra
+        place(key, tree, seed).cast("int").alias("shard"),
+        place(key, grown(tree, count), seed).cast("int").alias("grown_shard"),
+        *([F.struct(*[F.col(f"`{c}`") for c in extra]).alias("extra")] if extra else []),
     )
+    names = list(_COLUMNS)
+    for c in extra:
+        names.append(fresh(names, c))
+    rest = [F.col("extra")[c].alias(n) for c, n in zip(extra, names[len(_COLUMNS) :], strict=True)]
+    out = with_slots(rows.withColumn("at", F.xxhash64("doc_id", "size", "text_crc32")))
+    return out.withColumn("law", F.lit("key")).select(*_COLUMNS, *rest)
 
 
 def _shards(node) -> list[int]:
@@ -120,24 +128,32 @@ def _shards(node) -> list[int]:
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
-    """Gapless numbers within each shard in the order (__at, doc_id).
+    """rows (shard, at, doc_id, ...) with slot: gapless numbers within each shard in the order (at, doc_id).
 
     The leading bits of the hash cut it into blocks, so many that a block has about
     BLOCK_ROWS rows over all shards. Blocks are ranges of the order, so the numbers do
     not depend on how many there are. A first pass counts rows by (shard, block), the
-    second adds what lies before a row's block.
+    second adds what lies before a row's block. Only repeated rows can make a block
+    large; those are taken out of it and dealt to lanes, which are numbered like blocks.
     """
     bits = max(0, -(-rows.count() // BLOCK_ROWS) - 1).bit_length()
-    block = F.shiftright("__at", 64 - bits) if bits else F.lit(0).cast("long")
-    rows = rows.withColumn("__block", block)
-    before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "__block").count().select(
-        F.col("shard").alias("__s"),
-        F.col("__block").alias("__b"),
-        F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"),
-    )
-    inside = Window.partitionBy("shard", "__block").orderBy("__at", "doc_id")
-    numbered = rows.withColumn("__n", F.row_number().over(inside) - 1)
-    joined = numbered.join(starts, (F.col("shard") == F.col("__s")) & (F.col("__block") == F.col("__b")))
-    slot = (F.col("__before") + F.col("__n")).cast("long")
-    return joined.withColumn("slot", slot).drop("__s", "__b", "__before", "__n", "__block")
+    rows = rows.withColumn("block", F.shiftright("at", 64 - bits) if bits else F.lit(0).cast("long"))
+    counts = durable(rows.groupBy("shard", "block").count())
+    large = counts.filter(F.col("count") > 2 * BLOCK_ROWS).select("shard", "block")
+    if large.isEmpty():
+        rows = rows.withColumns({"often": F.lit(None).cast("long"), "lane": F.lit(0)})
+        counts = counts.withColumns({"often": F.lit(None).cast("long"), "lane": F.lit(0)})
+    else:
+        often = rows.join(large, ["shard", "block"], "left_semi").groupBy("shard", "at").count().filter(F.col("count") > BLOCK_ROWS)
+        often = durable(often.select("shard", "at", F.ceil(F.col("count") / BLOCK_ROWS).alias("lanes")))
+        rows = rows.join(often, ["shard", "at"], "left").withColumn("often", F.when(F.col("lanes").isNotNull(), F.col("at")))
+        # Written, as the lanes must be the same for the count and the numbers.
+        rows = durable(rows.withColumn("lane", F.coalesce(F.pmod(F.monotonically_increasing_id(), "lanes"), F.lit(0)).cast("int")).drop("lanes"))
+        counts = rows.groupBy("shard", "block", "often", "lane").count()
+    before = Window.partitionBy("shard").orderBy("block", F.col("often").asc_nulls_first(), "lane").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("shard").alias("s"), F.col("block").alias("b"), F.col("often").alias("o"), F.col("lane").alias("l"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("shard", "block", "often", "lane").orderBy("at", "doc_id")
+    numbered = rows.withColumn("n", F.row_number().over(inside) - 1)
+    same = (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b")) & F.col("often").eqNullSafe(F.col("o")) & (F.col("lane") == F.col("l"))
+    joined = numbered.join(starts, same)
+    return joined.withColumn("slot", (F.col("before") + F.col("n")).cast("long")).drop("s", "b", "o", "l", "before", "n", "block", "often", "lane")
