@@ -39,7 +39,7 @@ def source_targets(rows: DataFrame, most_repeats: int = MOST_REPEATS, weights: t
     of all sizes by weight; one that passes most_repeats times its source's size stops
     there and the rest is shared anew. In the order of cap / weight the sources that
     stop are a prefix; the share per unit of weight that holds is the largest one that
-    the next source in that order still takes.
+    the next source in that order still takes. The ranking holds one row a source.
     """
     by = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     everything = Window.partitionBy()
@@ -70,7 +70,8 @@ def settle_large(p: np.ndarray, size: np.ndarray, draws: np.random.Generator, sh
         if not 0.0 < x < 1.0 or i + 1 == len(p):
             continue
         rest = slice(i + 1, None)
-        room = np.minimum(p[rest] * size[rest] / (1.0 - x), (1.0 - p[rest]) * size[rest] / x)
+        with np.errstate(over="ignore"):  # a fraction next to 0 or 1 sets no bound on that side
+            room = np.minimum(p[rest] * size[rest] / (1.0 - x), (1.0 - p[rest]) * size[rest] / x)
         room[(p[rest] <= 0.0) | (p[rest] >= 1.0)] = 0.0
         if room.sum() < size[i]:
             continue
@@ -106,7 +107,7 @@ def fold(p: list[float], size: list[float], draws: np.random.Generator) -> list[
 def _fold_group(seed: int, level: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         # The largest first: the open fraction that stays then tends to be of a small document.
-        pdf = pdf.sort_values(["heft", "at", "crc", "bytes"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["heft", "at", "at2", "bytes"], ascending=[False, True, True, True], kind="stable")
         draws = np.random.default_rng([seed, level, *(int(pdf["skey"].iloc[0]) & (2**64 - 1)).to_bytes(8, "big"), int(key[1])])
         heft = pdf["heft"].to_numpy(float)
         p = settle_large(pdf["p"].to_numpy(float), heft, draws) if level == 0 else pdf["p"]
@@ -116,31 +117,31 @@ def _fold_group(seed: int, level: int):
     return run
 
 
-_ITEM = "source string, skey long, doc_id long, at long, crc long, bytes int, size long, m long, heft long, source_size long, target double, whole long, p double, bucket long"
+_ITEM = "source string, skey long, doc_id long, at long, at2 long, bytes int, size long, m long, heft long, source_size long, target double, whole long, p double, bucket long"
 
 
 def item_key(docs: DataFrame) -> DataFrame:
-    """docs with (at, crc, bytes), the key of a document: its source, doc_id and text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({
-        "at": F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull()),
-        "crc": F.crc32(F.encode(text, "utf-8")),
-        "bytes": F.octet_length(text),
-    })
+    """docs with (at, at2, bytes), the key of a document: 128 bits of its source, doc_id and text, and the text's size.
+
+    Documents without doc_id are told apart by their texts, so that they do not share a bucket.
+    """
+    known = [x for c in ("source", "doc_id", "text") for x in (F.col(c), F.col(c).isNull())]
+    return docs.withColumns({"at": F.xxhash64(*known), "at2": F.xxhash64(F.lit(1), *known), "bytes": F.octet_length(F.coalesce(F.col("text"), F.lit("")))})
 
 
 def mix_copies(docs: DataFrame, seed: int = 7, most_repeats: int = MOST_REPEATS) -> DataFrame:
-    """One row per document: its key (at, crc, bytes), source, doc_id, size, m, copies and its source's figures.
+    """One row per document: its key (at, at2, bytes), source, doc_id, size, m, copies and its source's figures.
 
     Rows that agree in source, doc_id and text are one document of m rows, which share
     one decision and weigh m times their size. A text without words (or null) has size
-    0, moves no target and is taken once. A null source is a source, the last one. An
-    empty table gives an empty result; columns besides doc_id, source and text are
-    ignored.
+    0, moves no target and is taken once; a text of any length is one document of that
+    many words. A null source is a source, the last one, and a null doc_id one like any
+    other. Documents of equal size trade in the order of their keys. An empty table
+    gives an empty result; columns besides doc_id, source and text are ignored.
     """
     rows = item_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"))
     rows = rows.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    items = rows.groupBy("source", "doc_id", "at", "crc", "bytes", "size").agg(F.count(F.lit(1)).alias("m"))
+    items = rows.groupBy("source", "doc_id", "at", "at2", "bytes", "size").agg(F.count(F.lit(1)).alias("m"))
     items = durable(items)
     targets = source_targets(items, most_repeats).withColumnRenamed("source", "__source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -164,7 +165,7 @@ def mix_copies(docs: DataFrame, seed: int = 7, most_repeats: int = MOST_REPEATS)
             break
         level += 1
         items = items.withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("long"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "skey", "at", "crc"), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
+    u = (F.pmod(F.xxhash64(F.lit(seed), "skey", "at", "at2"), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
     out = items.withColumn("p", F.when(u < F.col("p"), 1.0).otherwise(0.0))
     for part in settled:
         out = out.unionByName(part)
@@ -180,7 +181,7 @@ def mix_report(docs: DataFrame, seed: int = 7) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """docs with every row repeated as often as the mix takes it; columns as they were."""
     columns = docs.columns
-    copies = mix_copies(docs, seed).filter(F.col("copies") > 0).select("at", "crc", "bytes", "copies")
+    copies = mix_copies(docs, seed).filter(F.col("copies") > 0).select("at", "at2", "bytes", "copies")
     keyed = item_key(docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")).drop("doc_id", "source", "text")
-    out = keyed.join(copies, ["at", "crc", "bytes"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = keyed.join(copies, ["at", "at2", "bytes"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select("row.*")
