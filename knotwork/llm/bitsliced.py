@@ -8,6 +8,9 @@ rows are picked from its most significant slice downward. Only the leading slice
 each attribute take part, so the sums are lower bounds with a known error; every row
 within that error of the k-th is resolved with its exact inner product. Blocks give
 their k best rows a query, and a window over these few rows gives the result.
+
+The blocks of rows and of queries are tables, and every block of queries meets every
+block of rows in a join on the queries' block: nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -111,8 +114,8 @@ class BlockIndex:
     def rows(self, bitmap: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little")[: self.n])
 
-    def best(self, query: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and exact scores of the k best rows, the row with id `but` left out."""
+    def best(self, query: np.ndarray, k: int, but: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids and exact scores of the k best rows, the places `but` left out."""
         columns: dict[int, list[np.ndarray]] = {}
         for a, w in enumerate(query.tolist()):
             # A negative weight takes the complement: -w * v = |w| * (2**bits - 1 - v) less a constant of the query.
@@ -122,7 +125,7 @@ class BlockIndex:
                     for j, plane in enumerate(planes):
                         columns.setdefault(i + j, []).append(plane)
         among = self.all.copy()
-        for r in np.flatnonzero(self.ids == but):
+        for r in but:
             among[r >> 6] &= ~(np.uint64(1) << np.uint64(r & 63))
         picked = among
         if columns:
@@ -136,62 +139,89 @@ class BlockIndex:
         return self.ids[at][order], score[order]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, x) by dimension, at most `size` rows each."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for i, x in zip(batch.column("vec_id").to_pylist(), batch.column("x").to_pylist(), strict=True):
-            rows = held.setdefault(len(x), [])
-            rows.append((i, x))
-            if len(rows) == size:
-                yield _as_arrays(held.pop(len(x)))
-    for rows in held.values():
-        yield _as_arrays(rows)
+_BLOCK = "dim int, ids binary, rows binary, x binary"
+
+
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """dim, ids, rows, x: blocks of at most `size` rows (vec_id, row, x) of one dimension; ids, row numbers and vectors as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for i, r, x in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "row", "x")), strict=True):
+                block = held.setdefault(len(x), [])
+                block.append((i, r, x))
+                if len(block) == size:
+                    yield _block(held.pop(len(x)))
+        for block in held.values():
+            yield _block(block)
 
+    parts = max(1, -(-rows.count() // size))
+    return durable(rows.repartition(parts).mapInArrow(run, _BLOCK).withColumn("block", F.monotonically_increasing_id()))
 
-def _as_arrays(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).reshape(len(rows), -1)
+
+def _block(rows: list) -> pa.RecordBatch:
+    ids, numbers = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+    x = np.array([r[2] for r in rows], np.int64).reshape(len(rows), -1)
+    return pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), *(pa.array([v.tobytes()]) for v in (ids, numbers, x))], ["dim", "ids", "rows", "x"])
+
+
+def _check_range(vectors: DataFrame, queries: DataFrame) -> None:
+    """Raise where a score may pass 64 bits, as it would wrap."""
+    size = F.aggregate("x", F.lit(0.0), lambda a, v: a + F.abs(v.cast("double")))
+    most = F.coalesce(F.max(F.array_max(F.transform("x", lambda v: F.abs(v.cast("double"))))), F.lit(0.0))
+    bound = (vectors.agg(most).first()[0] or 0.0) * (queries.agg(F.max(size)).first()[0] or 0.0)
+    if bound >= 2.0**62:
+        raise ValueError(f"inner products of these vectors may reach {bound:.3g}, beyond 64 bits")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, slices: int = SLICES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest integer inner products, ties to the smaller vec_id.
 
-    vectors and queries are as `quantised` gives them. All vectors but those with the
-    query's own id are candidates; a vector of another dimension than the query's is
-    none. Rows that repeat a vec_id are candidates of their own. Fewer than k
-    candidates give all there are; empty tables give an empty result. Components must
-    keep inner products within 64 bits.
+    vectors and queries are as `quantised` gives them. Where both have a column `row`, a
+    query is every row of queries, and all rows but its own are candidates, those that
+    repeat its vec_id too; otherwise equal queries are one, and all rows but those with
+    its vec_id are candidates. A vector of another dimension than the query's is none.
+    Rows that repeat a vec_id are candidates of their own. Fewer than k candidates give
+    all there are; empty tables give an empty result. Vectors whose inner products may
+    pass 64 bits raise a ValueError. Blocks of rows are copied once for each block of
+    QUERY_BLOCK queries.
     """
-    spark = vectors.sparkSession
-    queries = durable(queries.distinct().withColumn("__n", F.xxhash64("vec_id", "x")))
-    vectors = vectors.repartition(max(1, -(-vectors.count() // block_rows)))
-    total = queries.count()
-    parts = max(1, -(-total // QUERY_BLOCK))
-    found = None
-    for part in range(parts):
-        mine = queries.filter(F.pmod("__n", F.lit(parts)) == part).orderBy("vec_id").select("vec_id", "x").toPandas()
-        sent = spark.sparkContext.broadcast([(int(i), np.array(x, np.int64)) for i, x in zip(mine.vec_id, mine.x, strict=True)])
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for ids, x in _blocks(batches, block_rows):
-                index = BlockIndex(ids, x, slices)
-                out = [(q, *index.best(v, k, q)) for q, v in sent.value if len(v) == x.shape[1]]
-                if out:
+    by_row = "row" in vectors.columns and "row" in queries.columns
+    if not by_row:
+        vectors, queries = (t.select("vec_id", "x", F.col("vec_id").alias("row")) for t in (vectors, queries.select("vec_id", "x").distinct()))
+    _check_range(vectors, queries)
+    index, asked = _packed(vectors, block_rows), _packed(queries, QUERY_BLOCK)
+    n = asked.select("block").distinct().count() * index.count()
+    asked = asked.select("dim", F.col("block").alias("asked"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("x").alias("q_x"))
+    every = asked.groupBy("dim").agg(F.collect_list("asked").alias("asked"))  # as many numbers as there are blocks of queries
+    pairs = index.join(F.broadcast(every), "dim").withColumn("asked", F.explode("asked")).join(asked.drop("dim"), "asked")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, rows, q_ids, q_rows = (np.frombuffer(r[c], np.int64) for c in ("ids", "rows", "q_ids", "q_rows"))
+                x, q_x = (np.frombuffer(r[c], np.int64).reshape(-1, r["dim"]) if r["dim"] else np.zeros((len(i), 0), np.int64) for c, i in (("x", ids), ("q_x", q_ids)))
+                at = BlockIndex(ids, x, slices)
+                order = np.argsort(rows, kind="stable")
+                lo, hi = (np.searchsorted(rows[order], q_rows, side) for side in ("left", "right"))
+                best = [at.best(v, k, order[a:b]) for v, a, b in zip(q_x, lo, hi, strict=True)]
+                if best:
+                    many = [len(i) for i, _ in best]
+                    number = (r["asked"] << 20) + np.arange(len(q_ids))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.repeat([q for q, _, _ in out], [len(i) for _, i, _ in out]), pa.int64()),
-                        pa.array(np.concatenate([i for _, i, _ in out]), pa.int64()),
-                        pa.array(np.concatenate([s for _, _, s in out]), pa.int64()),
-                    ], ["query_id", "vec_id", "score"])
-
-        got = vectors.mapInArrow(search, "query_id long, vec_id long, score long")
-        found = got if found is None else found.unionByName(got)
-    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+                        pa.array(np.repeat(number, many), pa.int64()), pa.array(np.repeat(q_ids, many), pa.int64()),
+                        pa.array(np.concatenate([i for i, _ in best]), pa.int64()), pa.array(np.concatenate([s for _, s in best]), pa.int64()),
+                    ], ["number", "query_id", "vec_id", "score"])
+
+    found = pairs.repartition(max(1, n)).mapInArrow(search, "number long, query_id long, vec_id long, score long")
+    ranked = Window.partitionBy("number").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search_every(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
-    """The vectors whose id is divisible by `every` as queries against all vectors."""
-    rows = durable(quantised(vectors))
+    """The vectors whose id is divisible by `every` as queries against all vectors, by row; edge cases as in top_k."""
+    rows = durable(quantised(vectors).withColumn("row", F.monotonically_increasing_id()))
     return top_k(rows, rows.filter(F.col("vec_id") % every == 0), k)
 
 
