@@ -12,7 +12,9 @@ So a group never expands into pairs. Most lines have no neighbour; they are left
 before any variant is made: of two lines one edit apart, either the first half or the
 second half (of the longer one's length) is equal. The lines left are cut into BLOCKS
 blocks, and all but the block with the edit is equal, so a line gives only the variants
-of blocks without which it agrees with another line. Matches are verified with the edit
+of blocks without which it agrees with another line; a block of a long line is cut
+again until it has at most FINE characters, so that the work stays near proportional
+to a line's length. Variants are joined on 128 bits. Matches are verified with the edit
 distance of the texts. A line occurrence goes if an equal or alike line occurs
 earlier, in the order (doc_id, line_no), kept or not.
 
@@ -24,12 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import durable
+from knotwork.llm.common import durable, fresh
 
 #: Edits within which lines are alike.
 BOUND = 1
 #: Blocks of a line, of which an edit is in one.
 BLOCKS = 16
+#: Characters of a block whose variants are made.
+FINE = 64
 #: Shares of all line occurrences; a line that has more than one of them is dealt to several tasks.
 SHARES = 1_000
 
@@ -54,37 +58,54 @@ def halves(line: Column) -> Column:
     return F.array(*pair(n), *pair(n + 1))
 
 
-def rests(line: Column) -> Column:
-    """(shorter, first place, place after the last, hash of the rest) for each block that may hold the edit.
+def rests(line: Column, shorter: Column, start: Column, end: Column) -> Column:
+    """(start, end, hash of the rest) of the BLOCKS parts of the places from start to before end.
 
     shorter is 0 where the line counts as the longer of a pair or as one of equal
-    lengths, and 1 where it counts as a character shorter.
+    lengths, and 1 where it counts as a character shorter; places are those of the longer.
     """
-    n = F.length(line)
-
-    def of(shorter: int) -> Column:
-        longer = n + shorter
+    longer = F.length(line) + shorter
 
-        def rest(b: Column) -> Column:
-            start, end = F.floor(b * longer / BLOCKS).cast("int"), F.floor((b + 1) * longer / BLOCKS).cast("int")
-            tail = longer - end
-            hashed = F.xxhash64(longer, b, F.substr(line, F.lit(1), start), F.substr(line, n - tail + 1, tail))
-            return F.when(end > start, F.struct(F.lit(shorter).alias("shorter"), start.alias("start"), end.alias("end"), hashed.alias("rest")))
+    def rest(b: Column) -> Column:
+        lo, hi = ((start + F.floor(x * (end - start) / BLOCKS)).cast("int") for x in (b, b + 1))
+        tail = longer - hi
+        hashed = F.xxhash64(longer, lo, hi, F.substr(line, F.lit(1), lo), F.substr(line, F.length(line) - tail + 1, tail))
+        return F.when(hi > lo, F.struct(lo.alias("start"), hi.alias("end"), hashed.alias("rest")))
 
-        return F.filter(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), rest), lambda x: x.isNotNull())
-
-    return F.concat(of(0), of(1))
+    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), rest), lambda x: x.isNotNull())
 
 
 def variants(line: Column, start: Column, end: Column) -> Column:
-    """(place, hash) of the line with the character at each place from start to before end deleted."""
+    """(place, hash, second hash) of the line with the character at each place from start to before end deleted."""
     def without(i: Column) -> Column:
         rest = F.concat(F.substr(line, F.lit(1), i), F.substr(line, i + 2, F.length(line)))
-        return F.struct(i.cast("int").alias("place"), F.xxhash64(rest).alias("v"))
+        return F.struct(i.cast("int").alias("place"), F.xxhash64(rest).alias("v"), F.xxhash64(F.lit(1), rest).alias("w"))
 
     return F.transform(F.sequence(start, end - 1), without)
 
 
+def edited_blocks(texts: DataFrame) -> DataFrame:
+    """first, shorter, start, end: blocks of at most FINE places without which a line agrees with another one.
+
+    texts: first, line. Every round cuts the blocks that are still too large, of which
+    only very long lines have any.
+    """
+    sides = F.explode(F.array(F.lit(0), F.lit(1))).alias("shorter")
+    todo = texts.select("first", "line", sides).select("*", F.lit(0).alias("lo"), (F.length("line") + F.col("shorter")).alias("hi"))
+    out = None
+    while True:
+        cut = todo.select("first", "shorter", F.explode(rests(F.col("line"), F.col("shorter"), F.col("lo"), F.col("hi"))).alias("r")).select("first", "shorter", "r.*")
+        cut = durable(cut)
+        met = cut.groupBy("rest").agg(F.min("first").alias("a"), F.max("first").alias("b")).filter(F.col("a") != F.col("b")).select("rest")
+        kept = durable(cut.join(met, "rest", "left_semi").select("first", "shorter", "start", "end"))
+        fine = kept.filter(F.col("end") - F.col("start") <= FINE)
+        out = fine if out is None else out.unionByName(fine)
+        wide = kept.filter(F.col("end") - F.col("start") > FINE)
+        if wide.isEmpty():
+            return out
+        todo = texts.select("first", "line").join(wide, "first").select("first", "line", "shorter", F.col("start").alias("lo"), F.col("end").alias("hi"))
+
+
 def near_lines(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     """h1, h2, near_doc_id, near_line_no: the earliest line one edit away and earlier than a line's own first.
 
@@ -96,16 +117,14 @@ def near_lines(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     flagged = distinct.join(flagged, "h1", "left_semi").select("h1", "h2", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
     texts = durable(lines.select("doc_id", "line_no", "line").join(flagged, ["doc_id", "line_no"]).select("h1", "h2", "first", "line"))
 
-    cut = durable(texts.select("first", F.explode(rests(F.col("line"))).alias("r")).select("first", "r.*"))
-    met = cut.groupBy("rest").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter(F.col("lo") != F.col("hi")).select("rest")
-    blocks = cut.filter(F.col("shorter") == 0).join(met, "rest", "left_semi").select("first", "start", "end")
+    blocks = edited_blocks(texts.select("first", "line")).filter(F.col("shorter") == 0).select("first", "start", "end")
     places = F.explode(variants(F.col("line"), F.col("start"), F.col("end"))).alias("e")
-    emitted = durable(texts.select("first", "line").join(blocks, "first").select("first", places).select("first", "e.place", "e.v"))
-    earliest = emitted.groupBy("v", "place").agg(F.min("first").alias("best"), F.max("first").alias("last"))
-    earliest = earliest.filter(F.col("best") != F.col("last")).select("v", "place", "best")
-    changed = emitted.join(earliest, ["v", "place"]).filter(F.col("best") < F.col("first")).select("first", "best")
-    whole = texts.select(F.col("h1").alias("v"), F.col("first").alias("whole"))
-    shorter = emitted.join(whole, "v").filter(F.col("whole") != F.col("first"))
+    emitted = durable(texts.select("first", "line").join(blocks, "first").select("first", places).select("first", "e.place", "e.v", "e.w"))
+    earliest = emitted.groupBy("v", "w", "place").agg(F.min("first").alias("best"), F.max("first").alias("last"))
+    earliest = earliest.filter(F.col("best") != F.col("last")).select("v", "w", "place", "best")
+    changed = emitted.join(earliest, ["v", "w", "place"]).filter(F.col("best") < F.col("first")).select("first", "best")
+    whole = texts.select(F.col("h1").alias("v"), F.col("h2").alias("w"), F.col("first").alias("whole"))
+    shorter = emitted.join(whole, ["v", "w"]).filter(F.col("whole") != F.col("first"))
     # Either line of a pair may be the earlier one.
     deleted = shorter.select(F.greatest("first", "whole").alias("first"), F.least("first", "whole").alias("best"))
     pairs = changed.unionByName(deleted).distinct()
@@ -129,7 +148,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     ones are never repeated. Rows without doc_id or text have no lines. Rows that repeat
     a doc_id and text are one document; of rows that repeat a doc_id with different
     texts, lines with one number are ordered by that number only, and equal ones stay.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored. A line of any
+    length is compared whole.
     """
     lines = lines_of(docs)
     found = durable(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(F.struct("doc_id", "line_no")).alias("last"), F.count(F.lit(1)).alias("n")))
@@ -151,13 +171,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs with the repeated lines taken out of the text; other columns as they were."""
-    gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
+    """docs with the repeated lines taken out of the text; other columns as they were, edge cases as in repeated_lines."""
+    name = fresh(docs.columns, "gone")
+    gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias(name))
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("__gone", i))
+    kept = F.filter(lines, lambda line, i: ~F.array_contains(name, i))
     joined = docs.join(gone, "doc_id", "left")
-    text = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn("text", text).select(docs.columns)
+    text = F.when(F.col(name).isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return joined.withColumn("text", text).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""
