@@ -18,13 +18,13 @@ ENDLESS = 2**31 - 1
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host without user, port and trailing dot; empty if there is none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
+    """Lower-case host without user, port and trailing dot; empty if there is none. An IPv6 address keeps its brackets."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)", 1))
     return F.regexp_replace(host, r"\.+$", "")
 
 
 def keys_of(url: Column) -> Column:
-    """The keys of a URL, the most specific first: host/segment, host, parents of two labels or more."""
+    """The keys of a URL, the most specific first: host/segment, host, parents of two labels or more; addresses have no parents."""
     host = host_of(url)
     segment = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)", 1)
     labels = F.split(host, r"\.")
@@ -32,7 +32,8 @@ def keys_of(url: Column) -> Column:
         F.sequence(F.lit(2), F.greatest(F.size(labels) - 1, F.lit(2))),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
-    some = F.when(F.size(labels) > 2, parents).otherwise(F.array().cast("array<string>"))
+    address = host.rlike(r"^(\d+(\.\d+){3}|\[.*)$")
+    some = F.when((F.size(labels) > 2) & ~address, parents).otherwise(F.array().cast("array<string>"))
     path = F.when(segment != "", F.array(F.concat(host, F.lit("/"), segment))).otherwise(F.array().cast("array<string>"))
     return F.when(host != "", F.concat(path, F.array(host), some)).otherwise(F.array().cast("array<string>"))
 
@@ -60,8 +61,11 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_column: str = "page_
 
     verdict is the action of the most specific key that had an active entry, and
     "allow" with null list_key where none had: also for a null or malformed URL or a
-    null fetch day. Repeated captures each give a row; without entries every capture
-    is allowed; other columns are ignored.
+    null fetch day. A URL has one key of each kind, the most specific that is listed
+    decides, so there are no ties. Repeated captures each give a row, those without id
+    too; a URL of any length is one row with a key for each of its labels. Without
+    entries every capture is allowed, and without captures the result is empty; other
+    columns are ignored.
     """
     rows = captures.select(F.col(id_column).alias("id"), "url", F.col("fetch_day").cast("int").alias("fetch_day"))
     keyed = rows.select("id", "url", "fetch_day", F.posexplode_outer(keys_of(F.col("url"))).alias("at", "__key"))
@@ -107,6 +111,7 @@ def derived_entries(pages: DataFrame, days: int = 365) -> DataFrame:
     return listed.select("key", F.explode(events).alias("e")).select("key", "e.day", "e.action")
 
 
+#: The hosts of the table pages are names; this SQL does not tell addresses apart.
 ORACLE = """
 WITH hosts AS (
   SELECT page_id, url, CAST(CAST('0x' || substr(md5('fetch' || CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) % 365 AS INTEGER) AS fetch_day,
