@@ -186,6 +186,17 @@ def test_lines(docs, clashing):
     assert line_dedup.repeated_lines(docs(rows).limit(0)).count() == 0
 
 
+def test_very_long_lines(docs, monkeypatch):
+    """Edits anywhere in lines of 40,000 characters, found by cutting blocks again; other long lines stay."""
+    rng = np.random.default_rng(9)
+    long = "".join(rng.choice(list("abcdefgh "), 40_000))
+    twins = [long[:k] + x + long[k + d :] for k, x, d in ((0, "", 1), (39_999, "", 1), (20_001, "Q", 1), (12_345, "Q", 0), (40_000, "Q", 0))]
+    rows = [(0, "first\n" + long), *((i + 1, f"{i} own" * (i + 2) + f"\n{t}") for i, t in enumerate(twins)), (9, long[::-1]), (10, long[:20_000] + "QQ" + long[20_000:])]
+    got = {tuple(r) for r in line_dedup.repeated_lines(docs(rows)).collect()}
+    # The line of document 10 is two edits from the first one, and one from no other.
+    assert got == {(i + 1, 1, 0, 1, 1) for i in range(len(twins))}
+
+
 # -- op9
 
 
@@ -210,6 +221,25 @@ def test_top_k(spark, clashing, block, slices):
     assert bitsliced.search_every(t.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark, monkeypatch):
+    """Every row of a repeated id is a query, and a candidate for the others; queries in several blocks."""
+    monkeypatch.setattr(bitsliced, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(6)
+    rows = [(i % 60, rng.normal(0, 0.3, 4).tolist()) for i in range(200)] + [(0, [0.5] * 4)] * 3 + [(50, [1.0, 2.0]), (51, [3.0, 1.0])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = [(i, [math.floor(256 * float(np.float32(v))) for v in x]) for i, x in rows]
+    want = []
+    for a, (q, x) in enumerate(whole):
+        if q % 50 == 0:
+            scored = sorted((-sum(v * w for v, w in zip(x, y, strict=True)), i) for b, (i, y) in enumerate(whole) if a != b and len(x) == len(y))
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
+    got = bitsliced.search_every(t.repartition(3))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and got.columns == ["query_id", "rank", "vec_id", "score"]
+    huge = spark.createDataFrame([(0, [1e300]), (1, [1e300])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        bitsliced.search_every(huge)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 40), min_size=1, max_size=130), st.integers(1, 7))
 def test_bitmap_arithmetic(values, k):
@@ -272,6 +302,18 @@ def test_mix(docs, clashing):
     assert mixing.mix_report(docs(rows).limit(0)).count() == 0 == mixing.mix(docs(rows).limit(0)).count()
 
 
+def test_mix_of_documents_without_ids(docs):
+    """Rows without doc_id, and rows of one id with many texts, are documents of their own; a very long one is whole."""
+    rows = [(None, f"w{i} " * (i % 9 + 1), "a") for i in range(900)] + [(1, f"v{i} x", "b") for i in range(600)] + [(2, "long " * 200_000, "c"), (3, "short one", "c")]
+    keys = mixing.item_key(docs(rows).select("doc_id", "source", "text"))
+    assert keys.select("at", "at2", "bytes").distinct().count() == len(rows)
+    assert keys.filter("doc_id IS NULL").select(F.pmod("at", F.lit(10))).distinct().count() == 10
+    out = mixing.mix_report(docs(rows)).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in out) == Counter((i, s, len(words(t))) for i, t, s in rows)
+    copies = Counter(mixing.mix(docs(rows)).select("doc_id", "text", "source").collect())
+    assert sum(len(words(r.text)) * n for r, n in copies.items()) == sum(r.taken for r in out)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.floats(0, 1), st.integers(1, 50)), min_size=1, max_size=40), st.integers(0, 99))
 def test_fold_keeps_words(items, seed):
@@ -322,6 +364,23 @@ def test_shards(docs, clashing, monkeypatch):
     assert shard_tree.shard_documents(docs(rows).limit(0)).count() == 0
 
 
+def test_slots_of_repeated_rows_and_clashing_columns(docs, monkeypatch):
+    """A third of the rows are equal, and another part has no doc_id; a very long text is only measured."""
+    monkeypatch.setattr(shard_tree, "BLOCK_ROWS", 20)
+    rows = [(i, f"t{i}") for i in range(300)] + [(7, "same")] * 200 + [(None, "none")] * 100 + [(None, f"n{i}") for i in range(50)] + [(1000, "x" * 3_000_000)]
+    table = docs(rows, 5)
+    for c in ("slot", "shard", "size", "block", "often", "lane", "n", "s", "at", "before", "extra", "__n", "__block"):
+        table = table.withColumn(c, F.lit(f"my {c}"))
+    out = shard_tree.shard_documents(table, extra=tuple(c for c in table.columns if c != "doc_id"))
+    got = out.collect()
+    assert len(got) == len(rows) and Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert {"slot_", "shard_", "size_"} < set(out.columns) and all(r["slot_"] == "my slot" and r["__n"] == "my __n" and r["at"] == "my at" for r in got)
+    again = shard_tree.shard_documents(docs(rows, 2)).select("doc_id", "text_crc32", "shard", "slot").collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, out.select("doc_id", "text_crc32", "shard", "slot").collect()))
+
+
 def test_weights_move_only_below(docs):
     n = shard_tree.Node
     tree = lambda w: n("root", (n("r0", (n("r0/a", (shard_tree.Shard(0), shard_tree.Shard(1))), n("r0/b", (shard_tree.Shard(2, w),)))), n("r1", (n("r1/a", (shard_tree.Shard(3),)),))))

@@ -53,6 +53,16 @@ def test_url_filter(spark, clashing):
     assert url_filter.filter_urls(c.limit(0), e).count() == 0
 
 
+def test_url_filter_of_addresses_and_long_urls(spark):
+    """An address has no parent domains, and an IPv6 address is a host; a URL may be very long."""
+    entries = [("0.0.1", 1, "block"), ("0.1", 1, "block"), ("10.0.0.1", 1, "block"), ("[2001:db8::1]", 1, "block"), ("[", 1, "block"), ("deep.org", 1, "block")]
+    long = "http://" + "a." * 2000 + "deep.org/" + "p" * 500_000
+    urls = ["http://10.0.0.1/x", "http://10.0.0.2:80/", "http://u@[2001:db8::1]:8080/a", "http://[2001:db8::2]/", "http://[::ffff:10.0.0.1]/", long]
+    c = spark.createDataFrame([(i, u, 5) for i, u in enumerate(urls)], "page_id long, url string, fetch_day int")
+    got = url_filter.filter_urls(c, spark.createDataFrame(entries, "key string, day int, action string"))
+    assert {r.page_id: (r.verdict, r.list_key) for r in got.collect()} == {0: ("block", "10.0.0.1"), 1: ("allow", None), 2: ("block", "[2001:db8::1]"), 3: ("allow", None), 4: ("allow", None), 5: ("block", "deep.org")}
+
+
 # -- op2
 
 PII = [
@@ -352,8 +362,8 @@ def test_containment(spark, docs, clashing):
     want = brute_leaks(rows, items)
     got = lambda x: sorted(((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in x.collect()), key=repr)
     assert len(want) > 10 and got(decontaminate.leaks(clashing(d), table.withColumn("n_item", F.lit(1)))) == want
-    assert got(decontaminate.leaks(d, table, block_bytes=300)) == want
-    clean = decontaminate.without_leaks(clashing(d), table, block_bytes=300)
+    assert got(decontaminate.leaks(d, table, most_bits=7)) == want
+    clean = decontaminate.without_leaks(clashing(d).withColumns({c: F.lit('x') for c in ('d1', 'd2')}), table, most_bits=7)
     gone = {x[0] for x in want}
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _ in rows if i not in gone and i is not None)
     assert decontaminate.leaks(d, table.limit(0)).count() == 0 == decontaminate.leaks(d.limit(0), table).count()
