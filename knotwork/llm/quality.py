@@ -53,12 +53,12 @@ def shape(word: str) -> str:
 
 
 class TermBuckets(dict):
-    """word -> buckets of the word, its ending and its shape, remembered up to a bound."""
+    """word -> buckets of the word, its ending and its shape as one number, remembered up to a bound."""
 
-    LIMIT = 100_000
+    LIMIT = 200_000
 
-    def __missing__(self, word: str) -> tuple[int, int, int]:
-        terms = (bucket("w:" + word.lower()), bucket("e:" + word[-3:].lower()), bucket("s:" + shape(word)))
+    def __missing__(self, word: str) -> int:
+        terms = (bucket("w:" + word.lower()) * BUCKETS + bucket("e:" + word[-3:].lower())) * BUCKETS + bucket("s:" + shape(word))
         if len(self) < self.LIMIT:
             self[word] = terms
         return terms
@@ -75,19 +75,20 @@ def terms(text: str | None, buckets: TermBuckets) -> np.ndarray:
     if not order:
         return out
     words, n = Counter(order), len(order)
-    at = np.array([buckets[w] for w in words], np.int64)
+    at = np.fromiter(map(buckets.__getitem__, words), np.int64, len(words))
     counts = np.fromiter(words.values(), float, len(words)) * (100 / (n + SHORT))
     for j, weight in enumerate(FIELDS):
-        out += np.bincount(at[:, j], counts * weight, BUCKETS)
-    lines = Counter(x for x in text.split("\n") if x.strip())
-    again = sum((k - 1) * len(x.split()) for x, k in lines.items() if k > 1) / n
+        out += np.bincount(at // BUCKETS ** (2 - j) % BUCKETS, counts * weight, BUCKETS)
+    lines, again = text.split("\n"), 0.0
+    if len(set(lines)) < len(lines):  # a line without words repeats none
+        again = sum((k - 1) * len(x.split()) for x, k in Counter(lines).items() if k > 1) / n
     # A text of n words has fewer distinct ones the longer it is; the power law is the usual rule.
     new = min(1.5, len(words) / n * (n / 10) ** 0.2)
     # Words that follow themselves.
     run = sum(map(eq, order, islice(order, 1, None))) / n
     out[bucket("again")] += 100 * again
     out[bucket("run")] += 100 * run
-    for term in (f"again:{round(8 * again)}", f"run:{round(8 * run)}", f"new:{round(8 * new)}", f"size:{min(8, int(n).bit_length())}"):
+    for term in (f"again:{round(8 * again)}", f"run:{round(8 * run)}", f"new:{round(8 * new)}", f"size:{min(8, n.bit_length())}"):
         out[bucket(term)] += RANGE
     return np.log1p(out)
 
