@@ -1,4 +1,4 @@
-"""Tables that turn numbers into words, as Python and as columns."""
+"""Tables that turn numbers into words, as columns."""
 
 from __future__ import annotations
 
@@ -26,18 +26,6 @@ CORRESPONDENCE_BELOW = "not at all"
 CENTRALITY_RATIO = 1.5
 
 
-def word(value: float, table: list[tuple[float, str]], below: str) -> str:
-    return next((phrase for least, phrase in table if value >= least), below)
-
-
-def homophily_word(value: float) -> str:
-    return HOMOPHILY_UNDEFINED if value != value else word(value, HOMOPHILY, HOMOPHILY_BELOW)
-
-
-def correspondence_word(value: float) -> str:
-    return word(value, CORRESPONDENCE, CORRESPONDENCE_BELOW)
-
-
 def word_column(value: Column, table: list[tuple[float, str]], below: str) -> Column:
     out = F.lit(below)
     for least, phrase in reversed(table):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.functions.render import text_column
+from knotwork.functions.render import filled
 from knotwork.model import GraphSet
 from knotwork.operators.iterative import pair_distances
 
@@ -54,22 +54,18 @@ def link_features(gs: GraphSet, pairs: DataFrame, communities: DataFrame | None
 
 def link_lines(features: DataFrame) -> DataFrame:
     """graph_id, u, v, text: the features of a pair in one line."""
-    # The line's parts and their formats.
-    parts = (
-        ("common-neighbors", "common_neighbors", "d"), ("Jaccard", "jaccard", ".3f"), ("Adamic-Adar", "adamic_adar", ".3f"),
-        ("resource-allocation", "resource_allocation", ".3f"), ("preferential-attachment", "preferential_attachment", "d"),
-    )
-    lead = "Link features (computed on the observed graph, excluding this pair): "
-
-    def make(r: dict) -> str:
-        out = [f"{label}={r[k]:{spec}}" for label, k, spec in parts]
-        hops = r["shortest_path"]
-        out.append("shortest-path-length=" + ("no path (disconnected in observed graph)" if hops < 0 else str(hops)))
-        if "same_community" in r:
-            out.append("same-community=" + ("yes" if r["same_community"] else "no"))
-        return lead + ", ".join(out)
-
-    return text_column(features, make, ("graph_id", "u", "v"))
+    # The line and its parts.
+    line = (
+        "Link features (computed on the observed graph, excluding this pair): common-neighbors={common_neighbors}, Jaccard={jaccard:.3f}, Adamic-Adar={adamic_adar:.3f}, "
+        "resource-allocation={resource_allocation:.3f}, preferential-attachment={preferential_attachment}, shortest-path-length={path}"
+    )
+    no_path, same = "no path (disconnected in observed graph)", ", same-community="
+    hops = F.col("shortest_path")
+    values = {c: F.col(c) for c in LINK_FEATURES[:5]} | {"path": F.when(hops < 0, F.lit(no_path)).otherwise(hops.cast("string"))}
+    text = filled(line, values)
+    if "same_community" in features.columns:
+        text = F.concat(text, F.lit(same), F.when(F.col("same_community") == 1, F.lit("yes")).otherwise(F.lit("no")))
+    return features.select("graph_id", "u", "v", text.alias("text"))
 
 
 def neighbour_labels(gs: GraphSet, labels: DataFrame, classes: list[str], known: DataFrame | None = None) -> DataFrame:
