@@ -185,8 +185,12 @@ def ring_sizes(n: int, edges: np.ndarray, a: np.ndarray, dist: np.ndarray, caps:
     return dict(sorted(sizes.items()))
 
 
-def graph_facts(graph_id, nodes: list[str], edges: np.ndarray, caps: Caps) -> dict:
-    """All dense facts of one graph; edges as pairs of places in nodes."""
+#: Parts of the dense facts that a caller can ask for; what is not asked for is null.
+PARTS = frozenset({"betweenness", "closeness", "eigenvector", "communities", "cores", "spectrum", "rings"})
+
+
+def graph_facts(graph_id, nodes: list[str], edges: np.ndarray, caps: Caps, parts: frozenset = PARTS) -> dict:
+    """The dense facts of one graph, components and distances always; edges as pairs of places in nodes."""
     n = len(nodes)
     a = adjacency(n, edges)
     dist, paths = distances(a)
@@ -201,42 +205,47 @@ def graph_facts(graph_id, nodes: list[str], edges: np.ndarray, caps: Caps) -> di
         apl, diameter, radius = float(inner.sum() / (size * (size - 1))), int(reach.max()), int(reach.min())
     elif size <= 1:
         apl, diameter, radius = 0.0, 0, 0
-    if n <= caps.exact_betweenness:
-        between = betweenness(a, dist, paths)
-    else:
-        pivots = np.sort(np.random.default_rng(0).choice(n, min(caps.pivots, n), replace=False))
-        between = betweenness(a, dist[pivots], paths[pivots])
-    near = closeness(dist)
-    eig, degenerate = eigenvector(a)
-    parts = communities(n, edges)
-    of = {v: i for i, c in enumerate(parts) for v in c}
-    core = core_numbers(a)
-    rings = ring_sizes(n, edges, a, dist, caps)
+    out = {
+        "graph_id": graph_id, "n_components": len(set(comp.tolist())), "lcc_size": size, "avg_path_length": apl, "diameter": diameter, "radius": radius,
+    }
+    node: dict[str, list] = {}
+    if "betweenness" in parts:
+        some = dist, paths
+        if n > caps.exact_betweenness:
+            pivots = np.sort(np.random.default_rng(0).choice(n, min(caps.pivots, n), replace=False))
+            some = dist[pivots], paths[pivots]
+        between = betweenness(a, *some)
+        out |= {"betweenness_mean": float(between.mean()) if n else 0.0, "betweenness_max": float(between.max()) if n else 0.0}
+        node["betweenness"] = between.tolist()
+    if "closeness" in parts:
+        near = closeness(dist)
+        out["closeness_mean"] = float(near.mean()) if n else 0.0
+        node["closeness"] = near.tolist()
+    if "eigenvector" in parts:
+        eig, degenerate = eigenvector(a)
+        out |= {"eigenvector_mean": float(eig.mean()) if n else 0.0, "eigenvector_max": float(eig.max()) if n else 0.0, "eig_degenerate": degenerate}
+        node["eigenvector"] = eig.tolist()
+    if "communities" in parts:
+        found = communities(n, edges)
+        out |= {"n_communities": len(found), "modularity": modularity(n, edges, found)}
+        of = {v: i for i, c in enumerate(found) for v in c}
+        node["community"] = [of[i] for i in range(n)]
+    if "cores" in parts:
+        core = core_numbers(a)
+        out["max_kcore"] = int(core.max()) if n and len(edges) else 0
+        node["core"] = core.tolist()
+    if "spectrum" in parts:
+        out["spectral_gap"] = spectral_gap(a[np.ix_(lcc, lcc)])
+    if "rings" in parts:
+        rings = ring_sizes(n, edges, a, dist, caps)
+        out["ring_sizes"] = None if rings is None else list(rings.items())
+    three = [k for k in ("betweenness", "eigenvector", "closeness") if k in node]
     order = comp.tolist()
-    return {
-        "graph_id": graph_id,
-        "n_components": len(set(order)),
-        "lcc_size": size,
-        "avg_path_length": apl,
-        "diameter": diameter,
-        "radius": radius,
-        "n_communities": len(parts),
-        "modularity": modularity(n, edges, parts),
-        "max_kcore": int(core.max()) if n and len(edges) else 0,
-        "spectral_gap": spectral_gap(a[np.ix_(lcc, lcc)]),
-        "ring_sizes": None if rings is None else list(rings.items()),
-        "betweenness_mean": float(between.mean()) if n else 0.0,
-        "betweenness_max": float(between.max()) if n else 0.0,
-        "closeness_mean": float(near.mean()) if n else 0.0,
-        "eigenvector_mean": float(eig.mean()) if n else 0.0,
-        "eigenvector_max": float(eig.max()) if n else 0.0,
-        "eig_degenerate": degenerate,
-        "nodes": [
-            {"node_id": v, "node_ord": i, "component": order[i], "betweenness": float(between[i]), "closeness": float(near[i]), "eigenvector": float(eig[i]), "community": of[i], "core": int(core[i]),
-             "rounded": {"betweenness": round(float(between[i]), 3), "eigenvector": round(float(eig[i]), 3), "closeness": round(float(near[i]), 3)}}  # as Python rounds
-            for i, v in enumerate(nodes)
-        ],
-    }
+    out["nodes"] = [
+        {"node_id": v, "node_ord": i, "component": order[i], **{k: x[i] for k, x in node.items()}, "rounded": {k: round(node[k][i], 3) for k in three}}  # as Python rounds
+        for i, v in enumerate(nodes)
+    ]
+    return out
 
 
 _NODE = pa.struct([("node_id", pa.string()), ("node_ord", pa.int32()), ("component", pa.int32()), ("betweenness", pa.float64()), ("closeness", pa.float64()), ("eigenvector", pa.float64()), ("community", pa.int32()), ("core", pa.int32()), ("rounded", pa.struct([(k, pa.float64()) for k in ("betweenness", "eigenvector", "closeness")]))])
@@ -336,22 +345,62 @@ def large_facts(gs: GraphSet) -> DataFrame:
     return durable(out.select(*_OUT.names))
 
 
-def kernel_facts(gs: GraphSet) -> DataFrame:
-    """The facts of every graph, with a row for each node inside; graphs of more than Caps.dense nodes by large_facts."""
+#: Nodes of graphs whose facts a task holds before it hands them on.
+HELD_NODES = 20_000
+
+
+def kernel_facts(gs: GraphSet, parts: frozenset = PARTS) -> DataFrame:
+    """The facts of every graph, with a row for each node inside; graphs of more than Caps.dense nodes by large_facts.
+
+    `parts` are the facts to work out beside components and distances; the others are
+    null (large graphs have them all). A task turns one row at a time into facts.
+    """
     caps = gs.caps
     large = durable(gs.vertices.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > caps.dense).select("graph_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                out.append(graph_facts(row["graph_id"], row["nodes"], placed(row), caps))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                out.append(graph_facts(row["graph_id"], row["nodes"], placed(row), caps, parts))
+                size += len(row["nodes"])
+                if size >= HELD_NODES:
+                    yield pa.RecordBatch.from_pylist(out, schema=_OUT)
+                    out, size = [], 0
+        if out:
             yield pa.RecordBatch.from_pylist(out, schema=_OUT)
 
     small = graph_rows(gs).mapInArrow(run, KERNEL_SCHEMA)
     return small if large.isEmpty() else small.unionByName(large_facts(gs.only(large)))
 
 
+def components_of(gs: GraphSet) -> DataFrame:
+    """graph_id, node_id, component: the smallest node_id reachable; small graphs a row each, large ones by rounds."""
+    most = gs.caps.merged
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                top = {v: v for v in row["nodes"]}
+
+                def root(v: str) -> str:
+                    while top[v] != v:
+                        top[v] = v = top[top[v]]
+                    return v
+
+                for u, v in zip(row["src"] or (), row["dst"] or (), strict=True):
+                    u, v = root(u), root(v)
+                    top[max(u, v)] = min(u, v)
+                names = row["nodes"]
+                yield pa.RecordBatch.from_pydict({"graph_id": pa.array([row["graph_id"]] * len(names), pa.int64()), "node_id": pa.array(names), "component": pa.array([root(v) for v in names])})
+
+    large = durable(gs.vertices.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("graph_id"))
+    small = graph_rows(gs, 0, most).mapInArrow(run, "graph_id long, node_id string, component string")
+    return small if large.isEmpty() else small.unionByName(iterative.components(gs.only(large)))
+
+
 def node_facts(kernel: DataFrame) -> DataFrame:
     """graph_id and the facts of every node, from kernel_facts."""
     return kernel.select("graph_id", F.explode("nodes").alias("n")).select("graph_id", "n.*")

@@ -3,27 +3,31 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.durable import durable
 from knotwork.operators.neighborhoods import token
 
 
-def vocabulary(values: DataFrame, name: str = "value", prefix: str = "E") -> DataFrame:
-    """value, id (place in code-point order from 0), token padded to the width of the largest id.
+def numbered(rows: DataFrame, *order: Column, name: str = "id") -> DataFrame:
+    """rows with their place from 0 in an order of all of them, in one long column.
 
     Numbered range by range: a task numbers its range from what the ranges before hold
     (one row each, which is what is broadcast).
     """
-    spread = values.select(F.col(name).alias("value")).distinct().repartitionByRange(F.col("value"))
-    v = durable(spread.withColumn("__p", F.spark_partition_id()))
-    n = v.count()
+    v = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = v.groupBy("__p").count().select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy("value")) - 1
-    ids = v.withColumn("__n", inside).join(F.broadcast(starts), "__p").select("value", (F.col("start") + F.col("__n")).alias("id"))
-    return ids.withColumn("token", token(F.col("id"), prefix, len(str(max(0, n - 1)))))
+    starts = v.groupBy("__p").count().select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return v.withColumn("__n", inside).join(F.broadcast(starts), "__p").withColumn(name, F.col("__start") + F.col("__n")).drop("__p", "__n", "__start")
+
+
+def vocabulary(values: DataFrame, name: str = "value", prefix: str = "E") -> DataFrame:
+    """value, id (place in code-point order from 0), token padded to the width of the largest id."""
+    ids = numbered(values.select(F.col(name).alias("value")).distinct(), F.col("value"))
+    width = len(str(max(0, ids.count() - 1)))
+    return ids.withColumn("token", token(F.col("id"), prefix, width))
 
 
 def entities(triples: DataFrame) -> DataFrame:
@@ -49,21 +53,76 @@ def commonest_relation(triples: DataFrame) -> DataFrame:
     return triples.groupBy("r").agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("c").desc(), "r").limit(1).select("r")
 
 
-def frequency_tail_ranks(triples: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, ent, place: all entities for each query (qid, r) by tail count of r, tail count at all, entity.
+def tail_order(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The order in which a relation's tails are guessed: by tail count of the relation, tail count at all, entity.
 
-    Only tails of r need a rank of their own; the others follow in one global order, so
-    a query is joined to the tails of its relation and to that order.
+    Two tables hold it without a row for every relation and entity: own (r, ent, place
+    from 1) of the tails that a relation has, and every (ent, at from 0), the order of
+    all entities, in which the others follow.
     """
     ents = triples.select(F.explode(F.array("h", "t")).alias("ent")).distinct()
     overall = triples.groupBy(F.col("t").alias("ent")).agg(F.count(F.lit(1)).alias("all"))
     overall = ents.join(overall, "ent", "left").withColumn("all", F.coalesce("all", F.lit(0)))
-    per = triples.groupBy("r", F.col("t").alias("ent")).agg(F.count(F.lit(1)).alias("c"))
+    every = durable(numbered(overall, F.col("all").desc(), F.col("ent"), name="at").select("ent", "at"))
+    per = triples.groupBy("r", F.col("t").alias("ent")).agg(F.count(F.lit(1)).alias("c")).join(every, "ent")
+    place = F.row_number().over(Window.partitionBy("r").orderBy(F.col("c").desc(), "at"))
+    return durable(per.withColumn("place", place).select("r", "ent", "at", "place")), every
+
+
+def _placed(asked: DataFrame, own: DataFrame, every: DataFrame) -> DataFrame:
+    """asked (r, ent) with place: that of a relation's own tail, or after these in the order of all entities."""
+    asked = asked.select("r", "ent").distinct()
+    mine = asked.join(own.select("r", "ent", "place"), ["r", "ent"])
+    n = own.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+    others = asked.join(own, ["r", "ent"], "left_anti").join(every, "ent").select("r", "ent", "at", F.lit(0).alias("own"))
+    # Own tails that come before another entity in the order of all are not counted twice.
+    line = others.unionByName(own.select("r", "ent", "at", F.lit(1).alias("own")))
+    before = F.sum("own").over(Window.partitionBy("r").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    line = line.withColumn("before", F.coalesce(before, F.lit(0))).filter("own = 0").join(n, "r", "left")
+    late = line.select("r", "ent", (F.coalesce("n", F.lit(0)) + F.col("at") - F.col("before") + 1).alias("place"))
+    return mine.unionByName(late)
+
+
+def frequency_tail_ranks(triples: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, ent, place: all entities for each query (qid, r), a row for every query and entity.
+
+    For vocabularies that are to be listed whole; frequency_top_tails and frequency_ranks need no such table.
+    """
+    own, every = tail_order(triples)
+    asked = queries.select("r").distinct().withColumn("all", F.lit(1)).join(every.select("ent").withColumn("all", F.lit(1)), "all")
+    return queries.select("qid", "r").join(_placed(asked, own, every), "r").select("qid", "ent", "place")
+
+
+def frequency_top_tails(triples: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """qid, ent, place: the first k entities for each query (qid, r).
+
+    A relation with fewer than k tails of its own takes the rest from the first k of
+    the others, which are among the first 2 k of all.
+    """
+    own, every = tail_order(triples)
+    few = own.groupBy("r").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < k).select("r")
+    known = own.select("r").distinct()
     asked = queries.select("r").distinct()
-    pairs = asked.join(overall)  # a stated set of relations against all entities
-    ranked = pairs.join(per, ["r", "ent"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("r").orderBy(F.col("c").desc(), F.col("all").desc(), "ent"))
-    return queries.select("qid", "r").join(ranked.withColumn("place", place).select("r", "ent", "place"), "r").select("qid", "ent", "place")
+    short = asked.join(few, "r", "left_semi").unionByName(asked.join(known, "r", "left_anti"))
+    first = every.filter(F.col("at") < 2 * k).agg(F.collect_list("ent").alias("first"))  # 2 k names
+    more = short.join(F.broadcast(first)).select("r", F.explode("first").alias("ent"))
+    places = _placed(more.unionByName(own.filter(F.col("place") <= k).select("r", "ent")), own, every).filter(F.col("place") <= k)
+    return queries.select("qid", "r").join(places, "r").select("qid", "ent", F.col("place").cast("int").alias("place"))
+
+
+def frequency_ranks(triples: DataFrame, queries: DataFrame, known: DataFrame) -> DataFrame:
+    """qid, rank: the filtered rank of each query's answer (qid, r, ent); null where training never saw it.
+
+    known: qid, ent of true tails, which do not count where they come before the answer.
+    Only answers and known tails get a place, not every entity for every query.
+    """
+    own, every = tail_order(triples)
+    others = known.select("qid", "ent").join(queries.select("qid", "r", F.col("ent").alias("answer")), "qid").filter(F.col("ent") != F.col("answer")).distinct()
+    places = durable(_placed(queries.select("r", "ent").unionByName(others.select("r", "ent")), own, every))
+    answer = queries.select("qid", "r", "ent").join(places, ["r", "ent"], "left").select("qid", F.col("place").alias("mine"))
+    ahead = others.join(places, ["r", "ent"]).join(answer, "qid").filter(F.col("place") < F.col("mine")).groupBy("qid").agg(F.count(F.lit(1)).alias("ahead"))
+    out = answer.join(ahead, "qid", "left")
+    return out.select("qid", (F.col("mine") - F.coalesce("ahead", F.lit(0))).alias("rank"))
 
 
 def train_embedding(triples: np.ndarray, n_ent: int, n_rel: int, seed: int, dim: int = 32, epochs: int = 60, rate: float = 0.1, decay: float = 1e-4, negatives: int = 4) -> tuple[np.ndarray, np.ndarray]:

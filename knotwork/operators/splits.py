@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.model import GraphSet
+from knotwork.operators.kg import numbered
 
 
 def draw(seed: int | Column, *ids: str) -> list[Column]:
@@ -30,10 +31,12 @@ def few_shot(items: DataFrame, seeds: list[int], spc: int, queries: int = 40, id
     """seed, id, label, role ("shot", "query"), ord: spc shots a class, and the first of the rest as queries."""
     seeded = items.select(F.col(id_column).alias("id"), "label").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     rank = F.row_number().over(Window.partitionBy("seed", "label").orderBy(*draw(F.col("seed"), "id")))
-    ranked = seeded.withColumn("r", rank).withColumn("role", F.when(F.col("r") <= spc, F.lit("shot")).otherwise(F.lit("query")))
-    order = F.row_number().over(Window.partitionBy("seed", "role").orderBy(*draw(F.col("seed") + 1_000_003, "id"))) - 1
-    out = ranked.withColumn("ord", order)
-    return out.filter((F.col("role") == "shot") | (F.col("ord") < queries)).select("seed", "id", "label", "role", "ord")
+    shots = seeded.withColumn("r", rank).filter(F.col("r") <= spc).drop("r").withColumn("role", F.lit("shot"))
+    rest = seeded.join(shots.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("role", F.lit("query"))
+    # Each role has a limit of its own, so a task ranks no more than the limit of what another sends.
+    order = F.row_number().over(Window.partitionBy("seed").orderBy(*draw(F.col("seed") + 1_000_003, "id")))
+    out = shots.withColumn("ord", order - 1).unionByName(rest.withColumn("ord", order).filter(F.col("ord") <= queries).withColumn("ord", F.col("ord") - 1))
+    return out.select("seed", "id", "label", "role", "ord")
 
 
 def node_split(nodes: DataFrame, seeds: list[int], k_max: int, queries: int, classes: int) -> DataFrame:
@@ -122,8 +125,9 @@ def known_mask(nodes: DataFrame, seed: int, share: float = 0.5) -> DataFrame:
 
 def query_order(queries: DataFrame, seed: int = 12345, id_column: str = "qid", by: str | None = None) -> DataFrame:
     """queries with ord: one fixed shuffle (within `by`)."""
-    w = Window.partitionBy(by) if by else Window.partitionBy()
-    return queries.withColumn("ord", F.row_number().over(w.orderBy(*draw(seed, id_column))) - 1)
+    if by is None:
+        return numbered(queries, *draw(seed, id_column), name="ord").withColumn("ord", F.col("ord").cast("int"))
+    return queries.withColumn("ord", F.row_number().over(Window.partitionBy(by).orderBy(*draw(seed, id_column))) - 1)
 
 
 def parity(a: DataFrame, b: DataFrame) -> DataFrame:

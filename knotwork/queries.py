@@ -13,7 +13,7 @@ from knotwork.functions import render, words
 from knotwork.model import GraphSet
 from knotwork.operators import answers, attributes, iterative, kernels, kg, learners, links, metrics, neighborhoods, prompts, splits
 from knotwork.plans import structure as S
-from knotwork.registry import feature_column
+from knotwork.registry import feature_column, feature_names
 from knotwork.sources import builtin, collections, testdata, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,18 +133,18 @@ _REACH = f"WITH RECURSIVE {G1}{DIST}, comp AS (SELECT g, s AS v, min(t) AS c FRO
 @query(f"{_REACH} SELECT N.g AS graph_id, CAST(k2 AS BIGINT) AS n_components, CAST(m - n + k2 AS BIGINT) AS n_cycles FROM N JOIN (SELECT g, count(DISTINCT c) AS k2 FROM comp GROUP BY g) x ON N.g = x.g")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     gs = g1(spark, sf_dir).stored()
-    counts = iterative.components(gs).groupBy("graph_id").agg(F.count_distinct("component").alias("n_components"))
+    counts = kernels.components_of(gs).groupBy("graph_id").agg(F.count_distinct("component").alias("n_components"))
     return S.size(gs).join(counts, "graph_id").select("graph_id", "n_components", S.cyclomatic(F.col("n_nodes"), F.col("n_edges"), F.col("n_components")).alias("n_cycles"))
 
 
 @query(f"{_REACH} SELECT g AS graph_id, v AS node_id, c AS component FROM comp")
 def component_of_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iterative.components(g1(spark, sf_dir))
+    return kernels.components_of(g1(spark, sf_dir).stored())
 
 
 @query(f"WITH RECURSIVE {G1}{DIST}{LCC} SELECT g AS graph_id, round(apl, 6) AS avg_path_length, CAST(diameter AS BIGINT) AS diameter, CAST(radius AS BIGINT) AS radius FROM lcc")
 def distances_lcc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.kernel_facts(g1(spark, sf_dir)).select("graph_id", r6("avg_path_length").alias("avg_path_length"), "diameter", "radius")
+    return kernels.kernel_facts(g1(spark, sf_dir), frozenset()).select("graph_id", r6("avg_path_length").alias("avg_path_length"), "diameter", "radius")
 
 
 @query(f"WITH RECURSIVE {G1}{DIST}{LCC} SELECT g AS graph_id, round(apl, 6) AS avg_path_length, CAST(diameter AS INTEGER) AS diameter, CAST(radius AS INTEGER) AS radius FROM lcc")
@@ -156,7 +156,7 @@ def distances_by_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {G1}{DIST} SELECT N.g AS graph_id, x.s AS node_id, round(CASE WHEN total > 0 THEN (r * r) / (total * (n - 1)) ELSE 0 END, 6) AS closeness
 FROM (SELECT g, s, count(*) - 1 AS r, sum(d) AS total FROM dist GROUP BY ALL) x JOIN N ON x.g = N.g""")
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.node_facts(kernels.kernel_facts(g1(spark, sf_dir))).select("graph_id", "node_id", r6("closeness").alias("closeness"))
+    return kernels.node_facts(kernels.kernel_facts(g1(spark, sf_dir), frozenset({"closeness"}))).select("graph_id", "node_id", r6("closeness").alias("closeness"))
 
 
 _BETWEEN = f"""WITH RECURSIVE {G1}{DIST},
@@ -169,12 +169,12 @@ bc AS (SELECT V.g, V.v, V.p, CASE WHEN n > 2 THEN coalesce(b, 0) / ((n - 1) * (n
 
 @query(f"{_BETWEEN} SELECT g AS graph_id, v AS node_id, round(b, 6) AS betweenness FROM bc")
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.node_facts(kernels.kernel_facts(g1(spark, sf_dir))).select("graph_id", "node_id", r6("betweenness").alias("betweenness"))
+    return kernels.node_facts(kernels.kernel_facts(g1(spark, sf_dir), frozenset({"betweenness"}))).select("graph_id", "node_id", r6("betweenness").alias("betweenness"))
 
 
 @query()
 def kcore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.node_facts(kernels.kernel_facts(g1(spark, sf_dir))).select("graph_id", "node_id", "core")
+    return kernels.node_facts(kernels.kernel_facts(g1(spark, sf_dir), frozenset({"cores"}))).select("graph_id", "node_id", "core")
 
 
 @query()
@@ -226,12 +226,40 @@ def neighbor_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {G1}, M AS (SELECT g, count(*) AS n, CAST(sum(d) / 2 AS BIGINT) AS m, avg(d) AS k, stddev_pop(d) AS sd, max(d) AS mx FROM D GROUP BY g)
 SELECT g AS graph_id, round(CASE WHEN n > 1 AND m > 0 THEN 2.0 * m / (n * (n - 1)) ELSE 0 END, 6) AS f0, round(k, 6) AS f1, CAST(mx AS DOUBLE) AS f2, round(sd, 6) AS f3 FROM M""")
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of the vector of groups A and B: density, mean, max and standard deviation of the degree."""
+    """Entries of the vector of groups A and B: density, mean, max and standard deviation of the degree; feature_vector_all has the others."""
     table = S.degree_moments(g1(spark, sf_dir)).withColumns({"n_components": F.lit(None).cast("long"), "degree_gini": F.lit(None).cast("double")})
     vector = table.select("graph_id", feature_column("AB").alias("x"))
     return vector.select("graph_id", r6(F.col("x")[2]).alias("f0"), r6(F.col("x")[4]).alias("f1"), F.col("x")[5].alias("f2"), r6(F.col("x")[6]).alias("f3"))
 
 
+_IN_SQL = [n for n in feature_names() if n not in ("n_communities", "modularity", "max_kcore", "spectral_gap", "eigenvector_mean", "eigenvector_max")]
+
+
+@query(f"""{_BETWEEN}{LCC}{CLUSTER}, comp AS (SELECT g, count(DISTINCT c) AS nc FROM (SELECT g, s, min(t) AS c FROM dist GROUP BY ALL) GROUP BY g),
+pw AS (SELECT g, CAST(count(*) AS HUGEINT) AS n, sum(d) AS s1, sum(d * d) AS s2, sum(d * d * d) AS s3, sum(d * d * d * d) AS s4, max(d) AS mx, min(d) AS mn, sum(CASE WHEN d > 0 THEN ln(d / 0.5) END) AS ls FROM D GROUP BY g),
+mo AS (SELECT *, CAST(n * s2 - s1 * s1 AS DOUBLE) AS a2, CAST(n * n * s3 - 3 * n * s1 * s2 + 2 * s1 * s1 * s1 AS DOUBLE) AS a3, CAST(n * n * n * s4 - 4 * n * n * s1 * s3 + 6 * n * s1 * s1 * s2 - 3 * s1 * s1 * s1 * s1 AS DOUBLE) AS a4 FROM pw),
+gi AS (SELECT g, CASE WHEN sum(d) > 0 THEN 2.0 * sum(i * d) / (max(n) * sum(d)) - (max(n) + 1) / max(n) ELSE 0 END AS gini FROM (SELECT g, d, row_number() OVER (PARTITION BY g ORDER BY d) AS i, count(*) OVER (PARTITION BY g) AS n FROM D) GROUP BY g),
+sq AS (SELECT g, sum(c * (c - 1) / 2) / 2 AS q FROM (SELECT a.g, a.t AS u, b.t AS v, count(*) AS c FROM S a JOIN S b ON a.g = b.g AND a.s = b.s AND a.t < b.t GROUP BY ALL) GROUP BY g),
+xy AS (SELECT S.g, CAST(sum(a.d * b.d) AS DOUBLE) AS sxy, CAST(sum(a.d) AS DOUBLE) AS sx, CAST(sum(a.d * a.d) AS DOUBLE) AS sxx, count(*) AS e FROM S JOIN D a ON S.g = a.g AND S.s = a.v JOIN D b ON S.g = b.g AND S.t = b.v GROUP BY S.g),
+cl2 AS (SELECT x.g, avg(CASE WHEN total > 0 THEN (r * r) / (total * (n - 1)) ELSE 0 END) AS cm FROM (SELECT g, s, count(*) - 1 AS r, sum(d) AS total FROM dist GROUP BY ALL) x JOIN N ON x.g = N.g GROUP BY x.g),
+bt AS (SELECT g, avg(b) AS bm, max(b) AS bx FROM bc GROUP BY g),
+f AS (SELECT N.g, N.n, N.m, N.k, CASE WHEN N.n > 1 AND m > 0 THEN 2.0 * m / (N.n * (N.n - 1)) ELSE 0 END AS dens, nc, mx, sqrt(a2) / N.n AS sd, CASE WHEN a2 > 0 THEN a3 / a2 ** 1.5 ELSE 0 END AS sk, CASE WHEN a2 > 0 THEN a4 / a2 ** 2 - 3 ELSE 0 END AS ku, gini,
+ CASE WHEN mn > 0 THEN 1 + N.n / ls END AS alpha, ac, tv, nt, coalesce(q, 0) AS q, apl, diameter, radius, CASE WHEN e * sxx - sx * sx > 0 THEN (e * sxy - sx * sx) / (e * sxx - sx * sx) END AS das, bm, bx, cm,
+ CASE WHEN N.k > 0 THEN (s2 / N.n - N.k) ** 2 / (N.n * N.k ** 3) ELSE 0 END AS cc
+ FROM N JOIN comp ON N.g = comp.g JOIN mo ON N.g = mo.g JOIN gi ON N.g = gi.g JOIN clu ON N.g = clu.g LEFT JOIN sq ON N.g = sq.g JOIN lcc ON N.g = lcc.g LEFT JOIN xy ON N.g = xy.g JOIN bt ON N.g = bt.g JOIN cl2 ON N.g = cl2.g),
+h AS (SELECT g AS graph_id, n AS n_nodes, m AS n_edges, dens AS density, nc AS n_components, k AS mean_degree, mx AS max_degree, sd AS degree_std, CASE WHEN k > 0 THEN mx / k ELSE 0 END AS max_over_mean_degree, sk AS degree_skewness, ku AS degree_kurtosis,
+ gini AS degree_gini, alpha AS powerlaw_alpha, ac AS avg_clustering, tv AS transitivity, nt AS n_triangles, q AS n_squares, apl AS avg_path_length, diameter, radius, das AS degree_assortativity, m - n + nc AS n_cycles, bm AS betweenness_mean, bx AS betweenness_max, cm AS closeness_mean,
+ CASE WHEN dens > 0 THEN ac / dens END AS er_clustering_ratio, cc AS config_clustering, CASE WHEN cc > 0 THEN ac / cc END AS config_clustering_ratio, CASE WHEN dens > 0 AND apl > 0 AND k > 1 THEN (ac / dens) / (apl / (ln(n) / ln(k))) END AS smallworld_sigma,
+ CASE WHEN apl > 0 AND k > 1 AND k <> 2 THEN (ln(n) / ln(k)) / apl - ac / (3 * (k - 2) / (4 * (k - 1))) END AS smallworld_omega FROM f)
+SELECT graph_id, {", ".join(f"round(coalesce(CAST({n} AS DOUBLE), 0), 5) AS {n}" for n in _IN_SQL)} FROM h""")
+def feature_vector_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector's entries, but for the six that SQL cannot express."""
+    parts = frozenset({"betweenness", "closeness"})
+    gs = g1(spark, sf_dir).stored()
+    vector = facts_.structure(gs, kernel=kernels.kernel_facts(gs, parts)).select("graph_id", feature_column().alias("x"))
+    return vector.select("graph_id", *[F.round(F.col("x")[feature_names().index(n)], 5).alias(n) for n in _IN_SQL])
+
+
 @query()
 def all_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature vectors of all groups."""
@@ -253,7 +281,7 @@ def verbalize_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node in a few sentences."""
     gs = g1(spark, sf_dir).stored()
-    return render.verbalize_nodes(render.ranked_nodes(S.local_clustering(gs)), kernels.node_facts(kernels.kernel_facts(gs)), S.neighbor_lists(gs))
+    return render.verbalize_nodes(render.ranked_nodes(S.local_clustering(gs)), kernels.node_facts(kernels.kernel_facts(gs, frozenset({"betweenness", "eigenvector"}))), S.neighbor_lists(gs))
 
 
 # -- attributes --------------------------------------------------------------------
@@ -308,7 +336,38 @@ def modularity_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_BETWEEN.replace(G1, ATTR)} SELECT bc.g AS graph_id, A.a AS val, round(avg(bc.b), 6) AS mean FROM bc JOIN A ON bc.g = A.g AND bc.v = A.v GROUP BY ALL")
 def group_mean_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     gs = g1(spark, sf_dir, True).stored()
-    return attributes.mean_by_group(gs, "type", kernels.node_facts(kernels.kernel_facts(gs))).withColumn("mean", r6("mean"))
+    return attributes.mean_by_group(gs, "type", kernels.node_facts(kernels.kernel_facts(gs, frozenset({"betweenness"})))).withColumn("mean", r6("mean"))
+
+
+_ONE = """P AS (SELECT DISTINCT l_orderkey AS o, CAST(l_partkey AS VARCHAR) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+E AS (SELECT least(a.v, b.v) AS s, greatest(a.v, b.v) AS t FROM P a JOIN P b ON a.o = b.o AND a.v < b.v GROUP BY ALL HAVING count(*) >= 2),
+S AS (SELECT s, t FROM E UNION ALL SELECT t, s FROM E), D AS (SELECT s AS v, count(*) AS d FROM S GROUP BY s)"""
+
+
+@query(f"WITH {_ONE} SELECT v AS node_id, d AS deg FROM D")
+def one_graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees of one graph over all parts."""
+    return testdata.part_pairs(spark, sf_dir).degrees.select("node_id", "deg")
+
+
+@query(f"""WITH RECURSIVE {_ONE}, W AS (SELECT v AS s, v AS t FROM D UNION SELECT W.s, S.t FROM W JOIN S ON W.t = S.s)
+SELECT s AS node_id, min(t) AS component FROM W GROUP BY s""")
+def one_graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of one graph over all parts, by rounds over tables."""
+    return iterative.components(testdata.part_pairs(spark, sf_dir).stored()).select("node_id", "component")
+
+
+@query(f"""WITH {_ONE}, X AS (SELECT s, t, a.d AS x, b.d AS y FROM E JOIN D a ON E.s = a.v JOIN D b ON E.t = b.v),
+A AS (SELECT 2 * count(*) AS n, CAST(sum(x + y) AS DOUBLE) AS sx, CAST(sum(x * x + y * y) AS DOUBLE) AS sxx, CAST(2 * sum(x * y) AS DOUBLE) AS sxy FROM X)
+SELECT round(CASE WHEN n * sxx - sx * sx > 0 THEN (n * sxy - sx * sx) / (n * sxx - sx * sx) END, 6) AS degree_assortativity FROM A""")
+def one_graph_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.degree_assortativity(testdata.part_pairs(spark, sf_dir).stored()).select(r6("degree_assortativity").alias("degree_assortativity"))
+
+
+@query()
+def one_graph_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cores of one graph over all parts, by rounds over tables."""
+    return iterative.core_numbers(testdata.part_pairs(spark, sf_dir).stored()).select("node_id", "core")
 
 
 _BANDS = """SELECT n_nationkey AS nation, round(n_nationkey / 12.5 - 1, 6) AS value,
@@ -521,34 +580,36 @@ def kg_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kg.entities(testdata.knowledge(spark, sf_dir))
 
 
-_ASKED = """q AS (SELECT row_number() OVER (ORDER BY h, r, t) - 1 AS qid, h, r, t FROM K WHERE u = 9 AND r IN ('from', 's_from', 'in_region', 'brand') ORDER BY h, r, t LIMIT 40)"""
+_ASKED = "q AS (SELECT row_number() OVER (ORDER BY h, r, t) - 1 AS qid, h, r, t FROM K WHERE u = 9)"
 _RANKED = f"""WITH {KG}, {_ASKED}, tr AS (SELECT * FROM K WHERE u < 8), te AS (SELECT DISTINCT e FROM (SELECT h AS e FROM tr UNION ALL SELECT t FROM tr)),
 al AS (SELECT te.e, count(tr.t) AS n FROM te LEFT JOIN tr ON tr.t = te.e GROUP BY te.e), pr AS (SELECT r, t AS e, count(*) AS c FROM tr GROUP BY ALL),
 rk AS (SELECT r.r, al.e, row_number() OVER (PARTITION BY r.r ORDER BY coalesce(c, 0) DESC, n DESC, al.e) AS place FROM (SELECT DISTINCT r FROM q) r CROSS JOIN al LEFT JOIN pr ON pr.r = r.r AND pr.e = al.e)"""
 
 
 def asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The triples, and 40 of the test triples as queries (qid, h, r, t): the query set of the report."""
+    """The triples, and all test triples as queries (qid, h, r, t)."""
     triples = testdata.knowledge(spark, sf_dir)
-    few = triples.filter((F.col("split") == "test") & F.col("r").isin("from", "s_from", "in_region", "brand")).orderBy("h", "r", "t").limit(40)
-    return triples, few.withColumn("qid", F.row_number().over(Window.orderBy("h", "r", "t")) - 1).select("qid", "h", "r", "t")
+    tests = triples.filter(F.col("split") == "test").select("h", "r", "t")
+    return triples, kg.numbered(tests, F.col("h"), F.col("r"), F.col("t"), name="qid")
 
 
 @query(_RANKED + " SELECT q.qid, rk.e AS ent, CAST(place AS INTEGER) AS place FROM q JOIN rk ON q.r = rk.r WHERE place <= 10")
-def kg_freq_tail_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kg_top_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten likeliest tails of every test triple's relation."""
     triples, queries = asked(spark, sf_dir)
-    return kg.frequency_tail_ranks(triples.filter("split = 'train'"), queries).filter("place <= 10")
+    return kg.frequency_top_tails(triples.filter("split = 'train'"), queries)
 
 
-@query(_RANKED + """, oth AS (SELECT q.qid, K.t AS e FROM q JOIN K ON q.h = K.h AND q.r = K.r AND K.t <> q.t), pl AS (SELECT q.qid, q.t, rk.e, place FROM q JOIN rk ON q.r = rk.r),
-kept AS (SELECT pl.* FROM pl LEFT JOIN oth ON oth.qid = pl.qid AND oth.e = pl.e WHERE oth.e IS NULL), f AS (SELECT qid, e, t, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank FROM kept),
-x AS (SELECT q.qid, f.rank FROM q LEFT JOIN f ON f.qid = q.qid AND f.e = q.t)
-SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END), 6) AS hits1, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS hits10, round(avg(coalesce(1 / rank, 0)), 6) AS mrr FROM x""")
-def kg_filtered_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_RANKED + """, x AS (SELECT q.qid, q.h, q.r, q.t, rk.place FROM q LEFT JOIN rk ON rk.r = q.r AND rk.e = q.t),
+ahead AS (SELECT x.qid, count(*) AS n FROM x JOIN (SELECT DISTINCT h, r, t FROM K) o ON o.h = x.h AND o.r = x.r AND o.t <> x.t JOIN rk ON rk.r = x.r AND rk.e = o.t AND rk.place < x.place GROUP BY x.qid),
+f AS (SELECT place - coalesce(n, 0) AS rank FROM x LEFT JOIN ahead ON x.qid = ahead.qid)
+SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END), 6) AS hits1, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS hits10, round(avg(coalesce(1 / rank, 0)), 6) AS mrr FROM f""")
+def kg_ranking_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered ranking scores of the frequency prior over all test triples."""
     triples, queries = asked(spark, sf_dir)
-    ranked = kg.frequency_tail_ranks(triples.filter("split = 'train'"), queries)
+    queries = durable(queries)
     known = queries.select("qid", "h", "r").join(triples.select("h", "r", F.col("t").alias("ent")), ["h", "r"]).select("qid", "ent")
-    ranks = metrics.filtered_ranks(ranked, queries.select("qid", F.col("t").alias("ent")), known)
+    ranks = kg.frequency_ranks(triples.filter("split = 'train'"), queries.withColumnRenamed("t", "ent"), known)
     return metrics.ranking_scores(ranks).select("n", *[r6(c).alias(c) for c in ("hits1", "hits10", "mrr")])
 
 
@@ -562,7 +623,7 @@ x AS (SELECT q.qid, s.side, inc.h, inc.r, inc.t FROM q, LATERAL (SELECT unnest([
  WHERE NOT ((inc.h = q.h AND inc.t = q.t) OR (inc.h = q.t AND inc.t = q.h))), y AS (SELECT qid, h, r, t, min(side) AS side FROM x GROUP BY ALL),
 z AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY side, h, r, t) AS n FROM y)
 SELECT q.qid, coalesce(l, '') AS context FROM q LEFT JOIN (SELECT qid, string_agg('(' || h || ') -[' || r || ']-> (' || t || ')', chr(10) ORDER BY n) AS l FROM z WHERE n <= 24 GROUP BY qid) w ON q.qid = w.qid""")
-def kg_typed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kg_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     triples, queries = asked(spark, sf_dir)
     return neighborhoods.typed_context(triples, queries).select("qid", F.array_join("lines", "\n").alias("context"))
 
@@ -577,7 +638,7 @@ def kg_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {KG}, {_ASKED} SELECT count(*) AS n FROM K LEFT JOIN q ON least(K.h, K.t) = least(q.h, q.t) AND greatest(K.h, K.t) = greatest(q.h, q.t) WHERE q.qid IS NULL""")
-def kg_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kg_without_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     triples, queries = asked(spark, sf_dir)
     return neighborhoods.observed_triples(triples, queries).agg(F.count(F.lit(1)).alias("n"))
 
@@ -744,7 +805,7 @@ def majority_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def logistic_on_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Few-shot classification of the segments on the feature vectors of groups A and B."""
+    """Few-shot classification of the segments on the feature vectors of groups B and C."""
     split = splits.few_shot(testdata.customers(spark, sf_dir), [11], 5)
     gs = g1(spark, sf_dir).only(split.select(F.col("id").alias("graph_id")))
     x = facts_.structure(gs, "BC").select(F.col("graph_id").alias("id"), feature_column("BC").alias("features"))
@@ -815,7 +876,7 @@ def mean_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ridge_on_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge regression of the balances on the feature vectors of groups A and B."""
+    """Ridge regression of the balances on the feature vectors of groups B and C."""
     rows = _balances(spark, sf_dir)
     gs = g1(spark, sf_dir).only(rows.select(F.col("id").alias("graph_id")).distinct())
     x = facts_.structure(gs, "BC").select(F.col("graph_id").alias("id"), feature_column("BC").alias("features"))

@@ -8,8 +8,9 @@ from knotwork import queries as graph
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = [
-    "graph_size", "triangles_clustering", "four_cycles", "components", "betweenness", "null_models", "attr_assortativity", "cross_edges", "ego_graph", "link_features", "negative_pairs", "kg_filtered_mrr", "regret_summary",
-    "aligned_rows", "class_texts", "embedding_scan", "element_lines", "mean_predictor", "kg_both_ways", "kg_skeleton", "pending_runs", "anonymous_members"]
+    "graph_size", "triangles_clustering", "four_cycles", "components", "betweenness", "null_models", "attr_assortativity", "cross_edges", "ego_graph", "link_features", "negative_pairs", "kg_ranking_scores", "regret_summary",
+    "aligned_rows", "class_texts", "embedding_scan", "element_lines", "mean_predictor", "kg_both_ways", "kg_skeleton", "pending_runs", "anonymous_members", "feature_vector_all", "kg_top_tails", "kg_contexts", "kg_without_tests", "one_graph_degrees", "one_graph_components", "one_graph_mixing",
+    "component_of_node", "query_order", "kg_entities", "closeness"]
 
 
 def plain(v):
