@@ -23,7 +23,7 @@ def words(t):
 # -- op4
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = {}
     for i, t in rows:
         w = words(t)
@@ -38,7 +38,7 @@ def brute_components(rows):
     ids = sorted(i for i in sets if i is not None)
     for a in ids:
         for b in ids:
-            if a < b and top(a) != top(b) and any(x and y and 100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b]):
+            if a < b and top(a) != top(b) and any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
                 at[max(top(a), top(b))] = min(top(a), top(b))
     return {i: top(i) for i in ids}
 
@@ -411,7 +411,7 @@ def test_pipeline(spark, sf):
     space = quality.fit(docs, table(spark, sf, "labels"))
     scores = space.score(np.array([quality.terms(r.text, quality.TermBuckets()) for r in rows[0]]))
     assert sorted(r.doc_id for r, s in zip(rows[0], scores, strict=True) if s >= 0.7) == sorted(r.doc_id for r in rows[1])
-    parts = brute_components([(r.doc_id, r.text) for r in rows[1]])
+    parts = brute_components([(r.doc_id, r.text) for r in rows[1]], corpus_pipeline.NEAR_PERCENT)
     assert sorted(r.doc_id for r in rows[2]) == sorted(i for i, c in parts.items() if i == c)
     items = [set(zip(*[words(r.text)[k:] for k in range(5)])) for r in table(spark, sf, "benchmark").collect()]
     own = {r.doc_id: set(zip(*[words(r.text)[k:] for k in range(5)])) for r in rows[2]}
@@ -427,3 +427,38 @@ def test_pipeline(spark, sf):
     assert all(r.shard == brute_place(str(r.doc_id), shard_tree.default_tree()) for r in rows[5])
     assert Counter(r.doc_id for r in rows[5]) == Counter(r.doc_id for r in rows[4])
     assert corpus_pipeline.run(spark, sf).count() == len(rows[5]) and decontaminate.SHINGLE == 5 and F is not None
+
+
+def test_pipeline_stages_on_edge_cases(spark, sf):
+    """Nulls in every column, empty, long and repeated rows, clashing columns; and an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from knotwork.llm import quality
+    from knotwork.llm.common import table
+
+    own = table(spark, sf, "documents")
+    odd = [(None, None, None, None, None), (900, None, "en", "src0", 0), (901, "", None, None, 0), (902, "word " * 200_000, "en", None, 7), (None, "a text without an id, of eight words", "de", "src1", 9)]
+    odd += [odd[4], (903, "one document in two rows, one and two", "en", "src2", 1)] + [(903, "one document in two rows, one and two", "en", "src2", 1)]
+    docs = own.unionByName(spark.createDataFrame(odd, own.schema))
+    names = ("size", "slot", "shard", "accepted", "quality_score", "gone", "__gone", "__n", "at", "d1", "copies", "m", "kept", "component", "extra", "row")
+    docs = docs.withColumns({c: F.lit(f"my {c}") for c in names}).cache()
+    step, sizes = docs, []
+    for _, f in corpus_pipeline.STAGES:
+        assert f(spark, docs.limit(0), sf).count() == 0
+        before, step = step, f(spark, step, sf).cache()
+        sizes.append((before.count(), step.count()))
+        if f is not corpus_pipeline.sharding_stage:
+            assert step.columns == docs.columns
+            assert all(r[c] == f"my {c}" for r in step.select(*names).distinct().collect() for c in names)
+        if f is corpus_pipeline.quality_stage:
+            space = quality.fit(docs, table(spark, sf, "labels"))
+            fine = space.score(np.zeros((1, quality.BUCKETS)))[0] >= quality.THRESHOLD
+            assert step.filter("doc_id = 900 OR doc_id = 901 OR (doc_id IS NULL AND text IS NULL)").count() == (3 if fine else 0)
+        if f is corpus_pipeline.near_dedup_stage:
+            assert step.filter("doc_id IS NULL").count() == before.filter("doc_id IS NULL").count() and step.filter("doc_id = 903").count() == before.filter("doc_id = 903").count()
+        if f is corpus_pipeline.mixing_stage:
+            assert {r.source for r in step.select("source").distinct().collect()} <= {r.source for r in before.select("source").distinct().collect()}
+    got = step.collect()
+    assert {"size_", "slot_", "shard_"} < set(step.columns) and all(r["slot_"] == "my slot" and r["extra"] == "my extra" for r in got)
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert sizes[0][1] > 100 and sizes[3][0] > 100
