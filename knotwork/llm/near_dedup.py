@@ -376,3 +376,24 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     gone = fresh(docs.columns, "gone")
     out = link_documents(docs.select("doc_id", "text"), percent).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(out, F.col("doc_id") == F.col(gone), "left_anti")
+
+
+#: Exact similarities of all pairs that share a shingle, and components, at 85 in a hundred.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (
+  SELECT i, doc_id, array_to_string(w, ' ') AS whole, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j + 4], ' '))) END AS s FROM w),
+c AS (SELECT whole, min(i) AS c, any_value(s) AS s FROM t WHERE doc_id IS NOT NULL AND len(s) > 0 GROUP BY whole),
+m AS (SELECT DISTINCT c.c, t.doc_id FROM t JOIN c ON t.whole = c.whole WHERE t.doc_id IS NOT NULL),
+x AS (SELECT c, len(s) AS n, unnest(s) AS s FROM c),
+l AS (
+  SELECT a.c AS a, b.c AS b FROM x a JOIN x b ON a.s = b.s AND a.c < b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l UNION ALL SELECT p.c, q.c FROM m p JOIN m q ON p.doc_id = q.doc_id AND p.c <> q.c),
+r AS (SELECT c, c AS o FROM c UNION SELECT r.c, e.b FROM r JOIN e ON r.o = e.a),
+k AS (SELECT m.doc_id, min(o.doc_id) AS component FROM m JOIN r ON m.c = r.c JOIN m o ON r.o = o.c GROUP BY m.doc_id)
+SELECT t.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component, t.doc_id) AS component_id, coalesce(component, t.doc_id) IS NOT DISTINCT FROM t.doc_id AS kept
+FROM t LEFT JOIN k ON t.doc_id = k.doc_id
+"""

@@ -66,7 +66,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_temporal_url_filter": url_filter.ORACLE,
+        "op4_hamming_near_dedup": near_dedup.ORACLE,
         "op6_containment_search": decontaminate.ORACLE,
+        "op7_hash_tree_shards": shard_tree.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
         "op9_bitsliced_top_k": bitsliced.ORACLE,
     }

@@ -157,3 +157,59 @@ def with_slots(rows: DataFrame) -> DataFrame:
     same = (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b")) & F.col("often").eqNullSafe(F.col("o")) & (F.col("lane") == F.col("l"))
     joined = numbered.join(starts, same)
     return joined.withColumn("slot", (F.col("before") + F.col("n")).cast("long")).drop("s", "b", "o", "l", "before", "n", "block", "often", "lane")
+
+
+def _xxhash64_sql(columns: tuple[str, ...], source: str) -> tuple[str, str]:
+    """Common table expressions that hash whole-number columns as xxhash64 does, and the name of the last one, which has it as h.
+
+    Unsigned arithmetic modulo 2**64 on numbers of 128 bits; a null leaves the hash as it is.
+    """
+    p1, p2, p3, p4, p5 = (f"CAST({x} AS UHUGEINT)" for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    low = lambda e: f"(({e}) % 18446744073709551616)"
+    turned = lambda e, k: f"({low(f'({e}) * {1 << k}')} + ({e}) // {1 << (64 - k)})"
+    shifted = lambda e, k: f"xor({e}, {e} // {1 << k})"
+    parts, last = [f"h0 AS (SELECT *, CAST(42 AS UHUGEINT) AS h FROM {source})"], "h0"
+    for i, c in enumerate(columns):
+        value = f"CAST(coalesce({c}, 0) + CASE WHEN {c} < 0 THEN 18446744073709551616 ELSE 0 END AS UHUGEINT)"
+        steps = [
+            low(f"{value} * {p2}"),
+            low(f"{turned('g', 31)} * {p1}"),
+            f"xor({low(f'h + {p5} + 8')}, g)",
+            low(f"{turned('g', 27)} * {p1} + {p4}"),
+            low(f"{shifted('g', 33)} * {p2}"),
+            low(f"{shifted('g', 29)} * {p3}"),
+            shifted("g", 32),
+        ]
+        for k, step in enumerate(steps):
+            kept = "*" if k == 0 else "* EXCLUDE (g)"
+            parts.append(f"h{i}_{k} AS (SELECT {kept}, {step} AS g FROM {last})")
+            last = f"h{i}_{k}"
+        parts.append(f"h{i + 1} AS (SELECT * EXCLUDE (g, h), CASE WHEN {c} IS NULL THEN h ELSE g END AS h FROM {last})")
+        last = f"h{i + 1}"
+    return ",\n".join(parts), last
+
+
+_HASHED, _LAST = _xxhash64_sql(("doc_id", "size", "crc"), "d")
+
+#: The tree of 16 shards as a table, draws and winners by level, CRC-32 bit by bit, and slots in the order of the rows' hashes.
+ORACLE = f"""
+WITH tree AS (
+  SELECT 'root' AS parent, 'region' || i AS name, 8.0 AS weight FROM range(2) t(i) UNION ALL SELECT 'root', 'region-of-16', 1.0
+  UNION ALL SELECT 'region' || (i // 2), 'region' || (i // 2) || '/rack' || (i % 2), 4.0 FROM range(4) t(i)
+  UNION ALL SELECT 'region' || (i // 8) || '/rack' || (i // 4 % 2), 'shard' || i, 1.0 FROM range(16) t(i)),
+keys AS (SELECT DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'null') AS key FROM documents),
+draws AS (SELECT key, parent, name, -ln((CAST('0x' || substr(md5(key || '|knotwork|' || name), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0) / weight AS drawn FROM keys, tree),
+won AS (SELECT key, parent, arg_min(name, drawn) FILTER (WHERE name <> 'region-of-16') AS name, arg_min(name, drawn) AS grown FROM draws GROUP BY key, parent),
+placed AS (
+  SELECT a.key, CAST(substr(c.name, 6) AS INTEGER) AS shard, CASE WHEN a.grown = 'region-of-16' THEN 16 ELSE CAST(substr(c.name, 6) AS INTEGER) END AS grown_shard
+  FROM won a JOIN won b ON a.key = b.key AND b.parent = a.name JOIN won c ON c.key = b.key AND c.parent = b.name WHERE a.parent = 'root'),
+d AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, CAST(xor(4294967295, list_reduce(
+    flatten(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: list_transform(range(8), lambda i: (CAST('0x' || x AS BIGINT) >> i) & 1))),
+    lambda c, b: xor(c >> 1, CASE WHEN (c & 1) <> b THEN 3988292384 ELSE 0 END), 4294967295)) AS BIGINT) AS crc FROM documents),
+{_HASHED},
+s AS (
+  SELECT doc_id, size, crc, shard, grown_shard, CASE WHEN h >= 9223372036854775808 THEN CAST(h AS HUGEINT) - 18446744073709551616 ELSE CAST(h AS HUGEINT) END AS pos
+  FROM {_LAST} JOIN placed ON key = coalesce(CAST(doc_id AS VARCHAR), 'null'))
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY pos, doc_id NULLS FIRST) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard FROM s
+"""
