@@ -280,12 +280,164 @@ def placed(row: dict) -> np.ndarray:
     return np.array(pairs, int).reshape(-1, 2)
 
 
+def labels(n: int, edges: np.ndarray) -> np.ndarray:
+    """Each node's smallest reachable node, from edges alone."""
+    low = np.arange(n)
+    while len(edges):
+        least = np.minimum(low[edges[:, 0]], low[edges[:, 1]])
+        new = low.copy()
+        for side in (0, 1):
+            np.minimum.at(new, edges[:, side], least)
+            np.minimum.at(new, low[edges[:, side]], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    return low
+
+
+class Sparse:
+    """Edges as the symmetric matrix of a graph that is too large for a dense one."""
+
+    def __init__(self, n: int, edges: np.ndarray):
+        self.n = n
+        self.rows = np.concatenate([edges[:, 0], edges[:, 1]])
+        self.columns = np.concatenate([edges[:, 1], edges[:, 0]])
+        self.degrees = np.bincount(self.rows, minlength=n).astype(float)
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, x[self.columns], self.n)
+
+    def solve(self, b: np.ndarray, tolerance: float = 1e-12) -> np.ndarray:
+        """The Laplacian's pseudo-inverse times b, of a connected graph, by conjugate gradients preconditioned with the degrees."""
+        x, r = np.zeros(self.n), b - b.mean()
+        z = r / self.degrees
+        p, rz, stop = z, r @ z, tolerance * np.linalg.norm(r)
+        for _ in range(10 * self.n):
+            if np.linalg.norm(r) <= stop:
+                break
+            q = self.degrees * p - self.times(p)
+            step = rz / (p @ q)
+            x, r = x + step * p, r - step * q
+            z = r / self.degrees
+            new = r @ z
+            p, rz = z + new / rz * p, new
+        return x - x.mean()
+
+
+def top_pair(apply, start: np.ndarray, steps: int = 60, tolerance: float = 1e-11, rounds: int = 200) -> tuple[float, np.ndarray, bool]:
+    """The largest eigenvalue of a symmetric operator, its vector, and whether the residual came down to the tolerance.
+
+    Lanczos with full reorthogonalisation, begun anew from the best vector after every
+    `steps` steps.
+    """
+    x = start / np.linalg.norm(start)
+    value = 0.0
+    for _ in range(rounds):
+        basis, images = [x], []
+        while True:
+            w = apply(basis[-1])
+            images.append(w)
+            q = np.array(basis)
+            w = w - q.T @ (q @ w)
+            w = w - q.T @ (q @ w)
+            norm = float(np.linalg.norm(w))
+            if len(basis) == min(steps, len(x)) or norm <= 1e-13 * max(1.0, abs(value)):
+                break
+            basis.append(w / norm)
+        q, image = np.array(basis), np.array(images)
+        small = q @ image.T
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        value, best = float(values[-1]), vectors[:, -1]
+        x = q.T @ best
+        if np.linalg.norm(image.T @ best - value * x) <= tolerance * max(abs(value), 1e-300):
+            return value, x / np.linalg.norm(x), True
+        x = x / np.linalg.norm(x)
+    return value, x, False
+
+
+def large_spectrum(n: int, edges: np.ndarray, low: np.ndarray, dense: int) -> tuple[np.ndarray, bool, float | None]:
+    """The principal eigenvector, whether its eigenvalue is not simple, and the spectral gap of the largest component.
+
+    A connected graph's principal eigenvalue is simple, so each component gives one, and
+    two equal ones make it degenerate. Components of up to `dense` nodes are dense
+    matrices; a component whose largest degree is below the best value so far is passed
+    over. The gap is the inverse of the largest eigenvalue of the Laplacian's
+    pseudo-inverse; it is None where the iteration does not settle.
+    """
+    names, sizes = np.unique(low, return_counts=True)
+    order = np.lexsort((names, -sizes))
+    mine = np.argsort(low, kind="stable")
+    starts = dict(zip(names.tolist(), np.cumsum([0, *sizes[:-1]]).tolist(), strict=True))
+    inside = edges[np.argsort(low[edges[:, 0]], kind="stable")]
+    cut = np.searchsorted(low[inside[:, 0]], [names, names + 1])
+    x, best, ties, gap = np.zeros(n), 0.0, 0, 0.0
+    place = np.empty(n, int)
+    for rank, i in enumerate(order.tolist()):
+        nodes = mine[starts[int(names[i])] :][: sizes[i]]
+        place[nodes] = np.arange(len(nodes))
+        own = place[inside[cut[0, i] : cut[1, i]]].reshape(-1, 2)
+        small = len(nodes) <= dense
+        if rank == 0 and len(nodes) > 1:
+            if small:
+                gap = spectral_gap(adjacency(len(nodes), own))
+            else:
+                s = Sparse(len(nodes), own)
+                value, _, settled = top_pair(s.solve, np.random.default_rng(0).standard_normal(len(nodes)), 20, 1e-9)
+                gap = 1 / value if settled else None
+        if not len(own) or np.bincount(own.ravel()).max() < best - 1e-9:
+            continue
+        if small:
+            values, vectors = np.linalg.eigh(adjacency(len(nodes), own))
+            value, vector = float(values[-1]), vectors[:, -1]
+        else:
+            value, vector, _ = top_pair(Sparse(len(nodes), own).times, np.ones(len(nodes)))
+        ties = ties + 1 if abs(value - best) < 1e-9 else 0 if value > best else ties
+        if value > best + 1e-9:
+            best, x = value, np.zeros(n)
+            x[nodes] = vector if vector.sum() >= 0 else -vector
+    return x, ties > 0, gap
+
+
+def peeled(n: int, edges: np.ndarray) -> np.ndarray:
+    """Core numbers from lists of neighbours, the node of least degree first."""
+    s = Sparse(n, edges)
+    order = np.argsort(s.rows, kind="stable")
+    near, ends = s.columns[order].tolist(), np.concatenate([[0], np.cumsum(s.degrees)]).astype(int).tolist()
+    deg = s.degrees.astype(int).tolist()
+    heap = [(d, v) for v, d in enumerate(deg)]
+    heapify(heap)
+    core, k = [-1] * n, 0
+    while heap:
+        d, v = heappop(heap)
+        if core[v] >= 0 or d != deg[v]:
+            continue
+        k = max(k, d)
+        core[v] = k
+        for u in near[ends[v] : ends[v + 1]]:
+            if core[u] < 0:
+                deg[u] -= 1
+                heappush(heap, (deg[u], u))
+    return np.array(core, np.int64)
+
+
+_LARGE = pa.schema([
+    ("graph_id", pa.int64()), ("n_communities", pa.int64()), ("modularity", pa.float64()), ("of", pa.list_(pa.int32())), ("spectral_gap", pa.float64()), ("eig_degenerate", pa.bool_()),
+    ("eig", pa.list_(pa.float64())), ("cores", pa.list_(pa.int32())),
+])
+
+
 def large_communities(gs: GraphSet) -> DataFrame:
-    """graph_id, n_communities, modularity, of (communities by place of the node) for graphs of Caps.dense to Caps.merged nodes.
+    """Facts of graphs of Caps.dense to Caps.merged nodes that take a whole graph, with node values by place of the node.
 
-    The agglomeration is ordered, so one task holds a graph; its memory grows with the
-    edges, not with the square of the nodes.
+    graph_id, n_communities, modularity, of (communities), spectral_gap, eig_degenerate,
+    eig (the eigenvector), cores. The agglomeration is ordered and the spectrum
+    iterates, so one task holds a graph; its memory grows with the edges and with 60
+    vectors, not with the square of the nodes.
     """
+    dense = gs.caps.dense
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -295,20 +447,23 @@ def large_communities(gs: GraphSet) -> DataFrame:
                 of = np.empty(n, np.int32)
                 for c, part in enumerate(parts):
                     of[part] = c
-                yield pa.RecordBatch.from_pydict({
-                    "graph_id": pa.array([row["graph_id"]], pa.int64()), "n_communities": pa.array([len(parts)], pa.int64()),
-                    "modularity": pa.array([modularity(n, edges, parts)], pa.float64()), "of": pa.array([of.tolist()], pa.list_(pa.int32())),
-                })
+                eig, degenerate, gap = large_spectrum(n, edges, labels(n, edges), dense)
+                yield pa.RecordBatch.from_pylist([{
+                    "graph_id": row["graph_id"], "n_communities": len(parts), "modularity": modularity(n, edges, parts), "of": of.tolist(), "spectral_gap": gap, "eig_degenerate": degenerate,
+                    "eig": eig.tolist(), "cores": peeled(n, edges).tolist(),
+                }], schema=_LARGE)
 
-    return graph_rows(gs, gs.caps.dense + 1, gs.caps.merged).mapInArrow(run, "graph_id long, n_communities long, modularity double, of array<int>")
+    schema = "graph_id long, n_communities long, modularity double, of array<int>, spectral_gap double, eig_degenerate boolean, eig array<double>, cores array<int>"
+    return graph_rows(gs, gs.caps.dense + 1, gs.caps.merged).mapInArrow(run, schema)
 
 
 def large_facts(gs: GraphSet) -> DataFrame:
     """The columns of kernel_facts for graphs of more than Caps.dense nodes, from the iterative operators.
 
-    spectral_gap (of more than one node) and eig_degenerate are null, and communities
-    above Caps.merged nodes. Closeness takes the distances of all sources, as many rows
-    as the square of the nodes.
+    Up to Caps.merged nodes a task works out communities, cores and the spectrum of a
+    graph; above, cores and the eigenvector come from rounds over tables, and
+    communities, eig_degenerate and spectral_gap (of more than one node) are null.
+    Closeness takes the distances of all sources, as many rows as the square of the nodes.
     """
     caps, key = gs.caps, ["graph_id", "node_id"]
     gs = gs.stored()
@@ -323,9 +478,18 @@ def large_facts(gs: GraphSet) -> DataFrame:
     sources = exact.unionByName(iterative.pivots(gs, caps.pivots)).distinct().withColumnRenamed("node_id", "s")
     between = iterative.betweenness(gs, durable(dist.join(sources, ["graph_id", "s"], "left_semi")))
     merged = durable(large_communities(gs))
-    per = nodes.join(first.drop("size"), ["graph_id", "component"]).join(merged.select("graph_id", "of"), "graph_id", "left")
-    for part in (between, iterative.closeness(gs, dist), iterative.eigenvector(gs), iterative.core_numbers(gs)):
+    per = nodes.join(first.drop("size"), ["graph_id", "component"]).join(merged.select("graph_id", "of", "eig", "cores"), "graph_id", "left")
+    for part in (between, iterative.closeness(gs, dist)):
         per = per.join(part, key)
+    eig, core = F.get("eig", F.col("node_ord")), F.get("cores", F.col("node_ord"))
+    larger = size.filter(F.col("n") > caps.merged).select("graph_id")
+    if larger.isEmpty():
+        per = per.withColumns({"eigenvector": eig, "core": core})
+    else:
+        beyond = GraphSet(gs.vertices, gs.edges, caps).only(larger).stored()
+        rounds = iterative.eigenvector(beyond).withColumnRenamed("eigenvector", "x").join(iterative.core_numbers(beyond).withColumnRenamed("core", "c"), key)
+        per = per.join(rounds, key, "left").withColumns({"eigenvector": F.coalesce(eig, "x"), "core": F.coalesce(core, "c")}).drop("x", "c")
+    per = per.drop("eig", "cores")
     rounded = F.struct(*[F.round(c, 3).alias(c) for c in ("betweenness", "eigenvector", "closeness")]).alias("rounded")
     entry = F.struct(
         "node_id", F.col("node_ord").cast("int").alias("node_ord"), F.col("first").cast("int").alias("component"), "betweenness", "closeness", "eigenvector",
@@ -335,11 +499,11 @@ def large_facts(gs: GraphSet) -> DataFrame:
         F.max("core").cast("long").alias("max_kcore"), F.avg("betweenness").alias("betweenness_mean"), F.max("betweenness").alias("betweenness_max"), F.avg("closeness").alias("closeness_mean"),
         F.avg("eigenvector").alias("eigenvector_mean"), F.max("eigenvector").alias("eigenvector_max"), F.array_sort(F.collect_list(F.struct("node_ord", entry.alias("entry"))))["entry"].alias("nodes"),
     )
-    out = size.join(largest, "graph_id").join(iterative.path_facts(gs, dist), "graph_id").join(merged.drop("of"), "graph_id", "left").join(facts, "graph_id")
+    out = size.join(largest, "graph_id").join(iterative.path_facts(gs, dist), "graph_id").join(merged.drop("of", "eig", "cores"), "graph_id", "left").join(facts, "graph_id")
     few = F.col("lcc_size") <= caps.paths
     out = out.withColumns({c: F.when(few, F.col(c)).cast(t) for c, t in (("avg_path_length", "double"), ("diameter", "long"), ("radius", "long"))})
     out = out.withColumns({
-        "spectral_gap": F.when(F.col("lcc_size") <= 1, F.lit(0.0)), "eig_degenerate": F.lit(None).cast("boolean"),
+        "spectral_gap": F.when(F.col("lcc_size") <= 1, F.lit(0.0)).otherwise(F.col("spectral_gap")),
         "ring_sizes": F.when((F.col("n") < 3) | (F.col("m") < F.col("n")), F.create_map().cast("map<int,int>")),
     })
     return durable(out.select(*_OUT.names))

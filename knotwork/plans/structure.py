@@ -28,9 +28,42 @@ def density(n: Column, m: Column) -> Column:
     return F.when((n > 1) & (m > 0), 2.0 * m / (n * (n - 1))).otherwise(F.lit(0.0))
 
 
+#: Degrees whose fourth power has 63 bits; a sum would pass over a larger one as null.
+FOURTH_POWER_FITS = 55_000
+
+
+def _times(*x: Column) -> Column:
+    out = x[0]
+    for y in x[1:]:
+        out = F.try_multiply(out, y)
+    return out
+
+
+def _plus(*x: Column) -> Column:
+    out = x[0]
+    for y in x[1:]:
+        out = F.try_add(out, y)
+    return out
+
+
+def _shape() -> tuple[Column, Column, Column]:
+    """Standard deviation, skewness and excess kurtosis from n_nodes and the power sums s1 to s4.
+
+    Whole numbers up to the last division, so that the order of the rows does not
+    matter; null where they pass 38 digits, or a power sum 64 bits. Single powers must fit.
+    """
+    n, s1, s2, s3, s4 = (F.col(c).cast("decimal(38,0)") for c in ("n_nodes", "s1", "s2", "s3", "s4"))
+    k = lambda x: F.lit(x).cast("decimal(38,0)")
+    two = _plus(_times(n, s2), _times(k(-1), s1, s1)).cast("double")
+    three = _plus(_times(n, n, s3), _times(k(-3), n, s1, s2), _times(k(2), s1, s1, s1)).cast("double")
+    four = _plus(_times(n, n, n, s4), _times(k(-4), n, n, s1, s3), _times(k(6), n, s1, s1, s2), _times(k(-3), s1, s1, s1, s1)).cast("double")
+    flat = two == 0
+    return F.sqrt(two) / F.col("n_nodes"), F.when(flat, 0.0).otherwise(three / (two * F.sqrt(two))), F.when(flat, 0.0).otherwise(four / (two * two) - 3)
+
+
 def degree_moments(gs: GraphSet) -> DataFrame:
     """graph_id, n_nodes, n_edges, density and the shape of the degree distribution, in one pass over the degrees."""
-    d = F.col("deg").cast("double")
+    d, whole = F.col("deg").cast("double"), F.col("deg").cast("long")
     agg = gs.degrees.groupBy("graph_id").agg(
         F.count(F.lit(1)).alias("n_nodes"),
         (F.sum("deg") / 2).cast("long").alias("n_edges"),
@@ -43,7 +76,12 @@ def degree_moments(gs: GraphSet) -> DataFrame:
         F.avg(d * d).alias("k2"),
         F.sum(F.when(d > 0, F.log(d / 0.5))).alias("log_sum"),
         F.count_if(F.col("deg") == 0).alias("n_isolates"),
+        *[F.try_sum(_times(*[whole] * k)).alias(f"s{k}") for k in (1, 2, 3, 4)],
     )
+    # Graphs whose numbers are too large for whole-number arithmetic keep the moments in floating point.
+    exact = dict(zip(("degree_std", "degree_skewness", "degree_kurtosis"), _shape(), strict=True))
+    fits = F.coalesce(F.col("max_degree"), F.lit(0)) <= FOURTH_POWER_FITS
+    agg = agg.withColumns({c: F.coalesce(F.when(fits, e), F.col(c)) for c, e in exact.items()}).drop("s1", "s2", "s3", "s4")
     mean = F.col("mean_degree")
     config = F.when(mean > 0, F.pow(F.col("k2") - mean, F.lit(2.0)) / (F.col("n_nodes") * F.pow(mean, F.lit(3.0)))).otherwise(F.lit(0.0))
     alpha = F.when(F.col("min_degree") > 0, 1 + F.col("n_nodes") / F.col("log_sum")).otherwise(nan())

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 from graphs import bipartite, collection, complete, cycle, path, random_graph, star
+from pyspark.sql import functions as F
 
 from knotwork.facts import facts, structure
 from knotwork.functions.render import verbalize, verbalize_nodes, ranked_nodes
@@ -168,6 +169,7 @@ def test_graphs_beyond_the_dense_kernel_keep_their_rows(spark):
         for c in ("avg_path_length", "modularity", "betweenness_mean", "betweenness_max", "closeness_mean"):
             assert abs(a[c] - b[c]) < 1e-9, (g, c)
         assert abs(a.eigenvector_max - b.eigenvector_max) < 1e-2 and len(a.nodes) == len(b.nodes)
+        assert abs(a.spectral_gap - b.spectral_gap) < 1e-9 and a.eig_degenerate == b.eig_degenerate
         for x, y in zip(a.nodes, b.nodes, strict=True):
             assert (x.node_id, x.node_ord, x.component, x.community, x.core) == (y.node_id, y.node_ord, y.component, y.community, y.core)
             assert abs(x.betweenness - y.betweenness) < 1e-9 and abs(x.closeness - y.closeness) < 1e-9
@@ -175,6 +177,37 @@ def test_graphs_beyond_the_dense_kernel_keep_their_rows(spark):
     assert kernels.node_facts(kernels.kernel_facts(cut)).count() == 48
 
 
+def test_graphs_beyond_one_task_go_by_rounds(spark):
+    gs = collection(spark, {1: random_graph(1, 10, 0.3), 2: random_graph(2, 24, 0.12), 3: random_graph(3, 16, 0.3)})
+    want, got = ({r.graph_id: r for r in kernels.kernel_facts(x).collect()} for x in (gs, GraphSet(gs.vertices, gs.edges, Caps(dense=12, merged=20))))
+    for g in (1, 2, 3):
+        assert [x.core for x in want[g].nodes] == [x.core for x in got[g].nodes]
+        assert abs(want[g].eigenvector_max - got[g].eigenvector_max) < 1e-2
+    assert got[2].spectral_gap is None and abs(got[3].spectral_gap - want[3].spectral_gap) < 1e-9
+
+
+@pytest.mark.parametrize("dense", [1, 4])
+@pytest.mark.parametrize("graph", [random_graph(s, 12 + s, 0.04 + 0.02 * s) for s in range(8)] + [path(40), cycle(31), complete(9), (7, []), (6, [(0, 1), (2, 3)])])
+def test_spectrum_and_cores_without_a_dense_matrix(graph, dense):
+    n, edges = graph[0], np.array(sorted(tuple(sorted(e)) for e in graph[1]), int).reshape(-1, 2)
+    a = kernels.adjacency(n, edges)
+    low = kernels.labels(n, edges)
+    assert (low == kernels.components(kernels.distances(a)[0])).all()
+    x, degenerate, gap = kernels.large_spectrum(n, edges, low, dense)
+    want, ties = kernels.eigenvector(a)
+    lcc = low == np.bincount(low, minlength=n).argmax()
+    assert degenerate == ties and abs(gap - kernels.spectral_gap(a[np.ix_(lcc, lcc)])) < 1e-7
+    assert ties or np.abs(x - want).max() < 1e-6
+    assert (kernels.peeled(n, edges) == kernels.core_numbers(a)).all()
+
+
+def test_moments_are_exact_or_in_floating_point(spark):
+    big = spark.createDataFrame([(1, 0, 3 * 10**9), (1, 1, 1), (1, 2, 1), (2, 0, 2), (2, 1, 1), (2, 2, 1)], "graph_id long, node_ord int, deg long").withColumn("node_id", F.col("node_ord").cast("string"))
+    rows = {r.graph_id: r for r in S.degree_moments(GraphSet(None, None, known_degrees=big)).collect()}
+    for g in (1, 2):
+        assert abs(rows[g].degree_skewness - 0.5**0.5) < 1e-6 and abs(rows[g].degree_kurtosis + 1.5) < 1e-6
+
+
 def test_feature_vector_replaces_null_and_nan(spark):
     gs = collection(spark, {2: (4, []), 3: complete(5)})
     rows = {r.graph_id: r.features for r in feature_vectors(structure(gs)).collect()}
