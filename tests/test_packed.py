@@ -39,7 +39,7 @@ def test_graphs_beyond_a_row_come_out_the_same(spark, sf, tmp_path, monkeypatch,
     assert 0 < beyond < few.count()
 
 
-@pytest.mark.parametrize("name", PACKED)
+@pytest.mark.parametrize("name", [*PACKED, "ridge_on_facts"])
 def test_no_edges_are_shuffled(spark, sf, name):
     steps = graph.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     # The one exchange gathers orders; before, edges and degrees were joined, up to 30 times.
