@@ -60,3 +60,11 @@ def test_contexts_of_a_hub(spark, tmp_path):
     # Each of 201 queries met all 232 triples at the hub before.
     plan = neighborhoods.typed_context(triples.filter("r = 'from'"), queries.filter("r = 'from'"))
     assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_parts_spread_with_the_input(spark, sf):
+    before = rows(testdata.part_pairs(spark, sf, 1).edges)
+    gs = testdata.part_pairs(spark, sf, 1, lines=500)
+    plan = gs.edges._jdf.queryExecution().optimizedPlan().toString()
+    # 6,000 lines: 12 partitions of orders and of pairs, where there were the session's 4.
+    assert plan.count(", 12") >= 3 and rows(gs.edges) == before
