@@ -6,21 +6,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.durable import durable
+from knotwork.durable import dealt, durable
 from knotwork.operators.neighborhoods import token
 
 
-def numbered(rows: DataFrame, *order: Column, name: str = "id") -> DataFrame:
+def numbered(rows: DataFrame, *order: Column, name: str = "id", n: int = 0) -> DataFrame:
     """rows with their place from 0 in an order of all of them, in one long column.
 
-    Numbered range by range: a task numbers its range from what the ranges before hold
-    (one row each, which is what is broadcast).
+    Numbered range by range, n of them where that is more than Spark would make: a task
+    numbers its range from what the ranges before hold (one row each, which is what is broadcast).
     """
-    v = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()))
+    ranges = (n,) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ()
+    v = durable(rows.repartitionByRange(*ranges, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = v.groupBy("__p").count().select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return v.withColumn("__n", inside).join(F.broadcast(starts), "__p").withColumn(name, F.col("__start") + F.col("__n")).drop("__p", "__n", "__start")
+    return dealt(v, n, "__p").withColumn("__n", inside).join(F.broadcast(starts), "__p").withColumn(name, F.col("__start") + F.col("__n")).drop("__p", "__n", "__start")
 
 
 def vocabulary(values: DataFrame, name: str = "value", prefix: str = "E") -> DataFrame:
@@ -53,32 +54,34 @@ def commonest_relation(triples: DataFrame) -> DataFrame:
     return triples.groupBy("r").agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("c").desc(), "r").limit(1).select("r")
 
 
-def tail_order(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+def tail_order(triples: DataFrame, n: int = 0) -> tuple[DataFrame, DataFrame]:
     """The order in which a relation's tails are guessed: by tail count of the relation, tail count at all, entity.
 
     Two tables hold it without a row for every relation and entity: own (r, ent, place
     from 1) of the tails that a relation has, and every (ent, at from 0), the order of
-    all entities, in which the others follow.
+    all entities, in which the others follow. What has a row an entity is dealt to n
+    partitions, where that is more than Spark would make.
     """
-    ents = triples.select(F.explode(F.array("h", "t")).alias("ent")).distinct()
-    overall = triples.groupBy(F.col("t").alias("ent")).agg(F.count(F.lit(1)).alias("all"))
-    overall = ents.join(overall, "ent", "left").withColumn("all", F.coalesce("all", F.lit(0)))
-    every = durable(numbered(overall, F.col("all").desc(), F.col("ent"), name="at").select("ent", "at"))
-    per = triples.groupBy("r", F.col("t").alias("ent")).agg(F.count(F.lit(1)).alias("c")).join(every, "ent")
+    per = durable(triples.groupBy("r", F.col("t").alias("ent")).agg(F.count(F.lit(1)).alias("c")))
+    overall = per.groupBy("ent").agg(F.when(F.col("ent").isNotNull(), F.sum("c")).otherwise(0).alias("all"))
+    heads = dealt(triples.select(F.col("h").alias("ent"), F.lit(0).cast("long").alias("all")), n, "ent").distinct()
+    ents = dealt(heads.unionByName(overall), n, "ent").groupBy("ent").agg(F.max("all").alias("all"))
+    every = durable(numbered(ents, F.col("all").desc(), F.col("ent"), name="at", n=n).select("ent", "at"))
+    per = dealt(per, n, "ent").join(dealt(every, n, "ent"), "ent")
     place = F.row_number().over(Window.partitionBy("r").orderBy(F.col("c").desc(), "at"))
     return durable(per.withColumn("place", place).select("r", "ent", "at", "place")), every
 
 
-def _placed(asked: DataFrame, own: DataFrame, every: DataFrame) -> DataFrame:
+def _placed(asked: DataFrame, own: DataFrame, every: DataFrame, n: int = 0) -> DataFrame:
     """asked (r, ent) with place: that of a relation's own tail, or after these in the order of all entities."""
-    asked = asked.select("r", "ent").distinct()
+    asked = durable(asked.select("r", "ent").distinct())
     mine = asked.join(own.select("r", "ent", "place"), ["r", "ent"])
-    n = own.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+    sizes = own.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
     others = asked.join(own, ["r", "ent"], "left_anti").join(every, "ent").select("r", "ent", "at", F.lit(0).alias("own"))
     # Own tails that come before another entity in the order of all are not counted twice.
     line = others.unionByName(own.select("r", "ent", "at", F.lit(1).alias("own")))
     before = F.sum("own").over(Window.partitionBy("r").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    line = line.withColumn("before", F.coalesce(before, F.lit(0))).filter("own = 0").join(n, "r", "left")
+    line = line.withColumn("before", F.coalesce(before, F.lit(0))).filter("own = 0").join(sizes, "r", "left")
     late = line.select("r", "ent", (F.coalesce("n", F.lit(0)) + F.col("at") - F.col("before") + 1).alias("place"))
     return mine.unionByName(late)
 
@@ -93,13 +96,13 @@ def frequency_tail_ranks(triples: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.select("qid", "r").join(_placed(asked, own, every), "r").select("qid", "ent", "place")
 
 
-def frequency_top_tails(triples: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def frequency_top_tails(triples: DataFrame, queries: DataFrame, k: int = 10, n: int = 0) -> DataFrame:
     """qid, ent, place: the first k entities for each query (qid, r).
 
     A relation with fewer than k tails of its own takes the rest from the first k of
     the others, which are among the first 2 k of all.
     """
-    own, every = tail_order(triples)
+    own, every = tail_order(triples, n)
     few = own.groupBy("r").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < k).select("r")
     known = own.select("r").distinct()
     asked = queries.select("r").distinct()
@@ -110,19 +113,22 @@ def frequency_top_tails(triples: DataFrame, queries: DataFrame, k: int = 10) ->
     return queries.select("qid", "r").join(places, "r").select("qid", "ent", F.col("place").cast("int").alias("place"))
 
 
-def frequency_ranks(triples: DataFrame, queries: DataFrame, known: DataFrame) -> DataFrame:
-    """qid, rank: the filtered rank of each query's answer (qid, r, ent); null where training never saw it.
+def frequency_ranks(triples: DataFrame, n: int = 0) -> DataFrame:
+    """h, r, t, rank: the filtered rank of the tail of each test triple (h, r, t, split); null where training never saw it.
 
-    known: qid, ent of true tails, which do not count where they come before the answer.
-    Only answers and known tails get a place, not every entity for every query.
+    True tails of the same head and relation, of any split, do not count where they come
+    before the answer. They get a place each and are ordered once for all tests of their
+    head, not once for each, and are dealt to n partitions where that is more than Spark
+    would make.
     """
-    own, every = tail_order(triples)
-    others = known.select("qid", "ent").join(queries.select("qid", "r", F.col("ent").alias("answer")), "qid").filter(F.col("ent") != F.col("answer")).distinct()
-    places = durable(_placed(queries.select("r", "ent").unionByName(others.select("r", "ent")), own, every))
-    answer = queries.select("qid", "r", "ent").join(places, ["r", "ent"], "left").select("qid", F.col("place").alias("mine"))
-    ahead = others.join(places, ["r", "ent"]).join(answer, "qid").filter(F.col("place") < F.col("mine")).groupBy("qid").agg(F.count(F.lit(1)).alias("ahead"))
-    out = answer.join(ahead, "qid", "left")
-    return out.select("qid", (F.col("mine") - F.coalesce("ahead", F.lit(0))).alias("rank"))
+    own, every = tail_order(triples.filter("split = 'train'"), n)
+    places = durable(_placed(triples.select("r", F.col("t").alias("ent")), own, every, n))
+    line = dealt(triples.select("h", "r", F.col("t").alias("ent"), "split"), n, "r", "ent").join(dealt(places, n, "r", "ent"), ["r", "ent"], "left")
+    # Equal triples have one place, so what comes before counts each tail once; places from training come before none.
+    ahead = F.dense_rank().over(Window.partitionBy("h", "r").orderBy(F.col("place").asc_nulls_last())) - 1
+    ahead = F.when(F.col("h").isNotNull(), ahead).otherwise(0)
+    ranked = dealt(line, n, "h", "r").withColumn("rank", F.col("place") - ahead).filter("split = 'test'")
+    return ranked.select("h", "r", F.col("ent").alias("t"), "rank")
 
 
 def train_embedding(triples: np.ndarray, n_ent: int, n_rel: int, seed: int, dim: int = 32, epochs: int = 60, rate: float = 0.1, decay: float = 1e-4, negatives: int = 4) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ import math
 import pytest
 
 from knotwork import queries as graph
-from knotwork.operators import neighborhoods
+from knotwork.operators import kg, neighborhoods
 from knotwork.sources import testdata
 from knotwork.sources.testdata import packed_purchases
 
@@ -68,3 +68,35 @@ def test_pairs_of_parts_spread_with_the_input(spark, sf):
     plan = gs.edges._jdf.queryExecution().optimizedPlan().toString()
     # 6,000 lines: 12 partitions of orders and of pairs, where there were the session's 4.
     assert plan.count(", 12") >= 3 and rows(gs.edges) == before
+
+
+@pytest.mark.parametrize("n", [0, 12])
+def test_answers_are_ranked_a_head_at_a_time(spark, n):
+    train = [("a", "r", "x"), ("b", "r", "x"), ("c", "r", "x"), ("a", "r", "y"), ("b", "r", "y"), ("c", "r", "z"), ("x", "s", "w"), ("a", "r", "y")]
+    # Known of the same head: x, y (twice), z and v, which training knows as a head alone; "new" it never saw.
+    test = [("a", "r", "z"), ("a", "r", "z"), ("a", "r", "v"), ("a", "r", "new"), ("d", "r", "w"), (None, "r", "z"), ("e", "s", "x")]
+    all_ = [(*x, "train") for x in [*train, ("v", "s", "w")]] + [(*x, "test") for x in test] + [("d", "r", "x", "valid"), (None, "r", "x", "valid")]
+    triples = spark.createDataFrame(all_, "h string, r string, t string, split string")
+    learnt = [x for x in all_ if x[3] == "train"]
+    ents = {x[0] for x in learnt} | {x[2] for x in learnt}
+    count = lambda e, r=None: sum(x[2] == e and r in (None, x[1]) for x in learnt)
+    place = {(r, e): i for r in "rs" for i, e in enumerate(sorted(ents, key=lambda e: (-count(e, r), -count(e), e)), 1)}
+    want = []
+    for h, r, t in test:
+        mine = place.get((r, t))
+        others = {x[2] for x in all_ if h is not None and x[:2] == (h, r) and x[2] != t}
+        want.append([h, r, t, mine and mine - sum(place.get((r, o), 99) < mine for o in others)])
+    got = kg.frequency_ranks(triples, n)
+    assert rows(got) == sorted(want, key=repr)
+    # Before, each test met all known tails of its head, in as many partitions as the session has.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and (plan.count(", 12") >= 3 or not n)
+
+
+def test_triples_spread_with_the_input(spark, sf, monkeypatch):
+    names = ("kg_triples", "kg_top_tails", "kg_ranking_scores")
+    before = [rows(graph.queries()[k](spark, sf)) for k in names]
+    parts = testdata.knowledge_parts
+    monkeypatch.setattr(testdata, "knowledge_parts", lambda s, d: parts(s, d, 500))
+    assert testdata.knowledge(spark, sf)._jdf.queryExecution().optimizedPlan().toString().count(", 12") >= 1
+    assert [rows(graph.queries()[k](spark, sf)) for k in names] == before
