@@ -314,6 +314,38 @@ def test_network_learns_findings(spark):
     assert "Tr0ub4dor!3xKq9ZpLm7Rw" in said[0] and "postgres" not in said[0] and said[1] == []
 
 
+def test_network_learns_from_every_text(docs, monkeypatch):
+    monkeypatch.setattr(secrets, "PART", 60)
+    texts = [f"note {i} about things, password = Zq{i:04d}xY{i * 7919 % 10007}k and shorthand wording{i}" for i in range(150)]
+    net = secrets.fit(docs(list(enumerate(texts))), sample_texts=10, made=300, epochs=2)
+    held = [t for t in texts if zlib.crc32(t.encode()) % 3 == 0]
+    others = sum(not any(m.start() < e and s < m.end() for s, _, e in secrets.base_spans(t)) for t in held for m in re.finditer(r"[A-Za-z0-9+/_=.!#$%^&*~-]{8,}", t))
+    # Before, about ten texts were learned from and counted.
+    assert net.report["corpus_findings"] == len(held) and net.report["corpus_others"] == others
+    assert net.report["trained"] >= 2 * (len(texts) - len(held))
+    again = secrets.fit(docs(list(enumerate(reversed(texts)))).repartition(5), made=300, epochs=2)
+    assert again.report == net.report and again.threshold == net.threshold and np.allclose(again.conv, net.conv)
+    # Every finding and each other token near the margin has a row, held out or not, in however many tasks.
+    start = secrets.started(11, 300, 2)
+    rows = secrets.lessons(docs(list(enumerate(texts))), start, 11).collect()
+    want = {}
+    for t in texts:
+        c, base, out = secrets.codes_of(t), secrets.base_findings(t), zlib.crc32(t.encode()) % 3 == 0
+        free = [x for x in secrets.tokens(c).tolist() if not any(a < x[1] and x[0] < b for a, _, b, _ in base)]
+        near = sum(brute_logit(start, t, a, b) > -secrets.MARGIN for a, b in free)
+        for label, n in ((1, len(base) * (1 if out else 2)), (0, near)):
+            want[label, out] = want.get((label, out), 0) + n
+    assert {k: sum((r.label, r.held) == k for r in rows) for k in want} == want
+
+
+def test_range_maxima():
+    rng = np.random.default_rng(4)
+    h = rng.normal(0, 1, (300, 3)).astype(np.float32)
+    ranges = [(a, a + n) for n in (*range(1, 70), 200) for a in rng.integers(0, 300 - n, 3).tolist()]
+    got = secrets._range_max(h, *np.array(ranges).T)
+    assert np.array_equal(got, [h[a:b].max(0) for a, b in ranges])
+
+
 def test_network_gradient():
     rng = np.random.default_rng(0)
     found = secrets.made_findings(rng, 8)
