@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from knotwork.durable import driver_trimmed
 from knotwork.llm.common import bounded, fresh
 
 #: Labelled documents of either label that are fitted on at most: the bound of all that is broadcast.
@@ -111,10 +112,12 @@ class Space:
 
     @classmethod
     def fit(cls, x: np.ndarray, labels: np.ndarray, idf: np.ndarray, heft: tuple[float, float] = (1.0, 1.0), rank: int = RANK) -> Space:
-        w = normalised(x * idf)
-        values, vectors = np.linalg.eigh(w.T @ w)
+        """x is overwritten, as the driver has room for it once."""
+        for at in range(0, len(x), _CHUNK):
+            x[at : at + _CHUNK] = normalised(x[at : at + _CHUNK] * idf)
+        values, vectors = np.linalg.eigh(x.T @ x)
         basis = vectors[:, ::-1][:, :rank].astype(np.float32)
-        return cls(idf.astype(np.float32), basis, normalised(w.astype(np.float32) @ basis), labels.astype(np.float32), np.array(heft))
+        return cls(idf.astype(np.float32), basis, normalised(x.astype(np.float32) @ basis), labels.astype(np.float32), np.array(heft))
 
     def cosines(self, x: np.ndarray) -> np.ndarray:
         """Exact cosines of rows of term weights with all labelled vectors, to five digits, so that blocks of any size agree."""
@@ -211,7 +214,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
         x[i, np.frombuffer(r.at, np.int16)] = np.frombuffer(r.weight, np.float32)
     counted = document_frequencies(docs)
     idf = np.log((1 + counted[-1]) / (1 + counted[:-1])) + 1
-    return Space.fit(x, np.array([picked[r.doc_id] for r in rows], float), idf, heft)
+    space = Space.fit(x, np.array([picked[r.doc_id] for r in rows], float), idf, heft)
+    del x, rows
+    driver_trimmed(spark)
+    return space
 
 
 def score(docs: DataFrame, space: Space, threshold: float = THRESHOLD) -> DataFrame:
