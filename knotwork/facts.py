@@ -24,8 +24,7 @@ def structure(gs: GraphSet, groups: str = SCALAR_GROUPS, kernel: DataFrame | Non
     """graph_id and the scalar facts of the groups as columns; only what they need enters the plan.
 
     `parts` are the kernel's facts to work out, by default those of the groups; a fact
-    without its part is null. For graphs of more than Caps.dense nodes the spectral gap is null, and communities and
-    modularity above Caps.merged nodes.
+    without its part is null.
     """
     wanted = set(groups)
     parts = frozenset().union(*(_PARTS.get(g, ()) for g in wanted)) if parts is None else parts

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.durable import durable
-from knotwork.model import Caps, GraphSet
+from knotwork.model import NO_CAP, Caps, GraphSet
 from knotwork.operators import iterative
 
 UNREACHED = -1
@@ -309,6 +309,12 @@ class Sparse:
     def times(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, x[self.columns], self.n)
 
+    def listed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes with neighbours, where each one's list begins, and the lists one after the other."""
+        some = np.flatnonzero(self.degrees)
+        ends = np.cumsum(self.degrees[some]).astype(int)
+        return some, ends - self.degrees[some].astype(int), self.columns[np.argsort(self.rows, kind="stable")]
+
     def solve(self, b: np.ndarray, tolerance: float = 1e-12) -> np.ndarray:
         """The Laplacian's pseudo-inverse times b, of a connected graph, by conjugate gradients preconditioned with the degrees."""
         x, r = np.zeros(self.n), b - b.mean()
@@ -457,13 +463,95 @@ def large_communities(gs: GraphSet) -> DataFrame:
     return graph_rows(gs, gs.caps.dense + 1, gs.caps.merged).mapInArrow(run, schema)
 
 
-def large_facts(gs: GraphSet) -> DataFrame:
-    """The columns of kernel_facts for graphs of more than Caps.dense nodes, from the iterative operators.
+#: Parts that the sources of a large graph are dealt to, and numbers that a part's searches hold at a time.
+SEARCHES, HELD_NUMBERS = 64, 1 << 23
+
+
+def searched(lists: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, sources: np.ndarray, depend_on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each source the nodes it reaches, their total and largest distance; of each node what it owes to those in depend_on (Brandes)."""
+    some, starts, near = lists
+    at = np.arange(len(sources))
+
+    def pulled(x: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(x)
+        if len(some):
+            out[some] = np.add.reduceat(x[near], starts, axis=0)
+        return out
+
+    dist, paths = np.full((n, len(sources)), UNREACHED, np.int32), np.zeros((n, len(sources)))
+    dist[sources, at], paths[sources, at] = 0, 1.0
+    level, front = 0, paths.copy()
+    while front.any():
+        reach = pulled(front)
+        new = (reach > 0) & (dist == UNREACHED)
+        level += 1
+        dist[new] = level
+        front = np.where(new, reach, 0.0)
+        paths += front
+    found = (dist > 0).sum(0), np.where(dist > 0, dist, 0).sum(0, dtype=np.int64), dist.max(0)
+    dist, paths, at = dist[:, depend_on], paths[:, depend_on], np.arange(int(depend_on.sum()))
+    depend = np.zeros_like(paths)
+    for back in range(level if len(at) else 0, 0, -1):
+        share = np.divide(1.0 + depend, paths, out=np.zeros_like(paths), where=dist == back)
+        depend += np.where(dist == back - 1, paths * pulled(share), 0.0)
+    depend[sources[depend_on], at] = 0.0
+    return *found, depend.sum(1)
+
 
-    Up to Caps.merged nodes a task works out communities, cores and the spectrum of a
+def large_paths(gs: GraphSet, between: bool = True) -> DataFrame:
+    """graph_id, node_ord (the node's place), sources, depend, reached, total, farthest of graphs of more than Caps.dense nodes.
+
+    Searches from all nodes, dealt to SEARCHES tasks a graph, each with the lists of
+    neighbours and a few sources at a time; only sums by node leave a task. Betweenness
+    depends on `sources` sources, all of them up to Caps.exact_betweenness nodes.
+    """
+    caps = gs.caps
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                edges = placed(row)
+                yield pa.RecordBatch.from_pydict({"graph_id": [row["graph_id"]], "n": pa.array([len(row["nodes"])], pa.int32()), "a": pa.array([edges[:, 0]], pa.list_(pa.int32())), "b": pa.array([edges[:, 1]], pa.list_(pa.int32()))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n, part = (batch.column(c)[i].as_py() for c in ("n", "part"))
+                edges = np.stack([batch.column(c)[i].values.to_numpy() for c in ("a", "b")], 1).astype(int)
+                lists = Sparse(n, edges).listed()
+                pivots = np.zeros(n, bool)
+                if between and n > caps.exact_betweenness:
+                    pivots[np.random.default_rng(0).choice(n, min(caps.pivots, n), replace=False)] = True
+                elif between:
+                    pivots[:] = True
+                depend, own = np.zeros(n), np.full((3, n), -1, np.int64)
+                mine, few = np.arange(part, n, SEARCHES), max(1, HELD_NUMBERS // (2 * len(edges) + 8 * n))
+                for lo in range(0, len(mine), few):
+                    sources = mine[lo : lo + few]
+                    *own[:, sources], more = searched(lists, n, sources, pivots[sources])
+                    depend += more
+                names = ("graph_id", "node_ord", "sources", "depend", "reached", "total", "farthest")
+                columns = ([batch.column("graph_id")[i].as_py()] * n, pa.array(range(n), pa.int32()), pa.array([int(pivots.sum())] * n, pa.int64()), depend, *own)
+                yield pa.RecordBatch.from_pydict(dict(zip(names, columns, strict=True)))
+
+    lists = durable(graph_rows(gs, caps.dense + 1, NO_CAP).mapInArrow(place, "graph_id long, n int, a array<int>, b array<int>"))
+    dealt = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(SEARCHES)) - 1))).repartition(min(10_000, lists.count() * SEARCHES), "graph_id", "part")
+    rows = dealt.mapInArrow(run, "graph_id long, node_ord int, sources long, depend double, reached long, total long, farthest long")
+    return rows.groupBy("graph_id", "node_ord").agg(F.max("sources").alias("sources"), F.sum("depend").alias("depend"), *[F.max(c).alias(c) for c in ("reached", "total", "farthest")])
+
+
+#: Facts that take a whole graph in one task.
+_WHOLE = frozenset({"communities", "spectrum", "cores", "eigenvector"})
+
+
+def large_facts(gs: GraphSet, parts: frozenset = PARTS) -> DataFrame:
+    """The columns of kernel_facts for graphs of more than Caps.dense nodes.
+
+    Distances, closeness and betweenness come from searches that are dealt to tasks. Up
+    to Caps.merged nodes a task works out communities, cores and the spectrum of a
     graph; above, cores and the eigenvector come from rounds over tables, and
     communities, eig_degenerate and spectral_gap (of more than one node) are null.
-    Closeness takes the distances of all sources, as many rows as the square of the nodes.
     """
     caps, key = gs.caps, ["graph_id", "node_id"]
     gs = gs.stored()
@@ -472,18 +560,26 @@ def large_facts(gs: GraphSet) -> DataFrame:
     nodes = gs.vertices.select("graph_id", "node_id", (F.row_number().over(order) - 1).alias("node_ord"))
     nodes = durable(nodes.join(iterative.components(gs), key))
     first = nodes.groupBy("graph_id", "component").agg(F.min("node_ord").alias("first"), F.count(F.lit(1)).alias("size"))
-    largest = first.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_components"), F.max("size").alias("lcc_size"))
-    dist = durable(iterative.distances(gs))
-    exact = gs.vertices.join(size.filter(F.col("n") <= caps.exact_betweenness), "graph_id", "left_semi").select(*key)
-    sources = exact.unionByName(iterative.pivots(gs, caps.pivots)).distinct().withColumnRenamed("node_id", "s")
-    between = iterative.betweenness(gs, durable(dist.join(sources, ["graph_id", "s"], "left_semi")))
-    merged = durable(large_communities(gs))
+    best = F.max_by("first", F.struct("size", -F.col("first"))).alias("best")
+    largest = first.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_components"), F.max("size").alias("lcc_size"), best)
+    paths = large_paths(gs, "betweenness" in parts).join(size.select("graph_id", "n"), "graph_id")
+    n, reached = F.col("n"), F.col("reached")
+    paths = paths.withColumns({
+        "betweenness": F.when((n > 2) & (F.col("sources") > 0), F.col("depend") / ((n - 1) * (n - 2)) * n / F.col("sources")).otherwise(F.lit(0.0)),
+        "closeness": F.when(F.col("total") > 0, reached * reached / (F.col("total") * (n - 1))).otherwise(F.lit(0.0)),
+    }).drop("n", "sources", "depend", "reached")
+    whole = large_communities(gs)
+    merged = durable(whole) if parts & _WHOLE else whole.sparkSession.createDataFrame([], whole.schema)
     per = nodes.join(first.drop("size"), ["graph_id", "component"]).join(merged.select("graph_id", "of", "eig", "cores"), "graph_id", "left")
-    for part in (between, iterative.closeness(gs, dist)):
-        per = per.join(part, key)
+    per = durable(per.join(paths, ["graph_id", "node_ord"]))
+    size_of = F.max("lcc_size")
+    apl = F.when(size_of > 1, F.sum("total") / (size_of * (size_of - 1))).otherwise(F.lit(0.0))
+    inner = per.join(largest.select("graph_id", "lcc_size", F.col("best").alias("first")), ["graph_id", "first"])
+    reach = inner.groupBy("graph_id").agg(apl.alias("avg_path_length"), F.max("farthest").alias("diameter"), F.min("farthest").alias("radius"))
+    per = per.drop("total", "farthest")
     eig, core = F.get("eig", F.col("node_ord")), F.get("cores", F.col("node_ord"))
     larger = size.filter(F.col("n") > caps.merged).select("graph_id")
-    if larger.isEmpty():
+    if not parts & _WHOLE or larger.isEmpty():
         per = per.withColumns({"eigenvector": eig, "core": core})
     else:
         beyond = GraphSet(gs.vertices, gs.edges, caps).only(larger).stored()
@@ -499,7 +595,7 @@ def large_facts(gs: GraphSet) -> DataFrame:
         F.max("core").cast("long").alias("max_kcore"), F.avg("betweenness").alias("betweenness_mean"), F.max("betweenness").alias("betweenness_max"), F.avg("closeness").alias("closeness_mean"),
         F.avg("eigenvector").alias("eigenvector_mean"), F.max("eigenvector").alias("eigenvector_max"), F.array_sort(F.collect_list(F.struct("node_ord", entry.alias("entry"))))["entry"].alias("nodes"),
     )
-    out = size.join(largest, "graph_id").join(iterative.path_facts(gs, dist), "graph_id").join(merged.drop("of", "eig", "cores"), "graph_id", "left").join(facts, "graph_id")
+    out = size.join(largest.drop("best"), "graph_id").join(reach, "graph_id").join(merged.drop("of", "eig", "cores"), "graph_id", "left").join(facts, "graph_id")
     few = F.col("lcc_size") <= caps.paths
     out = out.withColumns({c: F.when(few, F.col(c)).cast(t) for c, t in (("avg_path_length", "double"), ("diameter", "long"), ("radius", "long"))})
     out = out.withColumns({
@@ -517,7 +613,7 @@ def kernel_facts(gs: GraphSet, parts: frozenset = PARTS) -> DataFrame:
     """The facts of every graph, with a row for each node inside; graphs of more than Caps.dense nodes by large_facts.
 
     `parts` are the facts to work out beside components and distances; the others are
-    null (large graphs have them all). A task turns one row at a time into facts.
+    null, or left over from what others need. A task turns one row at a time into facts.
     """
     caps = gs.caps
     large = durable(gs.vertices.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > caps.dense).select("graph_id"))
@@ -536,12 +632,16 @@ def kernel_facts(gs: GraphSet, parts: frozenset = PARTS) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=_OUT)
 
     small = graph_rows(gs).mapInArrow(run, KERNEL_SCHEMA)
-    return small if large.isEmpty() else small.unionByName(large_facts(gs.only(large)))
+    return small if large.isEmpty() else small.unionByName(large_facts(gs.only(large), parts))
+
+
+#: Nodes of a graph whose components one task finds.
+LISTED = 100_000
 
 
 def components_of(gs: GraphSet) -> DataFrame:
     """graph_id, node_id, component: the smallest node_id reachable; small graphs a row each, large ones by rounds."""
-    most = gs.caps.merged
+    most = min(gs.caps.merged, LISTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
