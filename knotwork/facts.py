@@ -51,23 +51,28 @@ def structure(gs: GraphSet, groups: str = SCALAR_GROUPS, kernel: DataFrame | Non
     return out.select("graph_id", *names, *(["ring_sizes"] if "G" in wanted else []))
 
 
-def packed_structure(gs: GraphSet, groups: str, parts: frozenset, attrs: tuple[str, ...] = ()) -> DataFrame:
-    """structure() of packed graphs in one pass, with the facts of the attributes as __a0, __a1, ..."""
+def packed_structure(gs: GraphSet, groups: str, parts: frozenset, attrs: tuple[str, ...] = (), nodes: bool = False) -> DataFrame:
+    """structure() of packed graphs in one pass, with the facts of the attributes as __a0, __a1, ... and those of the nodes as __nodes."""
     caps, names = gs.caps, feature_names(groups)
     deep = bool(set(groups) & _KERNEL_GROUPS)
-    extra = [f"__a{i}" for i in range(len(attrs))]
+    about = [f"__a{i}" for i in range(len(attrs))]
+    extra = about + ["__nodes"] * nodes
 
     def rows(g: packed.Opened) -> list[dict]:
         out = packed.sums(g, caps)
         if deep:
             dense = kernels.graph_facts(g.graph_id, g.nodes, g.array, caps, parts)
-            of = {x["node_id"]: x for x in dense.pop("nodes")}
+            each = dense.pop("nodes")
+            of = {x["node_id"]: x for x in each}
             out |= dense
-            for name, attr in zip(extra, attrs, strict=True):
+            if nodes:
+                out["__nodes"] = packed.node_section(g, each, caps)
+            for name, attr in zip(about, attrs, strict=True):
                 out[name] = packed.attribute_facts(g, attr, [of[v]["betweenness"] for v in g.nodes], [of[v]["community"] for v in g.nodes])
         return [out]
 
-    schema = packed.SUMS + ", " + kernels.KERNEL_SCHEMA.removeprefix("graph_id long, ").partition(", nodes array")[0] + "".join(f", {x} {packed.ATTRIBUTE}" for x in extra)
+    schema = packed.SUMS + ", " + kernels.KERNEL_SCHEMA.removeprefix("graph_id long, ").partition(", nodes array")[0] + "".join(f", {x} {packed.ATTRIBUTE}" for x in about)
+    schema += f", __nodes {packed.SECTION}" if nodes else ""
     none = F.lit(None).cast("double")
     out = packed.each(GraphSet(gs.vertices, gs.edges, caps, groups=gs.groups), rows, schema, structure)
     out = out.withColumns({c: none for c in ("degree_std", "degree_skewness", "degree_kurtosis")} | {"sum_degree": F.col("s1"), "sx": F.col("s2"), "sxx": F.col("s3")})
@@ -79,8 +84,10 @@ def packed_structure(gs: GraphSet, groups: str, parts: frozenset, attrs: tuple[s
     out = out.withColumns(S.null_models()).select("graph_id", *names, *(["ring_sizes"] if "G" in groups else []), *extra)
     if gs.beyond is None:
         return out
-    if attrs:
-        large = facts(gs.beyond, attrs, nodes=False).select("graph_id", "structure.*", "ring_sizes", *[F.try_element_at("attributes", F.lit(a)).alias(x) for a, x in zip(attrs, extra, strict=True)])
+    if extra:
+        large = facts(gs.beyond, attrs, nodes=nodes)
+        section = [F.col("nodes").alias("__nodes")] if nodes else []
+        large = large.select("graph_id", "structure.*", "ring_sizes", *[F.try_element_at("attributes", F.lit(a)).alias(x) for a, x in zip(attrs, about, strict=True)], *section)
     else:
         large = structure(gs.beyond, groups, parts=parts)
     return out.unionByName(large.select(*[F.col(f.name).cast(f.dataType) for f in out.schema]))
@@ -92,15 +99,16 @@ def facts(gs: GraphSet, node_attrs: Iterable[str] = (), nodes: bool = True, kern
     attributes is a map from the attribute's name, in the order asked for. nodes holds
     key nodes, and one entry per node for graphs of at most Caps.per_node nodes. The
     graphs and the dense facts are written once, as many facts read them; packed graphs
-    are read once, where no nodes are asked for, and give no ring sizes without `rings`.
+    are read once, and give no ring sizes without `rings`.
     """
     if isinstance(node_attrs, str):
         raise TypeError("node_attrs is a list of attribute names, not a string")
     node_attrs = list(node_attrs)
-    if gs.groups is not None and not nodes and kernel is None:
+    if gs.groups is not None and kernel is None:
         parts = kernels.PARTS if rings else kernels.PARTS - {"rings"}
-        out = packed_structure(gs, SCALAR_GROUPS, parts, tuple(node_attrs))
-        return with_attributes(out.select("graph_id", F.lit(FEATURE_VERSION).alias("feature_version"), F.struct(*feature_names()).alias("structure"), "ring_sizes", *[f"__a{i}" for i in range(len(node_attrs))]), node_attrs)
+        out = packed_structure(gs, SCALAR_GROUPS, parts, tuple(node_attrs), nodes)
+        section = [F.col("__nodes").alias("nodes")] if nodes else []
+        return with_attributes(out.select("graph_id", F.lit(FEATURE_VERSION).alias("feature_version"), F.struct(*feature_names()).alias("structure"), "ring_sizes", *[f"__a{i}" for i in range(len(node_attrs))], *section), node_attrs)
     gs = gs.stored()
     kernel = durable(kernel if kernel is not None else kernels.kernel_facts(gs))
     names = feature_names()
